@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import bpe, exact_dedup, packing, simhash
 
 QUERIES = {
+    "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op5_harmonic_packing": packing.op5_harmonic_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_simhash_dedup": simhash.op8_simhash_dedup,
 }
