@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, simhash
+from . import bpe, exact_dedup, langid, packing, simhash
 
 QUERIES = {
+    "op2_language_id": langid.op2_language_id,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op5_harmonic_packing": packing.op5_harmonic_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
