@@ -113,15 +113,10 @@ def _batches(columns: dict, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     yield from pa.Table.from_arrays(arrays, names=schema.names).to_batches(max_chunksize=5_000)
 
 
-def bucket_number(key, depth):
-    """The first ``depth`` bits of a key, tagged with the depth so that buckets of different depths differ."""
-    return F.expr(f"shiftrightunsigned({key}, 64 - {depth})") if isinstance(depth, int) else None
-
-
-def directory(content: DataFrame, key: str, size: str, start: int, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def directory(content: DataFrame, key: str, size: str, start: int, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame | None:
     """``slot, depth``: for each slot of the initial directory that is overfull, the depth at which its buckets fit.
 
-    Slots that fit are not listed.  Each doubling counts only the keys of slots
+    Slots that fit are not listed; None if all fit.  Each doubling counts only the keys of slots
     that are still overfull; keys that are all equal cannot be split and stop
     the doubling when a bucket has a single key.
     """
@@ -146,26 +141,25 @@ def directory(content: DataFrame, key: str, size: str, start: int, bucket_bytes:
         closed = done_at.where("not over").select("slot", F.lit(depth).alias("depth"))
         found = closed if found is None else found.unionByName(closed)
         open_slots = done_at.where("over").select("slot")
-    return found if found is not None else content.sparkSession.createDataFrame([], "slot bigint, depth int")
+    return found
 
 
-def groups(index: DataFrame, names: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(index: DataFrame, names: dict, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES, start: int | None = None) -> DataFrame:
     """One row per distinct normalised text: the columns of its kept row, and ``key, sha, points, count, rid`` of the group."""
     kind, key, rid, points, count, sha = (names[k] for k in ("kind", "key", "rid", "points", "count", "sha"))
     content = index.where(f"{kind} = 1").drop(kind)
     sized = content.withColumn("__bytes", F.length(F.col(text_col)))
     total = sized.agg(F.count("*").alias("n"), F.sum("__bytes").alias("b")).first()
     rows, size = total["n"], total["b"] or 0
-    start = max(1, math.ceil(math.log2(max(2 * rows / BUCKET_ROWS, 2 * size / BUCKET_BYTES, 2))))
-    deeper = directory(sized, key, "__bytes", start)
-    slot = F.expr(f"shiftrightunsigned({key}, {64 - start})")
-    placed = (
-        content.withColumn("__slot", slot)
-        .join(deeper.withColumnRenamed("slot", "__slot"), "__slot", "left")
-        .withColumn("__depth", F.coalesce("depth", F.lit(start)))
-        .withColumn("__bucket", F.expr(f"shiftrightunsigned({key}, cast(64 - __depth as int))"))
-        .drop("depth", "__slot")
-    )
+    start = start or math.ceil(math.log2(max(2 * rows / bucket_rows, 2 * size / bucket_bytes, 2)))
+    deeper = directory(sized, key, "__bytes", start, bucket_bytes, bucket_rows)
+    placed = content.withColumn("__slot", F.expr(f"shiftrightunsigned({key}, {64 - start})"))
+    if deeper is None:
+        placed = placed.withColumnRenamed("__slot", "__bucket")
+    else:
+        depth = F.coalesce(F.col("depth"), F.lit(start))
+        placed = placed.join(deeper.withColumnRenamed("slot", "__slot"), "__slot", "left")
+        placed = placed.withColumn("__bucket", F.struct(depth, F.call_function("shiftrightunsigned", F.col(key), F.lit(64) - depth)))
     out_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in content.schema])
     arrow = to_arrow_schema(out_schema)
 
@@ -210,11 +204,11 @@ def groups(index: DataFrame, names: dict, id_col: str = "doc_id", text_col: str
     return placed.repartition("__bucket").sortWithinPartitions("__bucket", key).mapInArrow(owner, out_schema)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``."""
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
+    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``; ``sizes``: those of :func:`groups`."""
     index, names = index_files(docs, id_col, text_col)
     key, sha, rid, count = names["key"], names["sha"], names["rid"], names["count"]
-    best = groups(index, names, id_col, text_col).select(
+    best = groups(index, names, id_col, text_col, **sizes).select(
         F.col(key).alias("key"), F.col(sha).alias("sha"), F.col(id_col).alias("keep_id"), F.col(rid).alias("keep_rid"), F.col(count).alias("group_size")
     )
     best = common.written(best, "exact-groups")
