@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, hmm_lm, langid, packing, simhash
+from . import bpe, exact_dedup, hmm_lm, langid, packing, simhash, suffix_dedup
 
 QUERIES = {
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op1_hmm_scoring": hmm_lm.op1_hmm_scoring,
     "op2_language_id": langid.op2_language_id,
     "op3_byte_bpe": bpe.op3_byte_bpe,
