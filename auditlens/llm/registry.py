@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, hmm_lm, langid, packing, simhash, suffix_dedup
+from . import bpe, chat, exact_dedup, hmm_lm, langid, packing, simhash, suffix_dedup
 
 QUERIES = {
+    "op9_perspective_rotation": chat.op9_perspective_rotation,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op1_hmm_scoring": hmm_lm.op1_hmm_scoring,
     "op2_language_id": langid.op2_language_id,
@@ -13,4 +14,4 @@ QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_simhash_dedup": simhash.op8_simhash_dedup,
 }
-ORACLE = {"op7_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE = {"op9_perspective_rotation": chat.ORACLE_SQL, "op7_exact_dedup": exact_dedup.ORACLE_SQL}
