@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, hmm_lm, langid, packing, simhash, suffix_dedup
+from . import bpe, chat, exact_dedup, hmm_lm, langid, packing, simhash, suffix_dedup, token_shards
 
 QUERIES = {
+    "op4_token_shards": token_shards.op4_token_shards,
     "op9_perspective_rotation": chat.op9_perspective_rotation,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op1_hmm_scoring": hmm_lm.op1_hmm_scoring,
