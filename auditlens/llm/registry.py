@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, hmm_lm, langid, packing, simhash, suffix_dedup, token_shards
+from . import bpe, chat, cover_tree, exact_dedup, hmm_lm, langid, packing, simhash, suffix_dedup, token_shards
 
 QUERIES = {
+    "op10_cover_tree": cover_tree.op10_cover_tree,
     "op4_token_shards": token_shards.op4_token_shards,
     "op9_perspective_rotation": chat.op9_perspective_rotation,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
@@ -15,4 +16,4 @@ QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_simhash_dedup": simhash.op8_simhash_dedup,
 }
-ORACLE = {"op9_perspective_rotation": chat.ORACLE_SQL, "op7_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE = {"op10_cover_tree": cover_tree.ORACLE_SQL, "op9_perspective_rotation": chat.ORACLE_SQL, "op7_exact_dedup": exact_dedup.ORACLE_SQL}
