@@ -122,7 +122,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     placed = keyed.join(sizes, ["mask", "key"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     # member of block x takes part in the block pairs (x, y) and (y, x), each written low-high
-    dealt = placed.withColumn("own", own).select(
+    dealt = placed.where("blocks > 1").withColumn("own", own).select(
         "mask", "key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     )
     dealt = dealt.select("mask", "key", "fp", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
@@ -135,7 +135,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
         return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
 
     small = _small_buckets(placed.where("blocks = 1").select("mask", "key", "fp"), radius)
-    large = dealt.where("high > 0").groupBy("mask", "key", "low", "high").applyInPandas(find, "a long, b long")
+    large = dealt.groupBy("mask", "key", "low", "high").applyInPandas(find, "a long, b long")
     return small.unionByName(large).distinct()
 
 
