@@ -260,8 +260,9 @@ def suffix_array(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = key << np.uint64(8) | padded[j : j + n]
-    order = np.argsort(key, kind="stable")
-    fresh = np.concatenate([key[order[1:]] != key[order[:-1]], [True]])
+    room = np.minimum(np.arange(n, 0, -1), 8)  # a suffix that ends is before one that goes on with zeros
+    order = np.lexsort((room, key))
+    fresh = np.concatenate([(key[order[1:]] != key[order[:-1]]) | (room[order[1:]] != room[order[:-1]]), [True]])
     rank = np.empty(n, np.int64)
     ends = np.flatnonzero(fresh)
     rank[order] = np.repeat(ends, np.diff(ends, prepend=-1))
