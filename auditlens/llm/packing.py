@@ -7,8 +7,8 @@ no shared state: a sequence number is the task's number and a counter.
 
 A document is cut so that its pieces fit their classes: whole sequences first;
 what is left joins class ``k = capacity // length`` uncut if ``k`` such pieces
-fill a sequence to 99 %, else its head is cut to ``capacity // k`` for the next
-larger ``k`` and the rest is treated in the same way.  At the end of a task the
+fill a sequence to 99 %, else the largest length that does is cut from its head
+and the rest is treated in the same way.  At the end of a task the
 unfinished sequences (fewer than ``k`` pieces for each class, a bounded number)
 are packed first-fit decreasing, and one that stays short is closed at powers of
 two.
@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -82,18 +84,21 @@ class WordIds:
         return [b"".join([known[w] for w in words]) for words in split]
 
 
+@cache
+def fitting(capacity: int) -> list[int]:
+    """Lengths of which a fixed number fills a sequence."""
+    return [n for n in range(1, capacity) if capacity // n * n >= FILL * capacity]
+
+
 def classes(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """The pieces of a document: ``(class, length)`` in order."""
     out = [(1, capacity)] * (length // capacity)
     rest = length % capacity
+    fits = fitting(capacity)
     while rest:
-        k = capacity // rest
-        if k * rest >= FILL * capacity:
-            out.append((k, rest))
-            break
-        k += 1
-        out.append((k, capacity // k))
-        rest -= capacity // k
+        n = fits[bisect_right(fits, rest) - 1]
+        out.append((capacity // n, n))
+        rest -= n
     return out
 
 
