@@ -215,16 +215,17 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     pairs = block_pairs(spark, cells, pivots.value, threshold)
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     member = celled.join(cells.select("label", "n", "cell", "blocks"), ["label", "n", "cell"]).withColumn("block", own)
-    sides = pairs.select("label", "n", "task", F.col("cell_a").alias("cell"), F.col("block_a").alias("block"), F.lit(0).alias("side")).unionByName(
-        pairs.where("cell_a <> cell_b or block_a <> block_b").select("label", "n", "task", F.col("cell_b").alias("cell"), F.col("block_b").alias("block"), F.lit(1).alias("side"))
+    pairs = pairs.withColumn("alone", (F.col("cell_a") == F.col("cell_b")) & (F.col("block_a") == F.col("block_b")))
+    sides = pairs.select("label", "n", "task", "alone", F.col("cell_a").alias("cell"), F.col("block_a").alias("block"), F.lit(0).alias("side")).unionByName(
+        pairs.where("not alone").select("label", "n", "task", "alone", F.col("cell_b").alias("cell"), F.col("block_b").alias("block"), F.lit(1).alias("side"))
     )
-    dealt = member.join(sides, ["label", "n", "cell", "block"]).select("task", "side", "node", "size", "raw")
+    dealt = member.join(sides, ["label", "n", "cell", "block"]).select("task", "alone", "side", "node", "size", "raw")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         none = pd.DataFrame({"node": np.empty(0, np.int64), "other": np.empty(0, np.int64), "links": np.empty(0, np.int64)})
-        same = not len(b)
-        if not len(a):
+        same = bool(pdf["alone"].iat[0])
+        if not len(a) or not (same or len(b)):  # a hash may leave a block empty
             return none
         x = unit(a["raw"].tolist())
         y = x if same else unit(b["raw"].tolist())
