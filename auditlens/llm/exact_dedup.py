@@ -148,18 +148,18 @@ def groups(index: DataFrame, names: dict, id_col: str = "doc_id", text_col: str
     """One row per distinct normalised text: the columns of its kept row, and ``key, sha, points, count, rid`` of the group."""
     kind, key, rid, points, count, sha = (names[k] for k in ("kind", "key", "rid", "points", "count", "sha"))
     content = index.where(f"{kind} = 1").drop(kind)
-    sized = content.withColumn("__bytes", F.length(F.col(text_col)))
-    total = sized.agg(F.count("*").alias("n"), F.sum("__bytes").alias("b")).first()
-    rows, size = total["n"], total["b"] or 0
-    start = start or math.ceil(math.log2(max(2 * rows / bucket_rows, 2 * size / bucket_bytes, 2)))
-    deeper = directory(sized, key, "__bytes", start, bucket_bytes, bucket_rows)
-    placed = content.withColumn("__slot", F.expr(f"shiftrightunsigned({key}, {64 - start})"))
+    size, slot, depth, bucket = common.fresh(content, "bytes", "slot", "depth", "bucket")
+    sized = content.withColumn(size, F.octet_length(F.coalesce(F.col(text_col), F.lit(""))))
+    total = sized.agg(F.count("*").alias("n"), F.sum(size).alias("b")).first()
+    start = start or math.ceil(math.log2(max(2 * total["n"] / bucket_rows, 2 * (total["b"] or 0) / bucket_bytes, 2)))
+    deeper = directory(sized, key, size, start, bucket_bytes, bucket_rows)
+    placed = content.withColumn(slot, F.expr(f"shiftrightunsigned({key}, {64 - start})"))
     if deeper is None:
-        placed = placed.withColumnRenamed("__slot", "__bucket")
+        placed = placed.withColumnRenamed(slot, bucket)
     else:
-        depth = F.coalesce(F.col("depth"), F.lit(start))
-        placed = placed.join(deeper.withColumnRenamed("slot", "__slot"), "__slot", "left")
-        placed = placed.withColumn("__bucket", F.struct(depth, F.call_function("shiftrightunsigned", F.col(key), F.lit(64) - depth)))
+        placed = placed.join(deeper.withColumnsRenamed({"slot": slot, "depth": depth}), slot, "left")
+        local = F.coalesce(F.col(depth), F.lit(start))
+        placed = placed.withColumn(bucket, F.struct(local, F.call_function("shiftrightunsigned", F.col(key), F.lit(64) - local)))
     out_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in content.schema])
     arrow = to_arrow_schema(out_schema)
 
@@ -201,7 +201,7 @@ def groups(index: DataFrame, names: dict, id_col: str = "doc_id", text_col: str
         ready.extend(chain)
         yield from flush()
 
-    return placed.repartition("__bucket").sortWithinPartitions("__bucket", key).mapInArrow(owner, out_schema)
+    return placed.repartition(bucket).sortWithinPartitions(bucket, key).mapInArrow(owner, out_schema)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
