@@ -8,10 +8,9 @@ ranges are shards: a shard is the ids of its slots in order, each ``stride`` byt
 so slot ``s`` lies at byte ``(s % per_shard) * stride`` of shard ``s // per_shard``
 and a reader that stopped at a slot goes on from there.
 
-One pass counts each task's sequences; the second numbers, permutes and deals them
-to shards in one shuffle by range.  The second pass compares a checksum of what
-each task saw and stops if the input changed in between.  Only one number per
-input partition reaches the driver.
+The sequences are written to the shared folder once, so that their numbers stay the
+same when tasks run again; then they are numbered, permuted and dealt to shards in
+one shuffle by range.  Only one number per input partition reaches the driver.
 
 Defined results: null or empty text is the end id alone; null ids and repeated
 rows are documents like any other; the last sequence of a task is filled up with
@@ -23,6 +22,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -105,44 +105,31 @@ def shards(docs: DataFrame, text_col: str = "text", ranks: str | None = None, le
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     spark, texts = docs.sparkSession, docs.select(text_col)
     stride = 2 * length
-    census = T.StructType([T.StructField(n, T.LongType()) for n in ("task", "n", "crc")])
-    census_arrow = to_arrow_schema(census)
+    cut = T.StructType([T.StructField("task", T.LongType()), T.StructField("at", T.LongType()), T.StructField("length", T.IntegerType()), T.StructField("ids", T.BinaryType())])
+    cut_arrow = to_arrow_schema(cut)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, crc = 0, 0
-        for ids in sequences(batches, text_col, path, length, end_id):
-            n, crc = n + 1, zlib.crc32(ids, crc)
-        yield from common.emit({"task": [TaskContext.get().partitionId()], "n": [n], "crc": [crc]}, census_arrow)
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, at = TaskContext.get().partitionId(), 0
+        for held in batched(sequences(batches, text_col, path, length, end_id), 500):
+            full = [x.tobytes() if len(x) == length else np.concatenate([x, np.full(length - len(x), end_id, "<u2")]).tobytes() for x in held]
+            yield from common.emit({"task": [task] * len(held), "at": np.arange(at, at + len(held)), "length": [len(x) for x in held], "ids": full}, cut_arrow)
+            at += len(held)
 
-    seen = sorted(map(tuple, texts.mapInArrow(count, census).collect()))
+    tokens = common.written(texts.mapInArrow(tokenise, cut), "token-sequences")
     firsts, total = {}, 0
-    for task, n, crc in seen:
-        firsts[task] = (total, crc)
+    for task, n in sorted(map(tuple, tokens.groupBy("task").count().collect())):  # one row per input partition
+        firsts[task] = total
         total += n
     shared = spark.sparkContext.broadcast(firsts)
     placed = T.StructType([T.StructField("slot", T.LongType()), T.StructField("number", T.LongType()), T.StructField("length", T.IntegerType()), T.StructField("ids", T.BinaryType())])
     placed_arrow = to_arrow_schema(placed)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, expected = shared.value.get(TaskContext.get().partitionId(), (0, 0))
-        crc, held = 0, []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal number, held
-            if held:
-                numbers = np.arange(number, number + len(held))
-                full = [np.concatenate([x, np.full(length - len(x), end_id, "<u2")]).tobytes() for x in held]
-                yield from common.emit({"slot": permute(numbers, total, key), "number": numbers, "length": [len(x) for x in held], "ids": full}, placed_arrow)
-                number, held = number + len(held), []
-
-        for ids in sequences(batches, text_col, path, length, end_id):
-            crc = zlib.crc32(ids, crc)
-            held.append(ids)
-            if len(held) >= 500:
-                yield from flush()
-        yield from flush()
-        if crc != expected:
-            raise ValueError("the input changed between the two passes")
+        for batch in batches:
+            if batch.num_rows:
+                first = np.array([shared.value[t] for t in batch.column("task").to_pylist()], np.int64)
+                number = first + batch.column("at").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(permute(number, total, key)), pa.array(number), batch.column("length"), batch.column("ids")], schema=placed_arrow)
 
     out = T.StructType([
         T.StructField("shard", T.LongType()), T.StructField("first_slot", T.LongType()), T.StructField("stride", T.IntegerType()),
@@ -174,7 +161,7 @@ def shards(docs: DataFrame, text_col: str = "text", ranks: str | None = None, le
     parts = max(1, min(n_shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     each = -(-n_shards // parts) if n_shards else 1  # neighbouring shards of one task
     by_range = F.floor(F.col("slot") / (per_shard * each)).cast("int")
-    return texts.mapInArrow(place, placed).repartitionById(parts, by_range).sortWithinPartitions("slot").mapInArrow(assemble, out)
+    return tokens.mapInArrow(place, placed).repartitionById(parts, by_range).sortWithinPartitions("slot").mapInArrow(assemble, out)
 
 
 def read_slots(written: DataFrame, start: int, count: int, per_shard: int = PER_SHARD) -> DataFrame:
