@@ -10,6 +10,8 @@ shards, grows beyond any cluster; so shards are formed by content.
 2. Anchor rows are range-partitioned by (gram, context digest), which splits any
    frequent gram over tasks, and streamed: a gram that occurs once is dropped, a
    context that occurs twice is repeated as a whole, and what is left is open.
+   Contexts that a task has met twice already go in as one row; the others are
+   known to be repeats and are dealt evenly.
 3. Open contexts are dealt to shards by gram.  A shard's suffix array is built by
    Larsson-Sadakane refinement (ranks by 8 bytes, then doubling, sorting only
    groups that are not yet single), common prefixes by Kasai's recursion, all
@@ -53,7 +55,8 @@ CAP = 2_000
 SHARD_BYTES = 2 << 20
 SEGMENT = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
-_ROWS = T.StructType([T.StructField(n, T.LongType()) for n in ("gram", "context", "row", "place")])
+#: ``known``: 0 for a row of its own, 1 for one that stands for several of its task, 2 for the others of those.
+_ROWS = T.StructType([T.StructField(n, T.LongType()) for n in ("gram", "context", "row", "place", "known")])
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -144,11 +147,23 @@ def anchor_rows(keyed: DataFrame) -> DataFrame:
             shape = (near << 8 | far).tolist()
             context = np.fromiter((digest(whole[a : b + LENGTH], s) for a, b, s in zip(low.tolist(), high.tolist(), shape)), np.uint64, len(at)).view(np.int64)
             rows = tab.column("row").to_numpy()[doc]
-            yield from common.emit({"gram": gram, "context": context, "row": rows, "place": pack(at - begin, sizes[doc], near, far)}, arrow)
+            if len(at):
+                yield from common.emit(combined(gram, context, rows, pack(at - begin, sizes[doc], near, far)), arrow)
 
     return keyed.mapInArrow(run, _ROWS)
 
 
+def combined(gram: np.ndarray, context: np.ndarray, row: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
+    """Columns of ``_ROWS``: of equal contexts one row keeps its gram, the others get scattered ones."""
+    order = np.lexsort((context, gram))
+    gram, context, row, place = gram[order], context[order], row[order], place[order]
+    same = (gram[1:] == gram[:-1]) & (context[1:] == context[:-1])
+    more, first = np.concatenate([[False], same]), np.concatenate([same, [False]])
+    known = np.where(more, 2, np.where(first, 1, 0))
+    mixed = (row.view(np.uint64) ^ place.view(np.uint64) * np.uint64(_BASE)) * np.uint64(0xD1342543DE82EF95)
+    return {"gram": np.where(more, mixed.view(np.int64), gram), "context": context, "row": row, "place": place, "known": known}
+
+
 def classify(rows: DataFrame) -> DataFrame:
     """Rows that may be repeats, with ``whole``: true for each row whose context occurs again, false once for each
     different context of a gram that occurs again.
@@ -163,7 +178,7 @@ def classify(rows: DataFrame) -> DataFrame:
         gram_new = np.concatenate([[True], block[1:, 0] != block[:-1, 0]])
         pair_new = gram_new | np.concatenate([[True], block[1:, 1] != block[:-1, 1]])
         gram_id, pair_id = np.cumsum(gram_new) - 1, np.cumsum(pair_new) - 1
-        again = np.bincount(pair_id)[pair_id] > 1
+        again = np.bincount(pair_id, 1 + block[:, 4])[pair_id] > 1
         live = (np.bincount(gram_id)[gram_id] > 1) | edge
         several = np.bincount(gram_id[pair_new])[gram_id] > 1
         first = pair_new & live & (several | edge)
@@ -178,6 +193,12 @@ def classify(rows: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             block = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            sure = block[:, 4] == 2
+            if sure.any():
+                yield from common.emit({n: block[sure, j] for j, n in enumerate(_ROWS.names)} | {"whole": np.full(int(sure.sum()), True)}, arrow)
+                block = block[~sure]
+                if not len(block):
+                    continue
             block = block if rest is None else np.concatenate([rest, block])
             head = block[0, 0] if head is None else head
             gram_cut = np.flatnonzero(block[1:, 0] != block[:-1, 0])
@@ -214,7 +235,8 @@ def open_contexts(keyed: DataFrame, asked: DataFrame, level: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for tab in common.chunks(batches, "text", 4 << 20):
-            out: list[tuple] = []
+            near: list[tuple] = []
+            finer: list[tuple] = []
             for row, text, wants in zip(tab.column("row").to_pylist(), common.texts_of(tab, "text"), tab.column("asked").to_pylist()):
                 body = text.encode()
                 for want in wants:
@@ -223,18 +245,25 @@ def open_contexts(keyed: DataFrame, asked: DataFrame, level: int) -> DataFrame:
                     if size != len(body) & 0xFFFF:
                         continue
                     if not want["frequent"]:
-                        out.append((gram, 0, row, place, body[at - high : at - low + LENGTH]))
+                        near.append((gram, row, place, body[at - high : at - low + LENGTH]))
                         continue
                     for n in range(low // step, high // step + 1):
                         a, b = n * step, n * step + step - 1
                         core = digest(body[max(0, at - a) : at - b + LENGTH], (gram ^ n) & (1 << 64) - 1)
                         a, b = max(a, low), min(b, high)
                         inner = digest(body[at - b : at - a + LENGTH], a << 8 | b)
-                        out.append((_signed(core), _signed(inner), row, int(pack(at, size, a, b)), None))
-                if len(out) > 20_000:
-                    yield from _tuples(out, arrow)
-                    out = []
-            yield from _tuples(out, arrow)
+                        finer.append((_signed(core), _signed(inner), row, int(pack(at, size, a, b))))
+                if len(near) > 20_000:
+                    yield from shard_rows(near)
+                    near = []
+            yield from shard_rows(near)
+            if finer:
+                yield from common.emit(combined(*(np.array(c, np.int64) for c in zip(*finer))) | {"bytes": [None] * len(finer)}, arrow)
+
+    def shard_rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if rows:
+            gram, row, place, body = zip(*rows)
+            yield from common.emit({"gram": gram, "context": [0] * len(rows), "row": row, "place": place, "known": [0] * len(rows), "bytes": body}, arrow)
 
     return joined.mapInArrow(run, schema)
 
@@ -243,11 +272,6 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _tuples(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    if rows:
-        yield from common.emit(dict(zip(schema.names, zip(*rows))), schema)
-
-
 def suffix_array(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes of ``raw`` in order, and each one's place.
 
@@ -464,3 +488,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return suffix_dedup(common.table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+g AS (SELECT *, sum(CASE WHEN i <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+      FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM r)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, run),
+kept AS (
+  SELECT doc_id, coalesce(lag(b) OVER o, 0) AS a, a AS b FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT d.doc_id, coalesce(m.b, 0), d.n FROM d LEFT JOIN (SELECT doc_id, max(b) AS b FROM s GROUP BY doc_id) m USING (doc_id)),
+t AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS rest FROM kept JOIN d USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(rest)) AS kept_sha256
+FROM d JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
