@@ -52,8 +52,9 @@ STEPS = (LENGTH - GRAM + 1, 17, 1)
 #: Different contexts of one gram that a shard takes.
 CAP = 2_000
 #: Context bytes for which one suffix array is built.
-SHARD_BYTES = 2 << 20
-SEGMENT = 4 << 20
+SHARD_BYTES = 1 << 20
+#: Bytes that are hashed at a time.
+SEGMENT = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 #: ``known``: 0 for a row of its own, 1 for one that stands for several of its task, 2 for the others of those.
 _ROWS = T.StructType([T.StructField(n, T.LongType()) for n in ("gram", "context", "row", "place", "known")])
@@ -114,8 +115,9 @@ def anchors(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         tagged = (h >> np.uint64(24)) << np.uint64(24) | np.arange(len(h), dtype=np.uint64)
         least = sliding_min(tagged, LENGTH - GRAM + 1)
         window = np.arange(len(least))
-        end_of = ends[np.searchsorted(ends, start + window, side="right")] if len(ends) < 2 else np.repeat(ends, np.diff(ends, prepend=0))[start : start + len(least)]
-        inside = start + window + LENGTH <= end_of
+        near = ends[np.searchsorted(ends, start, side="right") : np.searchsorted(ends, start + len(least), side="left") + 1]
+        stops = np.minimum(near - start, len(least))  # where each text's windows stop within the segment
+        inside = window + (start + LENGTH) <= np.repeat(near, np.diff(stops, prepend=0))
         window, least = window[inside], least[inside]
         if not len(window):
             continue
@@ -405,6 +407,7 @@ def repeated_windows(keyed: DataFrame, cap: int = CAP) -> DataFrame:
         if level + 1 == len(STEPS):
             break  # a window is its own gram: nothing stays open
         sizes = sorted_out.where("not whole").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+        sizes = common.written(sizes, "suffix-grams")  # so that the join below is between two shuffles, which AQE splits
         asked = sorted_out.where("not whole").join(sizes, "gram").select("gram", "row", "place", (F.col("n") > cap).alias("frequent"))
         fetched = common.written(open_contexts(keyed, asked, level), "suffix-contexts")
         found = found.unionByName(shard_spans(fetched.where("bytes is not null")))
