@@ -9,8 +9,11 @@ from ..schema import EPSILON, SIGMAS
 
 
 def deviation(value: Column, mean: Column, std: Column) -> Column:
-    """Distance from the mean in sigmas, linear, 1 from ``SIGMAS`` on."""
-    return F.least(F.abs(value - mean) / (std + EPSILON) / SIGMAS, F.lit(1.0))
+    """Distance from the mean in sigmas, linear, 1 from ``SIGMAS`` on.
+
+    Rounded to 12 places, so that the order in which tasks add up a baseline does not show.
+    """
+    return F.round(F.least(F.abs(value - mean) / (std + EPSILON) / SIGMAS, F.lit(1.0)), 12)
 
 
 def count_true(*conditions: Column) -> Column:
