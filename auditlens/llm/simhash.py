@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -171,9 +171,9 @@ def _small_buckets(rows: DataFrame, radius: int) -> DataFrame:
     return rows.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(run, "a long, b long")
 
 
-def components(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, fp: str = "__fp") -> DataFrame:
-    """``fp, component_id``: the least id reachable from each fingerprint by links within the radius."""
-    classes = common.written(prints.groupBy(F.col(fp).alias("fp")).agg(F.min(id_col).alias("least")), "classes")
+def components(prints: DataFrame, name: Column, radius: int = RADIUS, fp: str = "__fp") -> DataFrame:
+    """``fp, component_id``: the least ``name`` reachable from each fingerprint by links within the radius."""
+    classes = common.written(prints.groupBy(F.col(fp).alias("fp")).agg(F.min(name).alias("least")), "classes")
     graph = common.connected_components(links(classes.select("fp"), radius))
     placed = classes.join(graph.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     placed = common.written(placed, "placed")
@@ -185,18 +185,20 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: ``doc_id, fingerprint, component_id``."""
     (fp,) = common.fresh(docs, "fp")
     prints = common.written(fingerprints(docs, text_col, [id_col]), "fingerprints")
-    found = components(prints, id_col, radius, fp).withColumnRenamed("fp", fp)
+    found = components(prints, F.col(id_col), radius, fp).withColumnRenamed("fp", fp)
     return prints.join(found, fp).select(F.col(id_col).alias("doc_id"), F.lower(F.lpad(F.hex(fp), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The input's rows of which ``doc_id`` is the least id of its component; a component without ids stays whole."""
-    (fp,) = common.fresh(docs, "fp")
-    prints = common.written(fingerprints(docs, text_col, [id_col]), "fingerprints")
-    found = components(prints, id_col, radius, fp).withColumnRenamed("fp", fp)
-    kept = prints.join(found, fp).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    kept = kept.withColumnRenamed(id_col, "__kept")
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    """The input's columns, one row of each component: that with the least id, null last, and of repeated rows the first."""
+    row, kept = common.fresh(docs, "row", "kept")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    (fp,) = common.fresh(numbered, "fp")
+    table = common.written(fingerprints(numbered, text_col), "fingerprints")  # freezes the row numbers
+    order = F.struct(F.col(id_col).isNull().alias("without"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    found = components(table.select(id_col, row, fp), order, radius, fp)
+    first = found.select(F.col("component_id.row").alias(kept)).distinct()
+    return table.join(first, F.col(row) == F.col(kept), "left_semi").select(*docs.columns)
 
 
 def op8_simhash_dedup(spark, sf_dir: str) -> DataFrame:
