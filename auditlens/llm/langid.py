@@ -44,6 +44,9 @@ SCRIPT_SHARE = 0.002
 MAX_LANGUAGES = 1_000
 #: Share of supported letters below which the pipeline rejects a document.
 REJECT_BELOW = 0.3
+#: Text bytes, and distinct words, that a task scores at a time.
+CHUNK_BYTES = 4 << 20
+CHUNK_WORDS = 20_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 #: First code points of Unicode script ranges, and the script from there on.
@@ -104,7 +107,7 @@ def train_counts(labelled: DataFrame, text_col: str, label_col: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for tab in common.chunks(batches, text_col):
+        for tab in common.chunks(batches, text_col, CHUNK_BYTES):
             counted: dict[str, Counter] = {}
             for text, lang in zip(common.texts_of(tab, text_col), tab.column(label_col).to_pylist()):
                 counted.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
@@ -143,6 +146,9 @@ class Model:
 
     def scores(self, words: list[str], script: np.ndarray) -> np.ndarray:
         """``[word, language]``: at most 0, the best candidate 0."""
+        return np.concatenate([self._scores(words[i : i + CHUNK_WORDS], script[i : i + CHUNK_WORDS]) for i in range(0, len(words), CHUNK_WORDS)])
+
+    def _scores(self, words: list[str], script: np.ndarray) -> np.ndarray:
         bucket, owner = ngrams([w.lower() for w in words])
         order = np.argsort(owner, kind="stable")
         edges = np.searchsorted(owner[order], np.arange(len(words)))
@@ -203,7 +209,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", with_spans: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        for tab in common.chunks(batches, text_col):
+        for tab in common.chunks(batches, text_col, CHUNK_BYTES):
             texts = common.texts_of(tab, text_col)
             number: dict[str, int] = {}
             lines = [np.array([number.setdefault(w, len(number)) for w in _WORD.findall(t)], np.int32) for t in texts]
