@@ -50,7 +50,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Language models, suffix arrays and tokenizers are beyond SQL; tests/llm/test_pipeline.py has a brute-force version.
+#: Language models, suffix arrays and tokenizers are beyond SQL; tests/llm/test_other_operators.py has a brute-force version.
 ORACLE_SQL = None
 
 
