@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlens.llm import common, exact_dedup, langid, packing, simhash, suffix_dedup
+from auditlens.llm import common, exact_dedup, langid, near_dup, packing, suffix_dedup
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +25,9 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of SimHash links."""
+    """One document of each component of links: five-word shingles with a Jaccard similarity of 0.8 or more."""
     common.importable(spark)
-    return simhash.keep_representatives(docs)
+    return near_dup.keep_representatives(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
