@@ -432,7 +432,8 @@ def with_repeats(docs: DataFrame, id_col: str, text_col: str, function, schema:
     key, spots = common.fresh(docs, "row", "places")
     keyed = docs.select(row_key(id_col, text_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = repeated_windows(keyed.where(F.octet_length("text") >= LENGTH))
-    found = found.groupBy(F.col("row").alias(key)).agg(F.collect_list("place").alias(spots))
+    # equal rows without ids of their own share a key and give the same places: each is kept once
+    found = found.groupBy(F.col("row").alias(key)).agg(F.collect_set("place").alias(spots))
     joined = docs.withColumn(key, row_key(id_col, text_col)).join(found, key, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
