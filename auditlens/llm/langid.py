@@ -142,7 +142,8 @@ class Model:
         grams, letters = count[:BUCKETS], count[BUCKETS:]
         self.weights = np.log((grams + SMOOTHING) / (grams.sum(axis=0) + SMOOTHING * BUCKETS)).astype(np.float32)
         self.allowed = letters >= SCRIPT_SHARE * np.maximum(letters.sum(axis=0), 1)
-        self.allowed[~self.allowed.any(axis=1)] = True
+        self.written = self.allowed.any(axis=1)  # scripts that some language writes
+        self.allowed[~self.written] = True
 
     def scores(self, words: list[str], script: np.ndarray) -> np.ndarray:
         """``[word, language]``: at most 0, the best candidate 0."""
@@ -198,8 +199,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     return Model(train_counts(labelled, text_col, label_col).collect())
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", with_spans: bool = False) -> DataFrame:
-    """The input's columns and ``lang_pred, lang_score`` (renamed if taken), and ``spans`` if asked for."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", with_spans: bool = False, supported: bool = False) -> DataFrame:
+    """The input's columns and ``lang_pred, lang_score`` (renamed if taken), and ``spans`` if asked for.
+
+    With ``supported``, the score is the share of letters, in spans of any language, in words that
+    favour their span's language and whose script some language writes.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     pred, mark, spans = common.fresh(docs, "lang_pred", "lang_score", "spans")
@@ -228,7 +233,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", with_spans: b
                         continue
                     best = int(np.bincount(label, size, len(m.languages)).argmax())
                     langs[i] = m.languages[best]
-                    marks[i] = float(size[(label == best) & (favours[line] == best)].sum() / whole)
+                    counted = (favours[line] == label) & (m.written[script[line]] if supported else label == best)
+                    marks[i] = float(size[counted].sum() / whole)
                     if with_spans:
                         found[i] = _spans(texts[i], label, m.languages)
             cols = {f.name: tab.column(f.name) for f in arrow if f.name in tab.column_names}
@@ -258,12 +264,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", least: float = REJECT_BELOW) -> DataFrame:
-    """The rows whose language is known with at least ``least`` of their letters."""
+    """The rows whose languages, one or several, are known for at least ``least`` of their letters."""
     model = fit(docs, id_col, text_col, label_col)
     pred, mark = common.fresh(docs, "lang_pred", "lang_score")
     free = not {"lang_pred", "lang_score"} & set(docs.columns)
     pred, mark = ("lang_pred", "lang_score") if free else (pred, mark)
-    return predict(docs, model, text_col).where((F.col(pred) != UNKNOWN) & (F.col(mark) >= least)).select(*docs.columns)
+    return predict(docs, model, text_col, supported=True).where((F.col(pred) != UNKNOWN) & (F.col(mark) >= least)).select(*docs.columns)
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
