@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -298,7 +299,6 @@ def test_merge_replay_equals_library(texts):
 
 def test_packing(docs, empty):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     table = rows()
     want = Counter(np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for r in table)
     got = packing.pack_documents(clash(docs), with_ids=True, capacity=64).collect()
@@ -327,22 +327,47 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
-@given(st.integers(0, 9000))
-def test_classes_fill_their_sequences(length):
-    pieces = packing.classes(length)
-    assert sum(n for _, n in pieces) == length
-    assert all(0.99 * 2048 <= k * n <= 2048 for k, n in pieces)
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 9000) | st.integers(1, 300), max_size=400))
+def test_sequences_are_filled_by_class(lengths):
+    filler = packing.Filler(7)
+    for doc, n in enumerate(lengths):
+        filler.add(doc, memoryview(np.arange(n, dtype="<u4")))
+        filler.settle()
+    filler.finish()
+    held = {}
+    for doc, start, ids, total, sequence, offset in filler.ready:
+        assert total == lengths[doc] and list(ids) == list(range(start, start + len(ids)))
+        held.setdefault(sequence, []).append((offset, len(ids)))
+    assert sum(n for x in held.values() for _, n in x) == sum(lengths)
+    for parts in held.values():
+        parts.sort()
+        assert [at for at, _ in parts] == np.cumsum([0, *[n for _, n in parts[:-1]]]).tolist()
+    sizes = [sum(n for _, n in x) for x in held.values()]
+    assert all(n <= 2048 for n in sizes)
+    short = [n for n in sizes if n <= 2048 - 64 and n & (n - 1)]
+    assert len(short) <= 2  # sequences that were still waiting at the end
+    cuts = sum(1 for _, _, ids, total, _, _ in filler.ready if len(ids) < 64 and total >= 64)
+    assert cuts <= 25  # only where the last sequences are laid end to end
+
+
+def test_full_class_takes_its_number_of_documents():
+    filler = packing.Filler(0)
+    for doc in range(3):
+        filler.add(doc, memoryview(np.zeros(680, "<u4")))
+    assert [(x[0], x[4], x[5]) for x in filler.ready] == [(0, 0, 0), (1, 0, 680), (2, 0, 1360)] and not filler.open and not filler.waiting
 
 
 def test_words_are_encoded_as_the_library_does():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     words = packing.WordIds.of(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = st.lists(st.sampled_from(["a", "B", ".", "=", "\u0338", "İ", "7", "--", "s", " ", "'", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "\x0b", "\x0c", "\x1c", "\r"]), max_size=9).map("".join)
 
     @settings(max_examples=200, deadline=None)
-    @given(st.text(max_size=40) | st.text("aΣ éÉİ́̈\n\t\x85 'sd1", max_size=30))
+    @given(st.text(max_size=40) | st.text("aΣ éÉİ́̈\n\t\x85 'sd1", max_size=30) | pieces)
     def check(text):
-        assert np.frombuffer(words.encode([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        ids, starts = words.encode(pa.array(["b", text, None]))
+        assert ids[starts[1] : starts[2]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids and starts[3] == starts[2]
 
     check()
 
