@@ -4,17 +4,22 @@ Vectors with one label are scaled to unit length, where a cosine of at least
 ``t`` is a distance of at most ``sqrt(2 - 2t)``.
 
 1. Equal vectors of a label collapse to one point with a multiplicity.
-2. Pivots are the top of a cover tree over a bounded sample; every point joins the
-   cell of its nearest pivot of its label, and a cell of any size is dealt into
-   blocks of about ``BLOCK`` points by hash.
-3. Pairs of blocks of one label whose cells' covering radii leave room for a link
-   are each traversed in one task: a cover tree of each block (nested levels, radii
-   halving), node pairs pruned when their centres are further apart than the
-   threshold and both covering radii, leaf pairs compared exactly by cosine.
-4. A task returns, for each of its points, how many vectors it links with, and a
+2. The top of a cover tree is built in Spark: all points of a label are one cell; a cell
+   that is too large for a task is split among centres chosen far apart from a sample of its
+   own points, and so on until every cell fits.  Cells, centres and covering radii are
+   tables; nothing of them is broadcast by hint or collected.
+3. Level by level, pairs of cells are replaced by the pairs of their children, and pruned
+   where the centres are further apart than the threshold and both covering radii.
+4. Each pair of cells that is left is traversed in one task: a cover tree of each cell (nested
+   levels, radii halving), node pairs pruned in the same way, node pairs whose points all lie
+   within the threshold linked as a whole, leaf pairs compared exactly by cosine.
+5. A task returns, for each of its points, how many vectors it links with, and a
    spanning forest of its links; link counts are summed and components joined in
    Spark.  All pairs of a group are never written.
 
+A cell whose points cannot be told apart by centres is cut into blocks by hash, and all its
+pairs of blocks are traversed.
+
 Defined results: a null label, or a vector that is null, empty, zero or holds a
 null or non-finite component links with nothing, and so do vectors of different
 length; each is its own component and kept.  Repeated rows (equal ``vec_id``) are
@@ -25,38 +30,56 @@ links give one.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common
 
+log = logging.getLogger(__name__)
+
 THRESHOLD = 0.93
-#: Points of a block; a task holds two blocks.
-BLOCK = 2_000
-#: Rows of the sample that pivots are chosen from, and pivots of a label.
-SAMPLE = 4_000
-PIVOTS = 16
+#: Components of the vectors of a cell that a task takes; a task holds two cells.
+CELL_VALUES = 1 << 19
+#: Points that a cell may always have.
+CELL_POINTS = 500
+#: Children of a cell, and points (as expected) that their centres are chosen from.
+CHILDREN = 16
+PICKED = 256
 #: A node with at most this many points is a leaf.
-LEAF = 16
+LEAF = 64
+#: Distances computed at a time.
+TABLE = 1 << 21
 #: Room for rounding in the pruning bounds; links are decided by the cosine itself.
 SLACK = 1e-6
 
 
+def reach_of(threshold: float) -> float:
+    """The distance of unit vectors whose cosine is ``threshold``."""
+    return math.sqrt(2 - 2 * threshold)
+
+
 class Node:
-    """A point that covers ``points`` (row numbers of the block) within ``radius``."""
+    """A point that covers ``points`` (row numbers of the block) within ``radius``; ``more`` links belong to each of them."""
 
-    __slots__ = ("centre", "children", "points", "radius")
+    __slots__ = ("centre", "children", "joined", "more", "points", "radius", "total")
 
     def __init__(self, centre: int, radius: float, points: np.ndarray, children: list[Node]):
         self.centre, self.radius, self.points, self.children = centre, radius, points, children
+        self.joined, self.more, self.total = False, 0, -1
+
+    def walk(self) -> Iterator[Node]:
+        held = [self]
+        while held:
+            node = held.pop()
+            yield node
+            held.extend(node.children)
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -64,6 +87,30 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (x @ y.T), 0.0))
 
 
+def net_of(x: np.ndarray, first: int, level: float, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """A net of ``x`` from row ``first`` on: rows more than ``level`` apart that cover all others, and the nearest for each row."""
+    nearest, best, net = distances(x, x[first][None])[:, 0], np.zeros(len(x), np.int64), [first]
+    nearest[first] = 0.0
+    bare = np.flatnonzero(nearest > level)
+    while len(bare):
+        some = bare[:batch]
+        apart = distances(x[some], x[some]) > level
+        free, chosen = np.ones(len(some), bool), []
+        for i in range(len(some)):
+            if free[i]:
+                chosen.append(i)
+                free &= apart[i]
+        new = some[chosen]
+        d = distances(x, x[new])
+        d[new, np.arange(len(new))] = 0.0
+        least = d.min(axis=1)
+        closer = least < nearest
+        nearest[closer], best[closer] = least[closer], len(net) + d.argmin(axis=1)[closer]
+        net.extend(new.tolist())
+        bare = bare[nearest[bare] > level]
+    return np.array(net), best
+
+
 def cover(x: np.ndarray, points: np.ndarray, centre: int, level: float) -> Node:
     """A cover tree over ``points``: children are a net of radius ``level`` and cover what is nearest to them."""
     away = distances(x[points], x[centre][None])[:, 0]
@@ -72,19 +119,11 @@ def cover(x: np.ndarray, points: np.ndarray, centre: int, level: float) -> Node:
         return Node(centre, radius, points, [])
     while level >= radius:
         level /= 2
-    net, nearest, best = [], np.full(len(points), np.inf), np.zeros(len(points), np.int64)
-    at = int(np.argmin(away))  # the centre itself is the first child: levels are nested
-    while True:
-        d = distances(x[points], x[points[at]][None])[:, 0]
-        closer = d < nearest
-        nearest[closer], best[closer] = d[closer], len(net)
-        net.append(at)
-        if nearest.max() <= level:
-            break
-        at = int(nearest.argmax())
+    # the centre itself is the first child: levels are nested
+    net, best = net_of(x[points], int(np.flatnonzero(points == centre)[0]), level)
     order = np.argsort(best, kind="stable")
     parts = np.split(points[order], np.flatnonzero(np.diff(best[order])) + 1)
-    return Node(centre, radius, points, [cover(x, part, int(points[net[i]]), level / 2) for i, part in zip(np.unique(best), parts)])
+    return Node(centre, radius, points, [cover(x, part, int(points[i]), level / 2) for i, part in zip(net, parts)])
 
 
 def tree(x: np.ndarray) -> Node:
@@ -98,9 +137,11 @@ class Links:
         self.x, self.y, self.same, self.threshold = left, right, same, threshold
         self.size_x, self.size_y = left_size, right_size
         self.count_x, self.count_y = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+        self.shift = 0 if same else len(left)
         self.parent = np.arange(len(left) + (0 if same else len(right)))
         self.forest: list[tuple[int, int]] = []
-        self.reach = math.sqrt(2 - 2 * threshold) + SLACK
+        self.reach, self.within = reach_of(threshold) + SLACK, reach_of(threshold) - SLACK
+        self.compared = 0
 
     def root(self, a: int) -> int:
         while self.parent[a] != a:
@@ -108,59 +149,125 @@ class Links:
             a = self.parent[a]
         return a
 
+    def roots(self, a: np.ndarray) -> np.ndarray:
+        found = self.parent[a]
+        while (found != (up := self.parent[found])).any():
+            found = up
+        self.parent[a] = found
+        return found
+
+    def join(self, p: np.ndarray, q: np.ndarray) -> None:
+        """Links between points ``p`` and ``q``: those that join two trees go to the forest."""
+        r, s = self.roots(p), self.roots(q)
+        apart = np.flatnonzero(r != s)
+        if not len(apart):
+            return
+        _, first = np.unique(r[apart] * len(self.parent) + s[apart], return_index=True)
+        for a, b in zip(p[apart[first]].tolist(), q[apart[first]].tolist()):
+            r, s = self.root(a), self.root(b)
+            if r != s:
+                self.parent[max(r, s)] = min(r, s)
+                self.forest.append((a, b))
+
     def compare(self, a: np.ndarray, b: np.ndarray) -> None:
         """All pairs of points of two leaves, by cosine; a point is not paired with itself."""
+        own = self.same and a is b
+        if own and len(a) == 1:
+            return
+        self.compared += len(a) * len(b)
         hit = self.x[a] @ self.y[b].T >= self.threshold
-        if self.same:
-            hit &= a[:, None] < b[None, :] if a is b else a[:, None] != b[None, :]
+        if own:
+            hit = np.triu(hit, 1)
         i, j = np.nonzero(hit)
         if not len(i):
             return
-        i, j = a[i], b[j]
-        np.add.at(self.count_x, i, self.size_y[j])
-        np.add.at(self.count_x if self.same else self.count_y, j, self.size_x[i])
-        shift = 0 if self.same else len(self.x)
-        for p, q in zip(i.tolist(), (j + shift).tolist()):
-            r, s = self.root(p), self.root(q)
-            if r != s:
-                self.parent[max(r, s)] = min(r, s)
-                self.forest.append((p, q))
+        self.count_x[a] += hit @ self.size_y[b]
+        (self.count_x if self.same else self.count_y)[b] += hit.T @ self.size_x[a]
+        self.join(a[i], b[j] + self.shift)
+
+    def link_all(self, a: Node, b: Node) -> None:
+        """Every point of one node with every point of the other, without looking at the pairs."""
+        for node, size, shift in ((a, self.size_x, 0), (b, self.size_y, self.shift)):
+            if node.total < 0:
+                node.total = int(size[node.points].sum())
+        if a is b:
+            self.count_x[a.points] += a.total - self.size_x[a.points]
+            self._join_node(a, 0)
+            return
+        a.more += b.total
+        b.more += a.total
+        # every point of each side links with the other's first point
+        self.join(np.array([a.points[0]]), np.array([b.points[0] + self.shift]))
+        self._join_node(a, 0, b.points[0] + self.shift)
+        self._join_node(b, self.shift, a.points[0])
+
+    def _join_node(self, node: Node, shift: int, through: int | None = None) -> None:
+        """The points of a node are one tree from now on, by links with ``through`` or else with its first point."""
+        if not node.joined:
+            mine = node.points + shift
+            self.join(mine, np.full(len(mine), mine[0] if through is None else through))
+            node.joined = True
 
     def traverse(self, a: Node, b: Node) -> None:
         """Node pairs, each unordered pair of points once."""
-        stack = [(a, b)]
+        stack, tops = [(a, b)], [(a, self.count_x)] + [(b, self.count_y)] * (not self.same)
         while stack:
             a, b = stack.pop()
             if self.same and a is b:
-                if not a.children:
+                if 2 * a.radius <= self.within:
+                    self.link_all(a, a)
+                elif not a.children:
                     self.compare(a.points, a.points)
-                    continue
-                kids = a.children
-                stack.extend((k, k) for k in kids)
-                stack.extend((kids[i], kids[j]) for i, j in self.near(kids, kids) if i < j)
+                else:
+                    kids = a.children
+                    stack.extend((k, k) for k in kids if len(k.points) > 1)
+                    for i, j, full in self.near(kids, kids):
+                        if i < j:
+                            self.link_all(kids[i], kids[j]) if full else stack.append((kids[i], kids[j]))
             elif not a.children and not b.children:
                 self.compare(a.points, b.points)
             else:
                 kids_a = a.children if a.children and (not b.children or a.radius >= b.radius) else [a]
                 kids_b = b.children if b.children and (not a.children or b.radius >= a.radius) else [b]
-                stack.extend((kids_a[i], kids_b[j]) for i, j in self.near(kids_a, kids_b))
-
-    def near(self, a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
-        """Pairs that are not pruned: centres no further apart than the threshold and both covering radii."""
+                for i, j, full in self.near(kids_a, kids_b):
+                    self.link_all(kids_a[i], kids_b[j]) if full else stack.append((kids_a[i], kids_b[j]))
+        for top, count in tops:
+            for node in top.walk():
+                if node.more:
+                    count[node.points] += node.more
+
+    def near(self, a: list[Node], b: list[Node]) -> Iterator[tuple[int, int, bool]]:
+        """Pairs that are not pruned (centres no further apart than the threshold and both covering radii), and
+        whether all their points lie within the threshold."""
         ra, rb = np.array([n.radius for n in a]), np.array([n.radius for n in b])
-        d = distances(self.x[[n.centre for n in a]], self.y[[n.centre for n in b]])
-        return np.argwhere(d <= ra[:, None] + rb[None, :] + self.reach).tolist()
-
-
-def clean(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """``id, label, vector`` of the rows that can link; ``vector`` as doubles of unit length, kept with its raw hash."""
+        x, y = self.x[[n.centre for n in a]], self.y[[n.centre for n in b]]
+        step = max(1, TABLE // len(b))
+        for at in range(0, len(a), step):
+            d, both = distances(x[at : at + step], y), ra[at : at + step, None] + rb[None, :]
+            self.compared += d.size
+            i, j = np.nonzero(d <= both + self.reach)
+            full = d[i, j] + both[i, j] <= self.within
+            yield from zip((i + at).tolist(), j.tolist(), full.tolist())
+
+
+def clean(vector_col: str, label_col: str) -> tuple[Column, Column]:
+    """The label as text, and the vector as doubles scaled by its largest component; null if the row cannot link."""
+    label = F.col(label_col).cast("string")
     v = F.transform(F.col(vector_col), lambda c: c.cast("double"))
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("raw"))
     # the comparison is also false for NaN turned null, so one test covers null, NaN and both infinities
-    finite = F.forall("raw", lambda c: F.coalesce(F.abs(F.nanvl(c, F.lit(float("inf")))) < float("inf"), F.lit(False)))
-    good = rows.where("label is not null and raw is not null").where(F.size("raw") > 0).where(finite)
-    most = F.array_max(F.transform("raw", F.abs))
-    return good.where(F.exists("raw", lambda c: c != 0)).withColumn("raw", F.transform("raw", lambda c: c / most))
+    finite = F.forall(v, lambda c: F.coalesce(F.abs(F.nanvl(c, F.lit(float("inf")))) < float("inf"), F.lit(False)))
+    usable = label.isNotNull() & F.col(vector_col).isNotNull() & finite & F.exists(v, lambda c: c != 0)
+    most = F.array_max(F.transform(v, F.abs))
+    return label, F.when(usable, F.transform(v, lambda c: c / most + 0.0))
+
+
+def dot(a: str | Column, b: str | Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda sum_, x: sum_ + x)
+
+
+def gap(cosine: Column) -> Column:
+    """The distance of unit vectors with this cosine."""
+    return F.sqrt(F.greatest(2.0 - 2.0 * cosine, F.lit(0.0)))
 
 
 def unit(rows: list) -> np.ndarray:
@@ -168,65 +275,82 @@ def unit(rows: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def pivots_of(points: DataFrame) -> dict[tuple, np.ndarray]:
-    """For each label and vector length, the first net of a cover tree over the sample (farthest points first)."""
-    sample = points.orderBy(F.xxhash64("node")).limit(SAMPLE).select("label", F.size("raw").alias("n"), "raw").collect()
-    held: dict[tuple, list] = {}
-    for r in sample:
-        held.setdefault((r["label"], r["n"]), []).append(r["raw"])
-    out = {}
-    for name, raw in held.items():
-        x = unit(raw)
+def centres(wide: DataFrame) -> DataFrame:
+    """``cell, child, centre``: up to ``CHILDREN`` points of each cell's sample, each far from those before it."""
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = unit(pdf["raw"].tolist())
         chosen, nearest = [0], distances(x, x[:1])[:, 0]
-        while len(chosen) < min(PIVOTS, len(x)) and nearest.max() > 0.5:
+        while len(chosen) < CHILDREN and nearest.max() > SLACK:
             chosen.append(int(nearest.argmax()))
             nearest = np.minimum(nearest, distances(x, x[chosen[-1:]])[:, 0])
-        out[name] = x[chosen]
-    return out
-
-
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """One row per row: ``vec_id, n_links, component_id, kept``."""
-    spark = vectors.sparkSession
-    rows = clean(vectors, id_col, vector_col, label_col)
-    points = rows.groupBy("label", "raw").agg(F.min("id").alias("least"), F.count("*").alias("size"))
-    points = common.written(points.withColumn("node", F.monotonically_increasing_id()), "cover-points")
-    pivots = spark.sparkContext.broadcast(pivots_of(points))
-    celled_type = T.StructType([T.StructField("node", T.LongType()), T.StructField("label", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType()), T.StructField("size", T.LongType()), T.StructField("raw", T.ArrayType(T.DoubleType()))])
-    arrow = to_arrow_schema(celled_type)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            labels, raw = batch.column("label").to_pylist(), batch.column("raw").to_pylist()
-            n = np.array([len(r) for r in raw], np.int32)
-            cell, away = np.zeros(len(n), np.int32), np.full(len(n), 2.0)  # a label outside the sample is one cell of radius 2
-            by: dict[tuple, list[int]] = {}
-            for i, name in enumerate(zip(labels, n.tolist())):
-                by.setdefault(name, []).append(i)
-            for name, at in by.items():
-                if (p := pivots.value.get(name)) is not None:
-                    d = distances(unit([raw[i] for i in at]), p)
-                    cell[at], away[at] = d.argmin(axis=1), d.min(axis=1)
-            yield from common.emit({"node": batch.column("node"), "label": labels, "n": n, "cell": cell, "away": away, "size": batch.column("size"), "raw": raw}, arrow)
-
-    celled = common.written(points.select("node", "label", "size", "raw").mapInArrow(assign, celled_type), "cover-cells")
-    cells = celled.groupBy("label", "n", "cell").agg(F.max("away").alias("radius"), F.count("*").alias("points"))
-    cells = common.written(cells.withColumn("blocks", F.ceil(F.col("points") / block).cast("int")), "cover-cell-sizes")
-    pairs = block_pairs(spark, cells, pivots.value, threshold)
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    member = celled.join(cells.select("label", "n", "cell", "blocks"), ["label", "n", "cell"]).withColumn("block", own)
-    pairs = pairs.withColumn("alone", (F.col("cell_a") == F.col("cell_b")) & (F.col("block_a") == F.col("block_b")))
-    sides = pairs.select("label", "n", "task", "alone", F.col("cell_a").alias("cell"), F.col("block_a").alias("block"), F.lit(0).alias("side")).unionByName(
-        pairs.where("not alone").select("label", "n", "task", "alone", F.col("cell_b").alias("cell"), F.col("block_b").alias("block"), F.lit(1).alias("side"))
-    )
-    dealt = member.join(sides, ["label", "n", "cell", "block"]).select("task", "alone", "side", "node", "size", "raw")
+        return pd.DataFrame({"cell": pdf["cell"].iat[0], "child": range(len(chosen)), "centre": x[chosen].tolist()})
+
+    share = F.pmod(F.xxhash64("node", F.lit("centres")), F.lit(1 << 40)) / float(1 << 40)
+    picked = wide.where(share < PICKED / F.col("points")).select("cell", "raw")
+    return picked.groupBy("cell").applyInPandas(choose, "cell string, child int, centre array<double>")
+
+
+def cells_of(points: DataFrame, threshold: float, limit: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The top of the cover tree: ``node, cell, raw, size`` of all points; ``cell, points, blocks`` of the leaves; and
+    ``a, b``, the pairs of leaves that can hold a link, each once."""
+    held = points.select("node", F.concat_ws("|", "label", "n").alias("cell"), "n", "norm", "raw", "size")
+    live = held.groupBy("cell", "n").agg(F.count("*").alias("points")).withColumn("radius", F.lit(2.0))
+    live = common.written(live.select("cell", "n", "points", "radius", F.lit(None).cast("array<double>").alias("centre"), (F.col("points") > limit).alias("wide")), "cover-cells")
+    pairs = live.select(F.col("cell").alias("a"), F.col("cell").alias("b"))
+    settled: list[DataFrame] = []
+    while not live.where("wide").isEmpty():
+        wide = live.where("wide").select("cell", "points")
+        joined = held.join(wide, "cell")
+        chosen = common.written(centres(joined), "cover-centres")
+        sets = chosen.groupBy("cell").agg(F.collect_list(F.struct("child", "centre")).alias("set"))  # at most CHILDREN each
+        settled.append(held.join(sets.select("cell"), "cell", "left_anti"))
+        nearest = F.array_min(F.transform("set", lambda c: F.struct(gap(dot(c["centre"], "raw") / F.col("norm")).alias("away"), c["child"].alias("child"))))
+        dealt = held.join(sets, "cell").withColumn("to", nearest)
+        dealt = dealt.select("node", F.col("cell").alias("parent"), F.concat_ws(".", "cell", "to.child").alias("cell"), "n", "norm", "raw", "size", F.col("to.away").alias("away"))
+        dealt = common.written(dealt, "cover-members")
+        named = chosen.select(F.concat_ws(".", "cell", "child").alias("cell"), "centre")
+        sizes = dealt.groupBy("parent", "cell", "n").agg(F.count("*").alias("points"), F.max("away").alias("radius"))
+        kids = sizes.join(named, "cell").join(wide.select(F.col("cell").alias("parent"), F.col("points").alias("of")), "parent")
+        # a child that holds nearly all of its parent is not split again
+        again = (F.col("points") > limit) & (F.col("points") < 0.9 * F.col("of")) & (F.col("radius") > 10 * SLACK)
+        kids = kids.select("parent", "cell", "n", "points", "radius", "centre", again.alias("wide"))
+        rest = live.join(sets.select("cell"), "cell", "left_anti").select(F.col("cell").alias("parent"), "cell", "n", "points", "radius", "centre", F.lit(False).alias("wide"))
+        kids = common.written(kids.unionByName(rest), "cover-cells")
+        held, live = dealt.drop("parent", "away"), kids.drop("parent")
+        pairs = common.written(near_children(pairs, kids, threshold), "cover-pairs")
+        log.info("cover tree: %s cells, %s pairs of them left", live.count(), pairs.count())
+    members = reduce(DataFrame.unionByName, settled, held).select("node", "cell", "raw", "size")
+    return members, live.withColumn("blocks", F.ceil(F.col("points") / limit).cast("int")).select("cell", "points", "blocks"), pairs
+
+
+def near_children(pairs: DataFrame, kids: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of the children of each pair ``a, b`` that are not pruned; a cell that was not split is its own child."""
+    side = lambda x: kids.select(F.col("parent").alias(x), F.col("cell").alias(f"cell_{x}"), F.col("radius").alias(f"radius_{x}"), F.col("centre").alias(f"centre_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where("a <> b or cell_a <= cell_b")
+    close = gap(dot("centre_a", "centre_b")) <= F.col("radius_a") + F.col("radius_b") + reach_of(threshold) + SLACK
+    return both.where((F.col("cell_a") == F.col("cell_b")) | close).select(F.col("cell_a").alias("a"), F.col("cell_b").alias("b"))
+
+
+def block_pairs(pairs: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``task, alone, cell, block, side``: both sides of every pair of blocks of paired cells."""
+    of = lambda x: leaves.select(F.col("cell").alias(x), F.col("blocks").alias(f"blocks_{x}"))
+    out = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("block_a", F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1)))
+    first = F.when(F.col("a") == F.col("b"), F.col("block_a")).otherwise(F.lit(0))
+    out = out.withColumn("block_b", F.explode(F.sequence(first, F.col("blocks_b") - 1)))
+    out = out.select("a", "block_a", "b", "block_b", F.concat_ws("/", "a", "block_a", "b", "block_b").alias("task"), ((F.col("a") == F.col("b")) & (F.col("block_a") == F.col("block_b"))).alias("alone"))
+    left = out.select("task", "alone", F.col("a").alias("cell"), F.col("block_a").alias("block"), F.lit(0).alias("side"))
+    return left.unionByName(out.where("not alone").select("task", "alone", F.col("b").alias("cell"), F.col("block_b").alias("block"), F.lit(1).alias("side")))
+
+
+def solved(dealt: DataFrame, threshold: float) -> DataFrame:
+    """``node, other, links``: link counts (``other`` -1) and forests of all tasks."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        none = pd.DataFrame({"node": np.empty(0, np.int64), "other": np.empty(0, np.int64), "links": np.empty(0, np.int64)})
         same = bool(pdf["alone"].iat[0])
         if not len(a) or not (same or len(b)):  # a hash may leave a block empty
-            return none
+            return pd.DataFrame({"node": np.empty(0, np.int64), "other": np.empty(0, np.int64), "links": np.empty(0, np.int64)})
         x = unit(a["raw"].tolist())
         y = x if same else unit(b["raw"].tolist())
         size_x = a["size"].to_numpy()
@@ -243,43 +367,36 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             "links": np.concatenate([counts[some], np.zeros(len(forest), np.int64)]),
         })
 
-    found = common.written(dealt.groupBy("task").applyInPandas(solve, "node long, other long, links long"), "cover-links")
+    return dealt.groupBy("task").applyInPandas(solve, "node long, other long, links long")
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, block: int | None = None) -> DataFrame:
+    """One row per row: ``vec_id, n_links, component_id, kept``.  ``block``: points of a cell that a task takes."""
+    label, raw = clean(vector_col, label_col)
+    rows = vectors.select(F.col(id_col).alias("id"), label.alias("label"), raw.alias("raw"))
+    # a vector's name in joins: 128 bits of hash
+    rows = rows.select("id", "label", "raw", *[F.when(F.col("raw").isNotNull(), F.xxhash64(F.lit(i), "label", "raw")).alias(f"key{i}") for i in (1, 2)])
+    points = rows.where("raw is not null").groupBy("label", "raw", "key1", "key2").agg(F.min("id").alias("least"), F.count("*").alias("size"))
+    points = points.select("*", F.size("raw").alias("n"), F.sqrt(dot("raw", "raw")).alias("norm"), F.monotonically_increasing_id().alias("node"))
+    points = common.written(points, "cover-points")
+    limit = F.lit(block) if block else F.greatest(F.lit(CELL_POINTS), F.lit(CELL_VALUES) / F.col("n"))
+    members, leaves, pairs = cells_of(points, threshold, limit)
+    sides = common.written(block_pairs(pairs, leaves), "cover-tasks")
+    member = members.join(leaves.select("cell", "blocks"), "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = member.join(sides, ["cell", "block"]).select("task", "alone", "side", "node", "size", "raw")
+    # tasks differ in work, not in bytes: they are dealt one by one as far as there are partitions
+    dealt = dealt.repartition(max(1, min(sides.count(), 4 * vectors.sparkSession.sparkContext.defaultParallelism)), "task")
+    found = common.written(solved(dealt, threshold), "cover-links")
     counts = found.where("other < 0").groupBy("node").agg(F.sum("links").alias("links"))
     graph = common.connected_components(found.where("other >= 0").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    placed = points.select("node", "label", "raw", "least", "size").join(graph, "node", "left").join(counts, "node", "left")
-    placed = placed.select("node", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "least", "label", "raw")
-    placed = common.written(placed, "cover-placed")
+    placed = points.select("node", "key1", "key2", "least", "size").join(graph, "node", "left").join(counts, "node", "left")
+    links = F.coalesce("links", F.lit(0)) + F.col("size") - 1
+    placed = common.written(placed.select("key1", "key2", "least", F.coalesce("component", "node").alias("component"), links.alias("n_links")), "cover-placed")
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = placed.join(least, "component").select("label", "raw", "n_links", "component_id")
-    # back to the rows: valid ones by label and vector, all others stand alone
-    (mark,) = common.fresh(vectors, "row")
-    marked = common.written(vectors.select(id_col, vector_col, label_col).withColumn(mark, F.monotonically_increasing_id()), "cover-rows")
-    valid = clean(marked, mark, vector_col, label_col).join(known, ["label", "raw"]).select(F.col("id").alias(mark), "n_links", "component_id")
-    out = marked.join(valid, mark, "left")
-    alone = F.col(mark).isNotNull() & F.col("n_links").isNull()
-    component = F.when(alone, F.col(id_col)).otherwise(F.col("component_id"))
-    return out.select(F.col(id_col).alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col(id_col).eqNullSafe(component).alias("kept"))
-
-
-def block_pairs(spark, cells: DataFrame, pivots: dict, threshold: float) -> DataFrame:
-    """``label, n, task, cell_a, block_a, cell_b, block_b``: pairs of blocks that can hold a link, each once.
-
-    Cells of a label are at most ``PIVOTS``, so their self-join is small; a pair of
-    cells is pruned when its pivots are further apart than the threshold and both
-    covering radii.
-    """
-    reach = math.sqrt(2 - 2 * threshold) + SLACK
-    apart = [(label, n, i, j, float(d)) for (label, n), p in pivots.items() for (i, j), d in np.ndenumerate(distances(p, p)) if i < j]
-    gaps = spark.createDataFrame(apart, "label string, n int, cell_a int, cell_b int, apart double")
-    a = cells.select("label", "n", F.col("cell").alias("cell_a"), F.col("radius").alias("radius_a"), F.col("blocks").alias("blocks_a"))
-    b = cells.select("label", "n", F.col("cell").alias("cell_b"), F.col("radius").alias("radius_b"), F.col("blocks").alias("blocks_b"))
-    both = a.join(b, ["label", "n"]).where("cell_a <= cell_b").join(gaps, ["label", "n", "cell_a", "cell_b"], "left")
-    near = both.where((F.col("cell_a") == F.col("cell_b")) | (F.coalesce("apart", F.lit(0.0)) <= F.col("radius_a") + F.col("radius_b") + reach))
-    out = near.withColumn("block_a", F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1)))
-    first = F.when(F.col("cell_a") == F.col("cell_b"), F.col("block_a")).otherwise(F.lit(0))
-    out = out.withColumn("block_b", F.explode(F.sequence(first, F.col("blocks_b") - 1)))
-    named = F.concat_ws("|", "label", "n", "cell_a", "block_a", "cell_b", "block_b")
-    return out.select("label", "n", named.alias("task"), "cell_a", "block_a", "cell_b", "block_b")
+    known = placed.join(least, "component").select("key1", "key2", "n_links", "component_id")
+    out = rows.select("id", "key1", "key2").join(known, ["key1", "key2"], "left")
+    component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def op10_cover_tree(spark, sf_dir: str) -> DataFrame:
