@@ -12,11 +12,16 @@ of all words, which grow with the corpus, never leave Spark.
 2. Word counts are summed by word; the statistics of each word go back to the
    blocks that hold it, and block by block the documents become class sequences.
 3. Each Baum-Welch iteration is a pass over the class sequences: tasks run scaled
-   forward and backward recursions in lockstep over windows of ``WINDOW`` tokens
-   and emit expected counts, which Spark sums by class.
+   forward and backward recursions over whole texts and emit expected counts, which
+   Spark sums by class.
 4. The score of a text is the scaled forward recursion over its whole class
    sequence plus its words' shares of their classes.
 
+Texts of very different length step together in windows of ``WINDOW`` tokens.  The forward
+and backward values at the ends of a window are those of the whole text: each window's
+product of transition and emission matrices carries them across, so no transition is
+dropped, and a text of any length takes the memory of a batch of windows.
+
 Defined results: null text is empty (the end token alone).  A null id counts as
 training.  Repeated rows train and are scored each.  With no training rows every
 count is zero and all words are unknown.  An empty table gives an empty result.
@@ -28,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,12 +46,12 @@ STATES = 8
 ITERATIONS = 8
 OWN_CLASS = 20_000
 SUFFIX_CLASSES = 1_024
-WINDOW = 256
+#: Tokens of a text that step one after another; the next window of the text steps beside them.
+WINDOW = 1_024
 #: Tokens that a task holds recursions for at a time.
 BATCH_TOKENS = 1_000_000
 #: Prior count of every class in every state.
 PRIOR = 0.02
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -53,9 +59,20 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 1, F.lit(False))
 
 
-def words_of(text: str) -> list[bytes]:
-    """Tokens of a text; the empty word is its end."""
-    return [*text.encode().translate(_LOWER).split(), b""]
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct tokens of texts (the empty word is an end), the number of each token, and where each text's begin."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # white space at the ends splits off nothing
+    upto = np.concatenate([[0], np.cumsum(real)])
+    cuts = lists.offsets.to_numpy()
+    coded = words.filter(pa.array(real)).dictionary_encode()
+    starts = upto[cuts - cuts[0]] + np.arange(len(cuts))
+    number = np.zeros(starts[-1], np.int32)
+    inner = np.ones(len(number), bool)
+    inner[starts[1:] - 1] = False
+    number[inner] = coded.indices.to_numpy() + 1
+    return ["", *coded.dictionary.to_pylist()], number, starts
 
 
 def token_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -70,17 +87,14 @@ def token_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
         for tab in common.chunks(batches, "text"):
-            number: dict[bytes, int] = {}
-            lines = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in common.texts_of(tab, "text")]
-            out = tab.column("held_out").to_pylist()
-            seen = np.zeros(len(number), np.int64)
-            train = [x for x, h in zip(lines, out) if not h]
-            if train:
-                seen += np.bincount(np.concatenate(train), minlength=len(number))
-            n, m = len(lines), len(number)
+            words, number, starts = words_of(tab.column("text").combine_chunks())
+            out = tab.column("held_out").to_numpy()
+            n, m = len(out), len(words)
+            seen = np.bincount(number[np.repeat(~out.astype(bool), np.diff(starts))], minlength=m)
+            lines = [number[a:b].tobytes() for a, b in zip(starts.tolist(), starts[1:].tolist())]
             nulls = lambda k, f: pa.nulls(k, arrow.field(f).type)
-            yield from _rows(arrow, [np.full(n, block), np.zeros(n, bool), tab.column("doc_id"), out, [x.tobytes() for x in lines], nulls(n, "number"), nulls(n, "word"), nulls(n, "count")])
-            yield from _rows(arrow, [np.full(m, block), np.ones(m, bool), nulls(m, "doc_id"), nulls(m, "held_out"), nulls(m, "tokens"), np.arange(m, dtype=np.int32), [w.decode() for w in number], seen])
+            yield from _rows(arrow, [np.full(n, block), np.zeros(n, bool), tab.column("doc_id"), tab.column("held_out"), lines, nulls(n, "number"), nulls(n, "word"), nulls(n, "count")])
+            yield from _rows(arrow, [np.full(m, block), np.ones(m, bool), nulls(m, "doc_id"), nulls(m, "held_out"), nulls(m, "tokens"), np.arange(m, dtype=np.int32), words, seen])
             block += 1
 
     return common.written(rows.mapInArrow(run, schema), "token-blocks")
@@ -141,16 +155,19 @@ def class_sequences(blocks: DataFrame, stats: DataFrame, totals: dict) -> DataFr
         arrays = [left.column("doc_id"), left.column("held_out")] + [pa.array(cols[f.name], f.type) for f in list(arrow)[2:]]
         return pa.Table.from_arrays(arrays, schema=arrow)
 
-    return common.written(docs.groupBy("block").cogroup(lists.groupBy("of_block")).applyInArrow(run, schema), "class-sequences")
+    # more partitions than blocks: a task has one block or a few, however many there are
+    parts = max(1, 4 * docs.select("block").distinct().count())
+    both = docs.repartition(parts, "block").groupBy("block").cogroup(lists.repartition(parts, "of_block").groupBy("of_block"))
+    return common.written(both.applyInArrow(run, schema), "class-sequences")
 
 
 class Parameters:
     """Start, transition and class probabilities of the states."""
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
-        self.start = (start / start.sum()).astype(np.float32)
-        self.move = (move / move.sum(axis=1, keepdims=True)).astype(np.float32)
-        self.emit = (emit / emit.sum(axis=0, keepdims=True)).astype(np.float32)  # [class, state]
+        self.start = start / start.sum()
+        self.move = move / move.sum(axis=1, keepdims=True)
+        self.emit = emit / emit.sum(axis=0, keepdims=True)  # [class, state]
 
     @classmethod
     def initial(cls, class_tokens: np.ndarray, states: int = STATES) -> Parameters:
@@ -159,54 +176,117 @@ class Parameters:
         return cls(np.ones(states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit)
 
 
-class Lockstep:
-    """Sequences stored one after another, longest first, stepping together."""
-
-    def __init__(self, lines: list[np.ndarray]):
-        self.order = sorted(range(len(lines)), key=lambda i: -len(lines[i]))
-        self.sizes = np.array([len(lines[i]) for i in self.order])
-        self.flat = np.concatenate([lines[i] for i in self.order]) if lines else np.empty(0, np.uint16)
-        self.start = np.cumsum(self.sizes) - self.sizes
-        self.steps = int(self.sizes[0]) if lines else 0
-        self.active = np.searchsorted(-self.sizes, -np.arange(self.steps), side="left")
-
-    def forward(self, p: Parameters, keep: bool = False):
-        """log10 likelihood of each sequence; with ``keep`` also the scaled forward values and scales of each step."""
-        total = np.zeros(len(self.sizes))
-        kept, scales = [], []
-        held = np.empty((0, len(p.start)), np.float32)
-        for t in range(self.steps):
-            n = self.active[t]
-            seen = p.emit[self.flat[self.start[:n] + t]]
-            held = (p.start if t == 0 else held[:n] @ p.move) * seen
+class Windows:
+    """Texts cut into windows that step together, longest first; values at a window's ends are those of the whole text."""
+
+    def __init__(self, lines: list[np.ndarray], window: int = WINDOW):
+        sizes = np.array([len(x) for x in lines], np.int64)
+        self.flat = np.concatenate(lines) if len(lines) else np.empty(0, np.uint16)
+        self.texts = len(lines)
+        count = -(-sizes // window)
+        text = np.repeat(np.arange(len(lines)), count)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+        size = np.minimum(window, sizes[text] - place * window)
+        order = np.argsort(-size, kind="stable")
+        self.text, self.place, self.size = text[order], place[order], size[order]
+        self.start = (np.cumsum(sizes) - sizes)[self.text] + self.place * window
+        self.chained = np.flatnonzero(count[self.text] > 1)  # windows of texts that have several
+
+    def _steps(self, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each step, how many of the windows (longest first) go on, and their classes."""
+        size, start = self.size[rows], self.start[rows]
+        active = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), side="left")
+        for t, n in enumerate(active.tolist()):
+            yield n, self.flat[start[:n] + t]
+
+    def ends(self, p: Parameters) -> tuple[np.ndarray, np.ndarray]:
+        """Of each window: forward values just before it, and backward values at its end, each up to a factor."""
+        k, rows = len(p.start), self.chained
+        before, after = np.tile(p.start, (len(self.size), 1)), np.ones((len(self.size), k))
+        if not len(rows):
+            return before, after
+        scaled = p.emit / p.emit.max(axis=1, keepdims=True)
+        across = np.tile(np.eye(k), (len(rows), 1, 1))
+        first = self.place[rows] == 0
+        for t, (n, seen) in enumerate(self._steps(rows)):
+            moved = (across[:n].reshape(-1, k) @ p.move).reshape(n, k, k)
+            if t == 0:
+                moved[first] = np.eye(k)  # a text starts in its start distribution
+            across[:n] = moved * scaled[seen][:, None, :]
+            if t % 16 == 15:
+                across[:n] /= across[:n].sum(axis=(1, 2), keepdims=True)
+        line = np.lexsort((self.place[rows], self.text[rows]))  # windows of a text one after another
+        head = np.flatnonzero(self.place[rows][line] == 0)
+        length = np.diff(np.append(head, len(rows)))
+        by = np.argsort(-length, kind="stable")
+        head, length = head[by], length[by]
+        value = np.tile(p.start, (len(head), 1))
+        for j in range(length[0] - 1):
+            n = int((length > j + 1).sum())
+            value = (value[:n, None, :] @ across[line[head[:n] + j]])[:, 0]
+            value /= value.sum(axis=1, keepdims=True)
+            before[rows[line[head[:n] + j + 1]]] = value
+        value = np.ones((0, k))
+        for j in range(length[0] - 1, 0, -1):
+            n = int((length > j).sum())
+            value = np.concatenate([value, np.ones((n - len(value), k))])
+            value = (across[line[head[:n] + j]] @ value[:, :, None])[:, :, 0]
+            value /= value.sum(axis=1, keepdims=True)
+            after[rows[line[head[:n] + j - 1]]] = value
+        return before, after
+
+    def _groups(self, most: int) -> Iterator[np.ndarray]:
+        """Windows of about ``most`` tokens at a time."""
+        cut = np.flatnonzero(np.diff(np.cumsum(self.size) // most)) + 1
+        yield from np.split(np.arange(len(self.size)), cut)
+
+    def _forward(self, p: Parameters, rows: np.ndarray, before: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Scaled forward values and scales of each step."""
+        held = np.where((self.place[rows] == 0)[:, None], p.start, before[rows] @ p.move)
+        for t, (n, seen) in enumerate(self._steps(rows)):
+            held = (held if t == 0 else held[:n] @ p.move) * p.emit[seen]
             scale = held.sum(axis=1)
             held = held / scale[:, None]
-            total[:n] += np.log10(scale.astype(np.float64))
-            if keep:
-                kept.append(held)
-                scales.append(scale)
-        out = np.empty(len(total))
-        out[self.order] = total
-        return (out, kept, scales) if keep else out
+            yield held, scale
+
+    def likelihood(self, p: Parameters) -> np.ndarray:
+        """log10 probability of each text."""
+        before, _ = self.ends(p)
+        total = np.zeros(len(self.size))
+        for rows in self._groups(4 * BATCH_TOKENS):
+            for _, scale in self._forward(p, rows, before):
+                total[rows[: len(scale)]] += np.log10(scale)
+        return np.bincount(self.text, total, self.texts)
 
     def expected(self, p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected starts, transitions and classes, by the scaled backward recursion."""
-        _, kept, scales = self.forward(p, keep=True)
         k = len(p.start)
-        weight = np.empty((len(self.flat), k), np.float32)
-        move = np.zeros((k, k))
-        back = np.ones((0, k), np.float32)
-        for t in range(self.steps - 1, -1, -1):
-            n, m = self.active[t], len(back)
-            now = np.ones((n, k), np.float32)
-            if m:
-                ahead = back * p.emit[self.flat[self.start[:m] + t + 1]] / scales[t + 1][:, None]
-                move += (kept[t][:m].T @ ahead) * p.move
-                now[:m] = ahead @ p.move.T
-            back = now
-            weight[self.start[:n] + t] = kept[t] * back
-        emit = np.stack([np.bincount(self.flat, weight[:, j], len(p.emit)) for j in range(k)], axis=1)
-        return weight[self.start].sum(axis=0, dtype=np.float64), move, emit
+        before, after = self.ends(p)
+        start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros(p.emit.shape)
+        for rows in self._groups(BATCH_TOKENS):
+            steps = list(self._forward(p, rows, before))
+            weight, classes = [], []
+            back = np.ones((0, k))
+            for t, (n, seen) in reversed(list(enumerate(self._steps(rows)))):
+                held, scale = steps[t]
+                m = len(back)
+                now = after[rows[:n]].copy()
+                now[m:] /= (held[m:] * now[m:]).sum(axis=1, keepdims=True)  # of windows that end here
+                now[:m] = back
+                weight.append(held * now)
+                classes.append(seen)
+                ahead = now * p.emit[seen] / scale[:, None]
+                if t:
+                    move += steps[t - 1][0][:n].T @ ahead
+                    back = ahead @ p.move.T
+                else:
+                    opens = self.place[rows] == 0
+                    start += weight[-1][opens].sum(axis=0)
+                    move += before[rows[~opens]].T @ ahead[~opens]
+            weight, classes = np.concatenate(weight), np.concatenate(classes)
+            for j in range(k):
+                emit[:, j] += np.bincount(classes, weight[:, j], len(emit))
+        return start, move * p.move, emit
 
 
 def expected_counts(train: DataFrame, p: Parameters) -> list:
@@ -221,7 +301,7 @@ def expected_counts(train: DataFrame, p: Parameters) -> list:
         start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros(q.emit.shape)
 
         def add(lines: list[np.ndarray]) -> None:
-            a, b, c = Lockstep(lines).expected(q)
+            a, b, c = Windows(lines).expected(q)
             start[:] += a
             move[:] += b
             emit[:] += c
@@ -229,10 +309,8 @@ def expected_counts(train: DataFrame, p: Parameters) -> list:
         held, size = [], 0
         for batch in batches:
             for raw in batch.column("classes").to_pylist():
-                line = np.frombuffer(raw, np.uint16)
-                for at in range(0, len(line), WINDOW):
-                    held.append(line[at : at + WINDOW])
-                size += len(line)
+                held.append(np.frombuffer(raw, np.uint16))
+                size += len(held[-1])
                 if size >= BATCH_TOKENS:
                     add(held)
                     held, size = [], 0
@@ -271,7 +349,7 @@ def score_sequences(rows: DataFrame, p: Parameters, train_tokens: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tab in common.chunks(batches, "classes", 4 << 20):
             lines = [np.frombuffer(x, np.uint16) for x in tab.column("classes").to_pylist()]
-            score = Lockstep(lines).forward(shared.value) + tab.column("share").to_numpy()
+            score = Windows(lines).likelihood(shared.value) + tab.column("share").to_numpy()
             yield from _rows(arrow, [*(tab.column(c) for c in light), score])
 
     return rows.mapInArrow(run, schema).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -412,14 +412,15 @@ def test_hmm_counts_and_base(docs, empty):
     assert hmm_lm.score_documents(empty, states=2, iterations=1).count() == 0
 
 
-def test_forward_and_expected_counts_equal_enumeration():
+@pytest.mark.parametrize("window", [1, 2, 3, 100])
+def test_forward_and_expected_counts_equal_enumeration(window):
     """Against sums over all state paths."""
     from itertools import product
 
     rng = np.random.default_rng(1)
     p = hmm_lm.Parameters(rng.random(3), rng.random((3, 3)), rng.random((5, 3)))
     lines = [rng.integers(0, 5, n).astype(np.uint16) for n in (1, 4, 2, 5)]
-    steps = hmm_lm.Lockstep(lines)
+    steps = hmm_lm.Windows(lines, window)
     start, move, emit = steps.expected(p)
     want, s0, m0, e0 = [], np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))
     for line in lines:
@@ -437,8 +438,36 @@ def test_forward_and_expected_counts_equal_enumeration():
                 m0[a, b] += w / total
             for s, x in zip(path, line):
                 e0[x, s] += w / total
-    assert steps.forward(p) == pytest.approx(want, rel=1e-5)
-    assert start == pytest.approx(s0, rel=1e-4) and move == pytest.approx(m0, rel=1e-4) and emit == pytest.approx(e0, rel=1e-4)
+    assert steps.likelihood(p) == pytest.approx(want, rel=1e-12)
+    assert start == pytest.approx(s0, rel=1e-10) and move == pytest.approx(m0, rel=1e-10) and emit == pytest.approx(e0, rel=1e-10)
+
+
+@pytest.mark.parametrize("most", [2_000, 10**6])
+def test_long_texts_train_and_score_as_one(most, monkeypatch):
+    """Texts of thousands of tokens against a plain recursion from end to end."""
+    monkeypatch.setattr(hmm_lm, "BATCH_TOKENS", most)
+    rng = np.random.default_rng(3)
+    p = hmm_lm.Parameters(rng.random(4), rng.random((4, 4)) ** 6, rng.random((50, 4)) ** 8)
+    lines = [rng.integers(0, 50, n).astype(np.uint16) for n in (5_000, 1, 1_024, 2_049, 30)]
+    start, move, emit, told = np.zeros(4), np.zeros((4, 4)), np.zeros((50, 4)), []
+    for line in lines:
+        ahead, scales = [], []
+        for t, x in enumerate(line):
+            value = (p.start if t == 0 else ahead[-1] @ p.move) * p.emit[x]
+            scales.append(value.sum())
+            ahead.append(value / scales[-1])
+        told.append(sum(map(math.log10, scales)))
+        back = np.ones(4)
+        for t in range(len(line) - 1, -1, -1):
+            emit[line[t]] += ahead[t] * back
+            if t:
+                move += np.outer(ahead[t - 1], p.emit[line[t]] * back / scales[t]) * p.move
+                back = p.move @ (p.emit[line[t]] * back / scales[t])
+        start += ahead[0] * back
+    made = hmm_lm.Windows(lines)
+    assert made.likelihood(p) == pytest.approx(told, rel=1e-12)
+    for got, want in zip(made.expected(p), (start, move, emit)):
+        assert got == pytest.approx(want, rel=1e-9)
 
 
 def test_classes_sum_to_one(docs):
