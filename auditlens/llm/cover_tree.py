@@ -37,8 +37,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common
 
@@ -87,27 +90,34 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (x @ y.T), 0.0))
 
 
+def cosine_of(distance):
+    """The cosine of unit vectors at this distance."""
+    return 1.0 - 0.5 * distance * distance
+
+
 def net_of(x: np.ndarray, first: int, level: float, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """A net of ``x`` from row ``first`` on: rows more than ``level`` apart that cover all others, and the nearest for each row."""
-    nearest, best, net = distances(x, x[first][None])[:, 0], np.zeros(len(x), np.int64), [first]
-    nearest[first] = 0.0
-    bare = np.flatnonzero(nearest > level)
+    least = cosine_of(level)
+    close, best, net = x @ x[first], np.zeros(len(x), np.int64), [first]
+    close[first] = 2.0
+    bare = np.flatnonzero(close < least)
     while len(bare):
         some = bare[:batch]
-        apart = distances(x[some], x[some]) > level
+        apart = x[some] @ x[some].T < least
         free, chosen = np.ones(len(some), bool), []
         for i in range(len(some)):
             if free[i]:
                 chosen.append(i)
                 free &= apart[i]
         new = some[chosen]
-        d = distances(x, x[new])
-        d[new, np.arange(len(new))] = 0.0
-        least = d.min(axis=1)
-        closer = least < nearest
-        nearest[closer], best[closer] = least[closer], len(net) + d.argmin(axis=1)[closer]
+        found = x @ x[new].T
+        found[new, np.arange(len(new))] = 2.0
+        at = found.argmax(axis=1)
+        most = found[np.arange(len(x)), at]
+        closer = most > close
+        close[closer], best[closer] = most[closer], len(net) + at[closer]
         net.extend(new.tolist())
-        bare = bare[nearest[bare] > level]
+        bare = bare[close[bare] < least]
     return np.array(net), best
 
 
@@ -241,24 +251,46 @@ class Links:
         whether all their points lie within the threshold."""
         ra, rb = np.array([n.radius for n in a]), np.array([n.radius for n in b])
         x, y = self.x[[n.centre for n in a]], self.y[[n.centre for n in b]]
+        least = cosine_of(np.minimum(ra + rb.max() + self.reach, 2.0))  # no pair below it is near
         step = max(1, TABLE // len(b))
         for at in range(0, len(a), step):
-            d, both = distances(x[at : at + step], y), ra[at : at + step, None] + rb[None, :]
-            self.compared += d.size
-            i, j = np.nonzero(d <= both + self.reach)
-            full = d[i, j] + both[i, j] <= self.within
-            yield from zip((i + at).tolist(), j.tolist(), full.tolist())
-
-
-def clean(vector_col: str, label_col: str) -> tuple[Column, Column]:
-    """The label as text, and the vector as doubles scaled by its largest component; null if the row cannot link."""
-    label = F.col(label_col).cast("string")
-    v = F.transform(F.col(vector_col), lambda c: c.cast("double"))
-    # the comparison is also false for NaN turned null, so one test covers null, NaN and both infinities
-    finite = F.forall(v, lambda c: F.coalesce(F.abs(F.nanvl(c, F.lit(float("inf")))) < float("inf"), F.lit(False)))
-    usable = label.isNotNull() & F.col(vector_col).isNotNull() & finite & F.exists(v, lambda c: c != 0)
-    most = F.array_max(F.transform(v, F.abs))
-    return label, F.when(usable, F.transform(v, lambda c: c / most + 0.0))
+            found = x[at : at + step] @ y.T
+            self.compared += found.size
+            i, j = np.nonzero(found >= least[at : at + step, None])
+            d = np.sqrt(np.maximum(2.0 - 2.0 * found[i, j], 0.0))
+            i += at
+            both = ra[i] + rb[j]
+            close = d <= both + self.reach
+            yield from zip(i[close].tolist(), j[close].tolist(), (d + both <= self.within)[close].tolist())
+
+
+def clean(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
+    """``id, label, raw, key1, key2`` of all rows; ``raw`` is the vector as doubles scaled by its largest component, and
+    null, like the keys (two hashes that name label and vector), if the row cannot link."""
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("raw"))
+    arrow = to_arrow_schema(rows.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("raw").combine_chunks() if isinstance(batch.column("raw"), pa.ChunkedArray) else batch.column("raw")
+            sizes = pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = pc.fill_null(held.flatten(), np.nan).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            some = np.flatnonzero(sizes)
+            most = np.zeros(len(sizes))
+            if len(some):
+                most[some] = np.maximum.reduceat(np.abs(flat), (ends - sizes)[some])  # NaN where a component is null or NaN
+            with np.errstate(invalid="ignore"):
+                good = np.isfinite(most) & (most > 0) & batch.column("label").is_valid().to_numpy(zero_copy_only=False)
+            most[~good] = 1.0
+            kept = np.repeat(good, sizes)
+            scaled = (flat / np.repeat(most, sizes))[kept] + 0.0  # no negative zeros
+            offsets = np.concatenate([[0], np.cumsum(np.where(good, sizes, 0))]).astype(np.int32)
+            raw = pa.ListArray.from_arrays(pa.array(offsets), pa.array(scaled), mask=pa.array(~good))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), raw.cast(arrow.field("raw").type)], schema=arrow)
+
+    out = rows.mapInArrow(run, rows.schema)
+    return out.select("*", *[F.when(F.col("raw").isNotNull(), F.xxhash64(F.lit(i), "label", "raw")).alias(f"key{i}") for i in (1, 2)])
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -372,10 +404,7 @@ def solved(dealt: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, block: int | None = None) -> DataFrame:
     """One row per row: ``vec_id, n_links, component_id, kept``.  ``block``: points of a cell that a task takes."""
-    label, raw = clean(vector_col, label_col)
-    rows = vectors.select(F.col(id_col).alias("id"), label.alias("label"), raw.alias("raw"))
-    # a vector's name in joins: 128 bits of hash
-    rows = rows.select("id", "label", "raw", *[F.when(F.col("raw").isNotNull(), F.xxhash64(F.lit(i), "label", "raw")).alias(f"key{i}") for i in (1, 2)])
+    rows = clean(vectors, id_col, vector_col, label_col)
     points = rows.where("raw is not null").groupBy("label", "raw", "key1", "key2").agg(F.min("id").alias("least"), F.count("*").alias("size"))
     points = points.select("*", F.size("raw").alias("n"), F.sqrt(dot("raw", "raw")).alias("norm"), F.monotonically_increasing_id().alias("node"))
     points = common.written(points, "cover-points")

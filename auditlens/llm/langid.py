@@ -8,8 +8,9 @@ with a penalty for switching labels spans; the text's language is the one with
 most letters in its spans, and ``score`` is the share of all letters that lie in
 its spans in words that themselves favour it.
 
-The model has ``BUCKETS`` counts a language whatever the size of the corpus, and
-the number of languages is checked, so what is broadcast is bounded.
+The model has at most ``CELLS`` counts whatever the size of the corpus and however many the
+languages: up to 128 languages have ``BUCKETS`` counts each, more languages share the room
+by folding buckets together (``LEAST_BUCKETS`` at least), so what is broadcast is bounded.
 
 Defined results: null text and text without a letter is ``und`` with score 0; so
 is everything when nothing is labelled.  Null ids train and are not held out.
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,10 +43,12 @@ SWITCH = 8.0
 CLIP = 12.0
 #: A script is a language's if it writes this share of its letters in it.
 SCRIPT_SHARE = 0.002
-MAX_LANGUAGES = 1_000
+#: Counts of a model, and the fewest buckets to which they are folded.
+CELLS = 1 << 22
+LEAST_BUCKETS = 64
 #: Share of supported letters below which the pipeline rejects a document.
 REJECT_BELOW = 0.3
-#: Text bytes, and distinct words, that a task scores at a time.
+#: Text bytes that a task takes at a time with up to 16 languages (fewer with more), and distinct words that it scores at a time.
 CHUNK_BYTES = 4 << 20
 CHUNK_WORDS = 20_000
 UNKNOWN = "und"
@@ -128,29 +132,36 @@ def train_counts(labelled: DataFrame, text_col: str, label_col: str) -> DataFram
     return parts.groupBy("lang", "feature").agg(F.sum("count").alias("count"))
 
 
+def buckets_for(languages: int) -> int:
+    """Buckets a language; halved until the counts of all languages fit."""
+    size = BUCKETS
+    while size > LEAST_BUCKETS and size * languages > CELLS:
+        size //= 2
+    return size
+
+
 class Model:
     """Log-probabilities ``weights[bucket, language]`` and ``allowed[script, language]``."""
 
-    def __init__(self, rows: list):
-        self.languages = sorted({r["lang"] for r in rows})
-        if len(self.languages) > MAX_LANGUAGES:
-            raise ValueError(f"{len(self.languages)} languages; at most {MAX_LANGUAGES} are supported")
-        count = np.zeros((BUCKETS + len(SCRIPTS), max(1, len(self.languages))))
-        place = {x: i for i, x in enumerate(self.languages)}
-        for r in rows:
-            count[r["feature"], place[r["lang"]]] = r["count"]
-        grams, letters = count[:BUCKETS], count[BUCKETS:]
-        self.weights = np.log((grams + SMOOTHING) / (grams.sum(axis=0) + SMOOTHING * BUCKETS)).astype(np.float32)
+    def __init__(self, languages: list[str], place: np.ndarray, feature: np.ndarray, counted: np.ndarray, buckets: int = BUCKETS):
+        """``counted``: how often language number ``place`` has ``feature``; those from ``buckets`` on are scripts."""
+        self.languages, self.buckets = languages, buckets
+        count = np.zeros((buckets + len(SCRIPTS), max(1, len(languages))))
+        count[feature, place] = counted
+        grams, letters = count[:buckets], count[buckets:]
+        self.weights = np.log((grams + SMOOTHING) / (grams.sum(axis=0) + SMOOTHING * buckets)).astype(np.float32)
         self.allowed = letters >= SCRIPT_SHARE * np.maximum(letters.sum(axis=0), 1)
         self.written = self.allowed.any(axis=1)  # scripts that some language writes
         self.allowed[~self.written] = True
 
     def scores(self, words: list[str], script: np.ndarray) -> np.ndarray:
         """``[word, language]``: at most 0, the best candidate 0."""
-        return np.concatenate([self._scores(words[i : i + CHUNK_WORDS], script[i : i + CHUNK_WORDS]) for i in range(0, len(words), CHUNK_WORDS)])
+        step = max(256, CHUNK_WORDS // (1 + len(self.languages) // 16))
+        return np.concatenate([self._scores(words[i : i + step], script[i : i + step]) for i in range(0, len(words), step)])
 
     def _scores(self, words: list[str], script: np.ndarray) -> np.ndarray:
         bucket, owner = ngrams([w.lower() for w in words])
+        bucket //= BUCKETS // self.buckets
         order = np.argsort(owner, kind="stable")
         edges = np.searchsorted(owner[order], np.arange(len(words)))
         out = np.add.reduceat(self.weights[bucket[order]], edges, axis=0)
@@ -196,25 +207,34 @@ def viterbi(score: np.ndarray, lines: list[np.ndarray], switch: float = SWITCH)
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
     labelled = docs.where(~held_out(id_col) & F.col(label_col).isNotNull())
-    return Model(train_counts(labelled, text_col, label_col).collect())
+    counts = common.written(train_counts(labelled, text_col, label_col), "language-counts")
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    buckets = buckets_for(len(languages))
+    folded = F.when(F.col("feature") < BUCKETS, F.floor(F.col("feature") / (BUCKETS // buckets))).otherwise(F.col("feature") - (BUCKETS - buckets))
+    # at most CELLS rows and the scripts' ones, as long as there is room for LEAST_BUCKETS of every language
+    rows = counts.groupBy("lang", folded.cast("int").alias("feature")).agg(F.sum("count").alias("count")).toArrow()
+    names = pa.array(languages, pa.string())
+    place = pc.index_in(rows.column("lang"), value_set=names).to_numpy() if languages else np.empty(0, np.int64)
+    return Model(languages, place, rows.column("feature").to_numpy(), rows.column("count").to_numpy(), buckets)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", with_spans: bool = False, supported: bool = False) -> DataFrame:
-    """The input's columns and ``lang_pred, lang_score`` (renamed if taken), and ``spans`` if asked for.
+def predict(docs: DataFrame, model: Model, text_col: str = "text", with_spans: bool = False, supported: bool = False, names: tuple[str, str, str] | None = None) -> DataFrame:
+    """The input's columns and ``lang_pred, lang_score``, and ``spans`` if asked for; under ``names`` if given.
 
     With ``supported``, the score is the share of letters, in spans of any language, in words that
     favour their span's language and whose script some language writes.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    pred, mark, spans = common.fresh(docs, "lang_pred", "lang_score", "spans")
+    pred, mark, spans = names or ("lang_pred", "lang_score", "spans")
+    chunk = CHUNK_BYTES // (1 + len(model.languages) // 16)
     span_type = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema] + [T.StructField(pred, T.StringType()), T.StructField(mark, T.DoubleType())] + [T.StructField(spans, span_type)] * with_spans)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        for tab in common.chunks(batches, text_col, CHUNK_BYTES):
+        for tab in common.chunks(batches, text_col, chunk):
             texts = common.texts_of(tab, text_col)
             number: dict[str, int] = {}
             lines = [np.array([number.setdefault(w, len(number)) for w in _WORD.findall(t)], np.int32) for t in texts]
@@ -242,7 +262,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", with_spans: b
             arrays = [x.cast(f.type) if isinstance(x := cols[f.name], pa.ChunkedArray) else pa.array(x, f.type) for f in arrow]
             yield from pa.Table.from_arrays(arrays, names=arrow.names).to_batches(max_chunksize=5_000)
 
-    return docs.mapInArrow(run, schema).withColumnsRenamed({pred: "lang_pred", mark: "lang_score"} if not {"lang_pred", "lang_score"} & set(docs.columns) else {})
+    return docs.mapInArrow(run, schema)
 
 
 def _spans(text: str, label: np.ndarray, languages: list[str]) -> list[dict]:
@@ -263,13 +283,17 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(rows, model, "text").select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", least: float = REJECT_BELOW) -> DataFrame:
-    """The rows whose languages, one or several, are known for at least ``least`` of their letters."""
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", least: float = REJECT_BELOW, wanted: set[str] | None = None) -> DataFrame:
+    """The rows whose languages, one or several, are known for at least ``least`` of their letters, and whose language is
+    one of ``wanted`` (default: any); a null label becomes the predicted language."""
     model = fit(docs, id_col, text_col, label_col)
-    pred, mark = common.fresh(docs, "lang_pred", "lang_score")
-    free = not {"lang_pred", "lang_score"} & set(docs.columns)
-    pred, mark = ("lang_pred", "lang_score") if free else (pred, mark)
-    return predict(docs, model, text_col, supported=True).where((F.col(pred) != UNKNOWN) & (F.col(mark) >= least)).select(*docs.columns)
+    names = tuple(common.fresh(docs, "lang_pred", "lang_score", "spans"))
+    pred, mark, _ = names
+    told = predict(docs, model, text_col, supported=True, names=names).where((F.col(pred) != UNKNOWN) & (F.col(mark) >= least))
+    if wanted is not None:
+        told = told.where(F.col(pred).isin(*wanted))
+    label = F.coalesce(F.col(label_col), F.col(pred).cast(docs.schema[label_col].dataType)).alias(label_col)
+    return told.select(*[label if c == label_col else c for c in docs.columns])
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
