@@ -3,7 +3,7 @@ shaping and connected components.
 
 Tasks receive Arrow record batches (``mapInArrow``), so pass-through columns of
 any type survive unchanged.  Tables that cut lineage are written to the folder
-named by ``spark.checkpoint.dir``; a private folder is used only when the
+named by ``spark.checkpoint.dir``; a private folder is used only when a local
 session names none (tests).
 """
 
@@ -42,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it."""
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="auditlens-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -60,6 +62,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that no later result reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Internal column names that no column of ``df`` has (case-insensitively)."""
     taken = {c.lower() for c in df.columns}
@@ -112,14 +123,14 @@ def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph: ``node, component`` (its least node).
 
     ``edges`` has long columns ``a, b``.  Alternating large-star and small-star
-    steps; each step is a partial aggregation by node and a many-to-one join,
-    so a node of very high degree is split by AQE and never gathered.  Links
+    steps until nothing changes; each step is a partial aggregation by node and a many-to-one
+    join, so a node of very high degree is split by AQE and never gathered.  Links
     stay in Spark; only a changed-rows count reaches the driver.  Every round
-    is cut by a table in the shared folder.
+    is cut by a table in the shared folder, which the next round's replaces.
     """
     pairs = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
@@ -128,8 +139,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def least_neighbour(both: DataFrame) -> DataFrame:
         return both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
-    seen = None
-    for _ in range(rounds):
+    def state() -> tuple:
+        return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    seen, now = None, state()
+    while now != seen and now[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(least_neighbour(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
@@ -137,15 +151,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))
         )
-        pairs = written(small.where("u <> v").distinct(), "links")
-        state = tuple(
-            pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        )
-        if state == seen:
-            break
-        seen = state
-    else:
-        raise RuntimeError("components did not settle")
+        before, pairs = pairs, written(small.where("u <> v").distinct(), "links")
+        discard(before)
+        seen, now = now, state()
     return pairs.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(
         pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -169,6 +169,12 @@ class Parameters:
         self.move = move / move.sum(axis=1, keepdims=True)
         self.emit = emit / emit.sum(axis=0, keepdims=True)  # [class, state]
 
+    def single(self) -> Parameters:
+        """The same in single precision, in which training steps are taken (counts are summed in double)."""
+        out = Parameters.__new__(Parameters)
+        out.start, out.move, out.emit = (x.astype(np.float32) for x in (self.start, self.move, self.emit))
+        return out
+
     @classmethod
     def initial(cls, class_tokens: np.ndarray, states: int = STATES) -> Parameters:
         noise = np.random.default_rng(7).normal(0, 1, (len(class_tokens), states))
@@ -201,18 +207,19 @@ class Windows:
 
     def ends(self, p: Parameters) -> tuple[np.ndarray, np.ndarray]:
         """Of each window: forward values just before it, and backward values at its end, each up to a factor."""
-        k, rows = len(p.start), self.chained
-        before, after = np.tile(p.start, (len(self.size), 1)), np.ones((len(self.size), k))
+        k, rows, kind = len(p.start), self.chained, p.emit.dtype
+        before, after = np.tile(p.start, (len(self.size), 1)), np.ones((len(self.size), k), kind)
         if not len(rows):
             return before, after
-        scaled = p.emit / p.emit.max(axis=1, keepdims=True)
+        scaled, step = p.emit.astype(np.float64), p.move.astype(np.float64)
+        scaled /= scaled.max(axis=1, keepdims=True)
         across = np.tile(np.eye(k), (len(rows), 1, 1))
         first = self.place[rows] == 0
         for t, (n, seen) in enumerate(self._steps(rows)):
-            moved = (across[:n].reshape(-1, k) @ p.move).reshape(n, k, k)
+            moved = (across[:n].reshape(-1, k) @ step).reshape(n, k, k)
             if t == 0:
                 moved[first] = np.eye(k)  # a text starts in its start distribution
-            across[:n] = moved * scaled[seen][:, None, :]
+            across[:n] = moved * scaled.take(seen, axis=0)[:, None, :]
             if t % 16 == 15:
                 across[:n] /= across[:n].sum(axis=(1, 2), keepdims=True)
         line = np.lexsort((self.place[rows], self.text[rows]))  # windows of a text one after another
@@ -220,7 +227,7 @@ class Windows:
         length = np.diff(np.append(head, len(rows)))
         by = np.argsort(-length, kind="stable")
         head, length = head[by], length[by]
-        value = np.tile(p.start, (len(head), 1))
+        value = np.tile(p.start.astype(np.float64), (len(head), 1))
         for j in range(length[0] - 1):
             n = int((length > j + 1).sum())
             value = (value[:n, None, :] @ across[line[head[:n] + j]])[:, 0]
@@ -242,11 +249,12 @@ class Windows:
 
     def _forward(self, p: Parameters, rows: np.ndarray, before: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Scaled forward values and scales of each step."""
+        ones = np.ones(len(p.start), p.emit.dtype)  # sums along short rows are faster as products
         held = np.where((self.place[rows] == 0)[:, None], p.start, before[rows] @ p.move)
         for t, (n, seen) in enumerate(self._steps(rows)):
-            held = (held if t == 0 else held[:n] @ p.move) * p.emit[seen]
-            scale = held.sum(axis=1)
-            held = held / scale[:, None]
+            held = (held if t == 0 else held[:n] @ p.move) * p.emit.take(seen, axis=0)
+            scale = held @ ones
+            held /= scale[:, None]
             yield held, scale
 
     def likelihood(self, p: Parameters) -> np.ndarray:
@@ -262,20 +270,24 @@ class Windows:
         """Expected starts, transitions and classes, by the scaled backward recursion."""
         k = len(p.start)
         before, after = self.ends(p)
-        start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros(p.emit.shape)
+        start, move, emit, ones = np.zeros(k), np.zeros((k, k)), np.zeros(p.emit.shape), np.ones(k, p.emit.dtype)
         for rows in self._groups(BATCH_TOKENS):
             steps = list(self._forward(p, rows, before))
             weight, classes = [], []
-            back = np.ones((0, k))
+            back = np.ones((0, k), p.emit.dtype)
             for t, (n, seen) in reversed(list(enumerate(self._steps(rows)))):
                 held, scale = steps[t]
                 m = len(back)
-                now = after[rows[:n]].copy()
-                now[m:] /= (held[m:] * now[m:]).sum(axis=1, keepdims=True)  # of windows that end here
-                now[:m] = back
+                if n > m:  # windows that end here
+                    last = after.take(rows[m:n], axis=0)
+                    last /= ((held[m:] * last) @ ones)[:, None]
+                    now = np.concatenate([back, last])
+                else:
+                    now = back
                 weight.append(held * now)
                 classes.append(seen)
-                ahead = now * p.emit[seen] / scale[:, None]
+                ahead = now * p.emit.take(seen, axis=0)
+                ahead /= scale[:, None]
                 if t:
                     move += steps[t - 1][0][:n].T @ ahead
                     back = ahead @ p.move.T
@@ -283,16 +295,16 @@ class Windows:
                     opens = self.place[rows] == 0
                     start += weight[-1][opens].sum(axis=0)
                     move += before[rows[~opens]].T @ ahead[~opens]
-            weight, classes = np.concatenate(weight), np.concatenate(classes)
+            classes, weight = np.concatenate(classes), np.ascontiguousarray(np.concatenate(weight).T)
             for j in range(k):
-                emit[:, j] += np.bincount(classes, weight[:, j], len(emit))
+                emit[:, j] += np.bincount(classes, weight[j], len(emit))
         return start, move * p.move, emit
 
 
 def expected_counts(train: DataFrame, p: Parameters) -> list:
     """Expected counts over all training sequences: rows ``kind, place, v0..``; one row per class and state at most."""
     k = len(p.start)
-    shared = train.sparkSession.sparkContext.broadcast(p)
+    shared = train.sparkSession.sparkContext.broadcast(p.single())
     schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("place", T.IntegerType())] + [T.StructField(f"v{j}", T.DoubleType()) for j in range(k)])
     arrow = to_arrow_schema(schema)
 
