@@ -16,14 +16,22 @@ shards, grows beyond any cluster; so shards are formed by content.
    Larsson-Sadakane refinement (ranks by 8 bytes, then doubling, sorting only
    groups that are not yet single), common prefixes by Kasai's recursion, all
    contexts in lockstep; windows with 200 bytes in common are repeats.
-4. A gram with more than ``CAP`` different contexts would not fit a shard.  Its
+4. A gram with more than ``CAP`` different contexts would crowd a shard.  Its
    windows are told apart by longer grams instead: ranges of ``STEPS[1]`` windows
    share a gram of 184 bytes, then single windows are their own gram.  Each level
    is steps 2 and 3 again, so frequent passages never meet in one task.
 5. Spans return to their documents, whose covered bytes are removed.
 
+Rows that are equal in id and text are one row in all these steps; as they repeat each other,
+nothing of them is kept.
+
 Cross-shard merging by binary search is replaced by the sharding by content:
-equal windows always meet in one shard, so no merge of shards is left.
+equal windows always meet in one shard, so no merge of shards is left.  The README has
+the measured cost of the named method.
+
+Contexts of one gram are told apart by 64 bits of XXH3: a wrong removal takes two different
+contexts of one gram with equal digests, with ``n`` contexts of a gram at odds of n^2 / 2^65.
+Windows of different contexts are compared by their bytes.
 
 Defined results: null text is empty and keeps nothing; repeated rows repeat each
 other; a null ``doc_id`` is allowed; texts under 200 bytes lose nothing; an empty
@@ -50,7 +58,7 @@ GRAM = 64
 #: Windows that share one gram, by level.
 STEPS = (LENGTH - GRAM + 1, 17, 1)
 #: Different contexts of one gram that a shard takes.
-CAP = 2_000
+CAP = 250
 #: Context bytes for which one suffix array is built.
 SHARD_BYTES = 1 << 20
 #: Bytes that are hashed at a time.
@@ -397,11 +405,12 @@ def shard_spans(contexts: DataFrame) -> DataFrame:
     return contexts.repartition("gram").sortWithinPartitions("gram").select("gram", "row", "place", "bytes").mapInArrow(run, schema)
 
 
-def repeated_windows(keyed: DataFrame, cap: int = CAP) -> DataFrame:
-    """``row, place``: ranges of windows of ``row, text`` that occur anywhere else."""
-    rows, found = anchor_rows(keyed), None
+def repeated_windows(keyed: DataFrame, cap: int = CAP) -> tuple[DataFrame, list[DataFrame]]:
+    """``row, place``: ranges of windows of ``row, text`` that occur anywhere else; and the tables it reads."""
+    rows, found, held = anchor_rows(keyed), None, []
     for level in range(len(STEPS)):
         sorted_out = common.written(classify(rows), "suffix-classes")
+        held.append(sorted_out)
         whole = sorted_out.where("whole").select("row", "place")
         found = whole if found is None else found.unionByName(whole)
         if level + 1 == len(STEPS):
@@ -410,15 +419,40 @@ def repeated_windows(keyed: DataFrame, cap: int = CAP) -> DataFrame:
         sizes = common.written(sizes, "suffix-grams")  # so that the join below is between two shuffles, which AQE splits
         asked = sorted_out.where("not whole").join(sizes, "gram").select("gram", "row", "place", (F.col("n") > cap).alias("frequent"))
         fetched = common.written(open_contexts(keyed, asked, level), "suffix-contexts")
+        held += [sizes, fetched]
         found = found.unionByName(shard_spans(fetched.where("bytes is not null")))
         rows = fetched.where("bytes is null").select(*_ROWS.names)
         if rows.isEmpty():
             break
-    return found
+    return found, held
+
+
+def single_rows(keyed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``row, text`` with each row once; and ``row, place`` of the rows that occur several times, if any do.
+
+    Their negative place stands for the whole text; rows are told apart by two hashes.
+    """
+    twice = keyed.withColumn("check", F.xxhash64(F.lit("second"), "text"))
+    several = twice.groupBy("row", "check", F.octet_length("text").alias("size")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    several = common.written(several, "suffix-several")
+    if several.isEmpty():
+        return keyed, None
+    name = ["row", "check"]
+    once = twice.join(several, name, "left_anti").select("row", "text")
+    again = twice.join(several, name, "left_semi").groupBy(*name).agg(F.first("text").alias("text")).select("row", "text")
+    return once.unionByName(again), several.select("row", whole_place(F.col("size")).cast("long").alias("place"))
+
+
+def whole_place(size):
+    """The place that stands for the whole of a text of ``size`` bytes."""
+    return -1 - size % 65536
 
 
 def covered(size: int, places: np.ndarray) -> np.ndarray:
     """Which bytes of a text of ``size`` bytes the window ranges cover."""
+    if (places == whole_place(size)).any():
+        return np.ones(size, bool)
+    places = places[places >= 0]
     at, length, near, far = unpack(places)
     fits = length == size & 0xFFFF
     step = np.zeros(size + 1, np.int64)
@@ -431,9 +465,12 @@ def with_repeats(docs: DataFrame, id_col: str, text_col: str, function, schema:
     """Join each row with its repeated windows and map ``function(batch, places of each row)`` over them."""
     key, spots = common.fresh(docs, "row", "places")
     keyed = docs.select(row_key(id_col, text_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = repeated_windows(keyed.where(F.octet_length("text") >= LENGTH))
-    # equal rows without ids of their own share a key and give the same places: each is kept once
-    found = found.groupBy(F.col("row").alias(key)).agg(F.collect_set("place").alias(spots))
+    single, several = single_rows(keyed.where(F.octet_length("text") >= LENGTH))
+    found, tables = repeated_windows(single)
+    if several is not None:
+        found = found.unionByName(several)
+    found = common.written(found.groupBy(F.col("row").alias(key)).agg(F.collect_set("place").alias(spots)), "suffix-found")
+    common.discard(*tables)
     joined = docs.withColumn(key, row_key(id_col, text_col)).join(found, key, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
