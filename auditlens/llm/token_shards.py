@@ -1,16 +1,18 @@
-"""Training-order materialisation: token sequences in permuted order in fixed-stride shards.
+"""Training-order materialisation: token sequences in permuted order in fixed-stride files.
 
 Documents become token ids with an end id, laid end to end within a task and cut
 into sequences of ``length`` ids.  Every sequence has a number (those of earlier
 tasks first), and a keyed Feistel permutation of all numbers gives its global
 slot; a value outside the range walks on along its cycle until it is inside.  Slot
-ranges are shards: a shard is the ids of its slots in order, each ``stride`` bytes,
-so slot ``s`` lies at byte ``(s % per_shard) * stride`` of shard ``s // per_shard``
-and a reader that stopped at a slot goes on from there.
+ranges are shards: a shard is a file of the ids of its slots in order, little-endian
+unsigned 16-bit, each slot ``stride`` bytes (a line feed ends the file).  Slot ``s`` lies at byte
+``(s % per_shard) * stride`` of the file of shard ``s // per_shard``, so a reader that
+stopped at a slot seeks there and goes on, reading nothing else.
 
 The sequences are written to the shared folder once, so that their numbers stay the
-same when tasks run again; then they are numbered, permuted and dealt to shards in
-one shuffle by range.  Only one number per input partition reaches the driver.
+same when tasks run again; then they are numbered, permuted, gathered by shard within
+each batch and dealt to shards in one shuffle.  Only one number per input partition reaches
+the driver.
 
 Defined results: null or empty text is the end id alone; null ids and repeated
 rows are documents like any other; the last sequence of a task is filled up with
@@ -20,6 +22,8 @@ the end id, its real length is in the index; an empty table gives no shards.
 from __future__ import annotations
 
 import base64
+import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import batched
@@ -27,6 +31,7 @@ from itertools import batched
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,14 +102,10 @@ def sequences(batches: Iterator[pa.RecordBatch], text_col: str, path: str, lengt
         yield np.concatenate(held)
 
 
-def shards(docs: DataFrame, text_col: str = "text", ranks: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, end_id: int = END_ID) -> DataFrame:
-    """One row per shard: ``shard, first_slot, stride, numbers, lengths, payload``.
-
-    ``numbers`` and ``lengths`` are the sequence number and real length of each slot.
-    """
+def shards(docs: DataFrame, text_col: str = "text", ranks: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, end_id: int = END_ID) -> tuple[str, DataFrame]:
+    """Write the shard files; returns their folder and the index: ``slot, shard, sequence, n_tokens`` (real length) of every slot."""
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    spark, texts = docs.sparkSession, docs.select(text_col)
-    stride = 2 * length
+    spark, stride = docs.sparkSession, 2 * length
     cut = T.StructType([T.StructField("task", T.LongType()), T.StructField("at", T.LongType()), T.StructField("length", T.IntegerType()), T.StructField("ids", T.BinaryType())])
     cut_arrow = to_arrow_schema(cut)
 
@@ -115,79 +116,124 @@ def shards(docs: DataFrame, text_col: str = "text", ranks: str | None = None, le
             yield from common.emit({"task": [task] * len(held), "at": np.arange(at, at + len(held)), "length": [len(x) for x in held], "ids": full}, cut_arrow)
             at += len(held)
 
-    tokens = common.written(texts.mapInArrow(tokenise, cut), "token-sequences")
+    tokens = common.written(docs.select(text_col).mapInArrow(tokenise, cut), "token-sequences")
     firsts, total = {}, 0
     for task, n in sorted(map(tuple, tokens.groupBy("task").count().collect())):  # one row per input partition
         firsts[task] = total
         total += n
     shared = spark.sparkContext.broadcast(firsts)
-    placed = T.StructType([T.StructField("slot", T.LongType()), T.StructField("number", T.LongType()), T.StructField("length", T.IntegerType()), T.StructField("ids", T.BinaryType())])
-    placed_arrow = to_arrow_schema(placed)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                first = np.array([shared.value[t] for t in batch.column("task").to_pylist()], np.int64)
-                number = first + batch.column("at").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(permute(number, total, key)), pa.array(number), batch.column("length"), batch.column("ids")], schema=placed_arrow)
+    def slots_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        number = np.array([shared.value[t] for t in batch.column("task").to_pylist()], np.int64) + batch.column("at").to_numpy()
+        return number, permute(number, total, key)
 
-    out = T.StructType([
-        T.StructField("shard", T.LongType()), T.StructField("first_slot", T.LongType()), T.StructField("stride", T.IntegerType()),
-        T.StructField("numbers", T.ArrayType(T.LongType())), T.StructField("lengths", T.ArrayType(T.IntegerType())), T.StructField("payload", T.BinaryType()),
-    ])
-    out_arrow = to_arrow_schema(out)
+    gathered = "shard long, slots binary, packed binary, size long"
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A batch's sequences by shard, compressed for the shuffle."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _, slot = slots_of(batch)
+            order = np.argsort(slot, kind="stable")
+            slot, raw = slot[order], batch.column("ids").take(pa.array(order))
+            cuts = [0, *(np.flatnonzero(np.diff(slot // per_shard)) + 1).tolist(), len(slot)]
+            bodies = [b"".join(raw.slice(i, j - i).to_pylist()) for i, j in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_pydict({
+                "shard": slot[cuts[:-1]] // per_shard, "slots": [slot[i:j].tobytes() for i, j in zip(cuts, cuts[1:])],
+                "packed": [pa.compress(x, "zstd", asbytes=True) for x in bodies], "size": [len(x) for x in bodies],
+            })
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Slots arrive in order; one shard is held at a time."""
-        now, held = None, []
+        """Rows arrive by shard; one shard is held at a time."""
+        now, slots, bodies = None, [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                slots, numbers, lengths, ids = zip(*held)
-                if slots != tuple(range(now * per_shard, now * per_shard + len(slots))):
+            if now is not None:
+                at = np.concatenate(slots) - now * per_shard
+                ids = np.empty((len(at), stride), np.uint8)
+                if len(np.unique(at)) != len(at) or at.max() >= len(at):
                     raise ValueError(f"shard {now} has gaps")
-                yield from common.emit({"shard": [now], "first_slot": [slots[0]], "stride": [stride], "numbers": [list(numbers)], "lengths": [list(lengths)], "payload": [b"".join(ids)]}, out_arrow)
-                held.clear()
+                ids[at] = np.frombuffer(b"".join(bodies), np.uint8).reshape(-1, stride)
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int64()), "payload": pa.array([ids.tobytes()], pa.binary())})
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in placed_arrow.names)):
-                if row[0] // per_shard != now:
+            for shard, held, packed, size in zip(*(batch.column(c).to_pylist() for c in ("shard", "slots", "packed", "size"))):
+                if shard != now:
                     yield from flush()
-                    now = row[0] // per_shard
-                held.append(row)
+                    now, slots, bodies = shard, [], []
+                slots.append(np.frombuffer(held, np.int64))
+                bodies.append(pa.decompress(packed, size, "zstd", asbytes=True))
         yield from flush()
 
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                number, slot = slots_of(batch)
+                yield pa.RecordBatch.from_pydict({"slot": slot, "shard": slot // per_shard, "sequence": number, "n_tokens": batch.column("length").cast(pa.int64())})
+
     n_shards = -(-total // per_shard)
     parts = max(1, min(n_shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     each = -(-n_shards // parts) if n_shards else 1  # neighbouring shards of one task
-    by_range = F.floor(F.col("slot") / (per_shard * each)).cast("int")
-    return tokens.mapInArrow(place, placed).repartitionById(parts, by_range).sortWithinPartitions("slot").mapInArrow(assemble, out)
-
-
-def read_slots(written: DataFrame, start: int, count: int, per_shard: int = PER_SHARD) -> DataFrame:
-    """``slot, length, ids`` of ``count`` slots from ``start`` on, in order: reads only their shards."""
-    near = written.where(F.col("shard").between(start // per_shard, (start + count - 1) // per_shard))
-    slots = near.select("first_slot", "stride", "payload", F.posexplode("lengths").alias("at", "length"))
-    rows = slots.select((F.col("first_slot") + F.col("at")).alias("slot"), "length", F.substring("payload", F.col("at") * F.col("stride") + 1, F.col("length") * 2).alias("ids"))
-    return rows.where(F.col("slot").between(start, start + count - 1)).orderBy("slot")
-
-
-def manifest(written: DataFrame) -> DataFrame:
-    """One row per slot: ``slot, shard, byte_offset, sequence, n_tokens, ids_crc32`` (of the real ids)."""
+    dealt = tokens.mapInArrow(gather, gathered).repartitionById(parts, F.floor(F.col("shard") / each).cast("int")).sortWithinPartitions("shard")
+    files = dealt.mapInArrow(assemble, "shard long, payload binary")
+    folder = f"{common.shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
+    # the text writer puts out the bytes of a row as they are; a task has whole shards, so a shard is one file
+    files.select("shard", F.col("payload").cast("string")).write.partitionBy("shard").option("compression", "none").text(f"{folder}/files")
+    tokens.select("task", "at", "length").mapInArrow(listed, "slot long, shard long, sequence long, n_tokens long").write.parquet(f"{folder}/index")
+    common.discard(tokens)
+    return folder, spark.read.schema("slot long, shard long, sequence long, n_tokens long").parquet(f"{folder}/index")
+
+
+class Reader:
+    """Reads slots of a folder of shards from any slot on; only the bytes asked for are read."""
+
+    def __init__(self, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD):
+        root = re.sub("^file:/+", "/", folder) + "/files"
+        self.files, base = fs.FileSystem.from_uri(root)
+        self.length, self.stride, self.per_shard = length, 2 * length, per_shard
+        found = self.files.get_file_info(fs.FileSelector(base, recursive=True))
+        self.shards = {int(m[1]): (x.path, (x.size - 1) // self.stride) for x in found if (m := re.search(r"/shard=(\d+)/part-[^/]*\.txt$", x.path))}
+
+    def __len__(self) -> int:
+        return sum(n for _, n in self.shards.values())
+
+    def read(self, start: int, count: int) -> Iterator[tuple[int, np.ndarray]]:
+        """``(slot, ids)`` of ``count`` slots from ``start`` on, as far as there are slots."""
+        end = min(start + count, len(self))
+        while start < end:
+            path, n = self.shards[start // self.per_shard]
+            at = start % self.per_shard
+            take = min(end - start, n - at)
+            with self.files.open_input_file(path) as file:
+                file.seek(at * self.stride)
+                for i in range(take):
+                    yield start + i, np.frombuffer(file.read(self.stride), "<u2")
+            start += take
+
+
+def manifest(folder: str, index: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
+    """One row per slot: ``slot, shard, byte_offset, sequence, n_tokens, ids_crc32`` (of the real ids, as the files have them)."""
+    spark, stride = index.sparkSession, 2 * length
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("slot", "shard", "byte_offset", "sequence", "n_tokens", "ids_crc32")])
     arrow = to_arrow_schema(schema)
+    held = index.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("slot", "sequence", "n_tokens"))).alias("slots"))  # per_shard at most
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(f"{folder}/files")
+    files = files.select(F.regexp_extract("path", r"/shard=(\d+)/", 1).cast("long").alias("shard"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                n, stride, body = len(row["lengths"]), row["stride"], memoryview(row["payload"])
-                at = np.arange(n) * stride
-                crc = [zlib.crc32(body[a : a + 2 * k]) for a, k in zip(at.tolist(), row["lengths"])]
-                yield from common.emit({"slot": row["first_slot"] + np.arange(n), "shard": np.full(n, row["shard"]), "byte_offset": at, "sequence": row["numbers"], "n_tokens": row["lengths"], "ids_crc32": crc}, arrow)
+                slot, sequence, size = (np.array([x[c] for x in row["slots"]], np.int64) for c in ("slot", "sequence", "n_tokens"))
+                at, body = slot % per_shard * stride, memoryview(row["content"])
+                if len(body) != len(slot) * stride + 1:
+                    raise ValueError(f"shard {row['shard']} is not whole")
+                crc = [zlib.crc32(body[a : a + 2 * k]) for a, k in zip(at.tolist(), size.tolist())]
+                yield from common.emit({"slot": slot, "shard": np.full(len(slot), row["shard"]), "byte_offset": at, "sequence": sequence, "n_tokens": size, "ids_crc32": crc}, arrow)
 
-    return written.mapInArrow(run, schema)
+    return files.join(held, "shard").select("shard", "content", "slots").mapInArrow(run, schema)
 
 
 def op4_token_shards(spark, sf_dir: str) -> DataFrame:
     """Writes the shards to the shared folder and returns their manifest."""
-    return manifest(common.written(shards(common.table(spark, sf_dir, "documents")), "token-shards"))
+    return manifest(*shards(common.table(spark, sf_dir, "documents")))

@@ -378,19 +378,63 @@ def test_permutation(size, key):
     assert sorted(token_shards.permute(np.arange(size), size, key).tolist()) == list(range(size))
 
 
-def test_token_shards(docs, empty, tik):
-    made = token_shards.shards(clash(docs), length=32, per_shard=16).cache()
-    listed = token_shards.manifest(made).collect()
+def test_token_shards(docs, empty, tik, monkeypatch):
+    folder, index = token_shards.shards(clash(docs), length=32, per_shard=16)
+    listed = token_shards.manifest(folder, index, 32, 16).collect()
     assert sorted(r.slot for r in listed) == list(range(len(listed))) and {r.sequence for r in listed} == set(range(len(listed)))
     assert all(r.shard == r.slot // 16 and r.byte_offset == r.slot % 16 * 64 for r in listed)
+    # the slot of every sequence is the keyed permutation's
+    slots = token_shards.permute(np.arange(len(listed)), len(listed))
+    assert all(slots[r.sequence] == r.slot for r in listed)
     table = rows()
     want = Counter(i for r in table for i in [*tik.encode_ordinary(r[1] or ""), token_shards.END_ID])
-    got = Counter(i for r in token_shards.read_slots(made, 0, len(listed), 16).collect() for i in np.frombuffer(r.ids, "<u2").tolist())
-    assert got == want
-    some = token_shards.read_slots(made, 10, 20, 16).collect()
+    reader = token_shards.Reader(folder, 32, 16)
+    size = {r.slot: r.n_tokens for r in listed}
+    held = dict(reader.read(0, 10**6))
+    assert len(reader) == len(held) == len(listed) and Counter(i for s, x in held.items() for i in x[: size[s]].tolist()) == want
+    # in order of their numbers the sequences are the documents' ids, end to end within a task
+    line = [i for r in sorted(listed, key=lambda r: r.sequence) for i in held[r.slot][: r.n_tokens].tolist()]
+    told = "\n" + "\n".join(map(str, line)) + "\n"
+    assert all("\n" + "\n".join(map(str, [*tik.encode_ordinary(r[1] or ""), token_shards.END_ID])) + "\n" in told for r in table)
     crc = {r.slot: r.ids_crc32 for r in listed}
-    assert [r.slot for r in some] == list(range(10, 30)) and all(zlib.crc32(r.ids) == crc[r.slot] for r in some)
-    assert token_shards.shards(empty).count() == 0
+    assert all(zlib.crc32(x[: size[s]].tobytes()) == crc[s] for s, x in held.items())
+    assert token_shards.manifest(*token_shards.shards(empty)).count() == 0
+
+
+def test_reader_resumes_anywhere_and_reads_nothing_else(docs):
+    folder, index = token_shards.shards(docs, length=32, per_shard=16)
+    reader = token_shards.Reader(folder, 32, 16)
+    whole, asked = dict(reader.read(0, len(reader))), []
+
+    class Watched:
+        def __init__(self, files):
+            self.files = files
+
+        def open_input_file(self, path):
+            file = self.files.open_input_file(path)
+
+            class Counted:
+                def __enter__(self):
+                    return self
+
+                def __exit__(self, *_):
+                    file.close()
+
+                def seek(self, at):
+                    file.seek(at)
+
+                def read(self, n):
+                    asked.append(n)
+                    return file.read(n)
+
+            return Counted()
+
+    reader.files = Watched(reader.files)
+    for start in (0, 1, 15, 16, 33, len(reader) - 1, len(reader)):
+        asked.clear()
+        got = list(reader.read(start, 20))
+        assert [s for s, _ in got] == list(range(start, min(start + 20, len(reader)))) and sum(asked) == 64 * len(got)
+        assert all((x == whole[s]).all() for s, x in got)
 
 
 # models
