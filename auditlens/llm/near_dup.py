@@ -1,16 +1,20 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles, exactly.
-
-Two texts are linked if their sets of shingles have a similarity of at least
-``LEAST``.  Candidates come from prefix filtering: with the shingles of every
-text in one common order, two sets of similarity ``s`` or more share one of the
-first ``n - ceil(s n) + 1`` shingles of each, so no linked pair is missed.  The
-order puts shingles that are frequent in a sample of the texts last, so that
-common lines are not met; any order gives the same links.
-
-Texts with equal sets collapse to one node first.  Nodes that share a prefix
-shingle are compared in two rounds: each with the node before it and the first
-one of the bucket, then all pairs whose nodes the first round did not connect.
-A large group of near copies is thus connected by few comparisons.
+"""The pipeline's near-duplicates: covering SimHash links, held to a Jaccard similarity and completed exactly.
+
+Two texts are linked if their sets of five-word shingles have a Jaccard similarity of at
+least ``LEAST``.  Fingerprints of such pairs differ in up to a third of their bits, more
+than covering masks can reach, so the covering hash of :mod:`.simhash` finds the close
+copies first, each link is checked on the sets, and prefix filtering finds the rest: with the
+shingles of every text in one common order, two sets of similarity ``s`` or more share one of
+the first ``n - ceil(s n) + 1`` shingles of each, so no linked pair is missed.  The order puts
+the shingles that are frequent in the corpus last, so that common lines and passages are
+not met; any order gives the same links.
+
+Texts with equal sets collapse to one node first.  Nodes that share a prefix shingle are
+a bucket.  In each round a node is tried with a few others of its buckets, in windows that
+deal a large bucket into blocks, and components are joined; rounds go on while they
+help, until the pairs of nodes that are not connected yet are in proportion to the buckets.
+Those are then tried one and all, unless where their shingles stand in both sets shows that
+they cannot be similar.  So large groups of near copies are connected by few comparisons.
 
 Defined results: a text of fewer than five words is one shingle; texts without
 words are one group; repeated rows and rows without an id are rows like others.
@@ -19,24 +23,31 @@ Shingles and sets are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from . import common
+from . import common, simhash
+
+log = logging.getLogger(__name__)
 
 SHINGLE = 5
 #: Least similarity of a link, as numerator and denominator.
 LEAST = (4, 5)
-#: Texts, about, from which the order of shingles is found; and the shingles placed last.
-SAMPLE = 10_000
-FREQUENT = 50_000
+#: Shingles placed last in the common order; texts in which one must occur, of those a task takes at a time, to be counted.
+FREQUENT = 200_000
+OFTEN = 3
+#: Nodes of a bucket that one window orders; partners of a node in a round; rounds at most.
+BLOCK = 1_000
+PARTNERS = 3
+ROUNDS = 6
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -66,53 +77,65 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * LEAST[1] >= (len(a) + len(b) - both) * LEAST[0]
 
 
-def prefix(grams: np.ndarray, last: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles of a set: those not in ``last`` (sorted), then those by ``rank``."""
+def fingerprint(grams: np.ndarray) -> int:
+    """The SimHash of a set of shingles: a bit is 1 if set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(grams), 1 << 16):
+        ones += np.unpackbits(grams[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(grams)).tobytes(), "big", signed=True)
+
+
+def prefix(grams: np.ndarray, last: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first shingles of a set: those not in ``last`` (sorted), whose number is given, then those by ``rank``."""
     if not len(grams):
-        return grams
+        return grams, 0
     keep = len(grams) + (-len(grams) * LEAST[0] // LEAST[1]) + 1
     if not len(last):
-        return grams[:keep]
+        return grams[:keep], keep
     at = np.minimum(np.searchsorted(last, grams), len(last) - 1)
     order = np.where(last[at] == grams, rank[at], 0)
-    return grams[np.argsort(order, kind="stable")[:keep]]
+    return grams[np.argsort(order, kind="stable")[:keep]], min(keep, int((order == 0).sum()))
 
 
 def frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles frequent in a sample, sorted, and how often they were met: at most ``FREQUENT``."""
-    one_of = max(1, docs.count() // SAMPLE)
+    """The shingles of the corpus that are met most, sorted, and how often they were met: at most ``FREQUENT``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tab in common.chunks(batches, text_col):
             known = _Words()
-            for text in common.texts_of(tab, text_col):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(text, known).view(np.int64))], names=["gram"])
+            gram, n = np.unique(np.concatenate([shingles(t, known) for t in common.texts_of(tab, text_col)]), return_counts=True)
+            often = n >= OFTEN
+            yield pa.RecordBatch.from_pydict({"gram": gram[often].view(np.int64), "n": n[often].astype(np.int64)})
 
-    some = docs.select(text_col).where(F.pmod(F.xxhash64(text_col), F.lit(one_of)) == 0)
-    counts = some.mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 2")
-    rows = counts.orderBy(F.desc("n"), "gram").limit(FREQUENT).collect()
-    gram = np.array([r["gram"] for r in rows], np.int64).view(np.uint64)
+    counts = docs.select(text_col).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = counts.orderBy(F.desc("n"), "gram").limit(FREQUENT).toArrow()
+    gram = rows.column("gram").to_numpy().view(np.uint64)
     order = np.argsort(gram)
-    return gram[order], np.array([r["n"] for r in rows], np.int64)[order]
+    return gram[order], rows.column("n").to_numpy()[order]
 
 
-def with_sets(docs: DataFrame, text_col: str, node: str, size: str, first: str) -> DataFrame:
-    """The columns of ``docs``, the hash and size of the text's set, and its prefix."""
+def with_sets(docs: DataFrame, text_col: str, names: list[str]) -> DataFrame:
+    """The columns of ``docs``, and under ``names`` the hash, size and fingerprint of the text's set, its prefix, and how
+    many shingles of that are not frequent."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, text_col))
-    added = [T.StructField(node, T.LongType()), T.StructField(size, T.IntegerType()), T.StructField(first, T.BinaryType())]
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema] + added)
+    types = [T.LongType(), T.IntegerType(), T.LongType(), T.BinaryType(), T.IntegerType()]
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema] + [T.StructField(n, t) for n, t in zip(names, types)])
     arrow = to_arrow_schema(schema)
+    node, size, print_, first, light = names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rank = shared.value
         for tab in common.chunks(batches, text_col, 4 << 20):
             known = _Words()
-            cols: dict[str, list] = {node: [], size: [], first: []}
+            cols: dict[str, list] = {n: [] for n in names}
             for text in common.texts_of(tab, text_col):
                 grams = shingles(text, known)
+                begin, n = prefix(grams, last, rank)
                 cols[node].append(int(np.uint64(xxhash.xxh64_intdigest(grams.tobytes())).view(np.int64)))
                 cols[size].append(len(grams))
-                cols[first].append(prefix(grams, last, rank).tobytes())
+                cols[print_].append(fingerprint(grams))
+                cols[first].append(begin.tobytes())
+                cols[light].append(n)
             arrays = [pa.array(cols[f.name], f.type) if f.name in cols else tab.column(f.name).cast(f.type) for f in arrow]
             yield from pa.Table.from_arrays(arrays, schema=arrow).to_batches(max_chunksize=5_000)
 
@@ -120,8 +143,8 @@ def with_sets(docs: DataFrame, text_col: str, node: str, size: str, first: str)
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """``gram, node, size``: the nodes of every prefix shingle that several nodes have."""
-    arrow = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("size", pa.int32())])
+    """``gram, node, size, pos, n``: the ``n`` nodes of every prefix shingle that several nodes have, and where it stands."""
+    arrow = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("often", pa.bool_())])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,8 +152,9 @@ def buckets(classes: DataFrame) -> DataFrame:
                 part = batch.slice(at, 500)
                 raw = part.column("first").to_pylist()
                 n = np.array([len(x) // 8 for x in raw], np.int64)
-                node, size = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), n) for c in ("node", "size"))
-                yield from common.emit({"gram": np.frombuffer(b"".join(raw), np.int64), "node": node, "size": size}, arrow)
+                node, size, light = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), n) for c in ("node", "size", "light"))
+                pos = np.arange(len(node)) - np.repeat(np.cumsum(n) - n, n)
+                yield from common.emit({"gram": np.frombuffer(b"".join(raw), np.int64), "node": node, "size": size, "pos": pos, "often": pos >= light}, arrow)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by shingle, those whose shingle the row before or after has."""
@@ -147,9 +171,13 @@ def buckets(classes: DataFrame) -> DataFrame:
         if held is not None and before is not None and before == held.column("gram")[0].as_py():
             yield held
 
-    names = "gram long, node long, size int"
-    rows = classes.select("node", "size", "first").mapInArrow(spread, names)
-    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(shared, names)
+    names = "gram long, node long, size int, pos int"
+    rows = common.written(classes.select("node", "size", "first", "light").mapInArrow(spread, f"{names}, often boolean"), "prefixes")
+    # rare shingles meet in a shuffle; frequent ones, which may be very frequent, are known to be shared
+    rare = rows.where("not often").drop("often").repartition("gram").sortWithinPartitions("gram").mapInArrow(shared, names)
+    met = common.written(rare.unionByName(rows.where("often").drop("often")), "prefixes-met")
+    common.discard(rows)
+    return met.join(met.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "gram")
 
 
 def joined(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
@@ -159,87 +187,131 @@ def joined(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", *[f"{x}_{c}" for x in "ab" for c in columns])
 
 
-def hopeful(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The ``pairs`` that can be similar by their prefixes.
-
-    Of the two prefixes one ends first in the common order; up to there all shared
-    shingles are in both, so no more are shared than these and the rest of that set.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m, n = (batch.column(c).to_numpy().astype(np.int64) for c in ("a_size", "b_size"))
-            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("a_first", "b_first"))
-            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)], np.int64)
-            both += np.maximum(m - [len(x) for x in a], n - [len(y) for y in b])
-            yield batch.select(["a", "b"]).filter(pa.array(both * LEAST[1] >= (m + n - both) * LEAST[0]))
-
-    return joined(pairs, classes, ["size", "first"]).mapInArrow(run, "a long, b long")
-
-
-def linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The ``pairs`` (``a, b``) whose sets are similar; ``texts`` has ``lead, text``."""
-    pairs = common.written(hopeful(pairs, classes), "near-pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    nodes = common.written(nodes.join(classes.select("node", "lead"), "node"), "near-nodes")
+def sets_of(nodes: DataFrame, table: DataFrame, text_col: str, row: str) -> DataFrame:
+    """``node, grams`` of ``node, lead``: the shingles of the text of row ``lead``."""
     arrow = pa.schema([("node", pa.int64()), ("grams", pa.binary())])
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tab in common.chunks(batches, "text", 4 << 20):
             known = _Words()
             grams = [shingles(t, known).tobytes() for t in common.texts_of(tab, "text")]
             yield from common.emit({"node": tab.column("node").combine_chunks(), "grams": grams}, arrow)
 
+    texts = table.select(F.col(row).alias("lead"), F.col(text_col).alias("text"))
+    return texts.join(nodes, "lead").select("node", "text").mapInArrow(run, "node long, grams binary")
+
+
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (``a, b``) whose sets are similar."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("a_grams", "b_grams"))
-            yield batch.select(["a", "b"]).filter(pa.array([similar(x, y) for x, y in zip(a, b)], pa.bool_()))
+            a, b = (batch.column(c) for c in ("a_grams", "b_grams"))
+            near = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(a, b)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return joined(pairs, sets, ["grams"]).mapInArrow(run, "a long, b long")
+
+
+def may_link(x: str, y: str) -> Column:
+    """Whether nodes that share a shingle can be similar, if it is the first in the common order that they share: by the
+    sizes of both sets and by what stands behind it in both."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    most = F.least(c(x, "size") - c(x, "pos"), c(y, "size") - c(y, "pos"))
+    sizes = F.least(c(x, "size"), c(y, "size")) * LEAST[1] >= F.greatest(c(x, "size"), c(y, "size")) * LEAST[0]
+    return sizes & (most * sum(LEAST) >= (c(x, "size") + c(y, "size")) * LEAST[0])
+
 
-    sets = texts.join(nodes, "lead").select("node", "text").mapInArrow(sets_of, "node long, grams binary")
-    return joined(pairs, common.written(sets, "sets"), ["grams"]).mapInArrow(run, "a long, b long")
+def ordered(x: str, y: str) -> list[Column]:
+    return [F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")]
+
+
+def fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """``a, b``: nodes whose fingerprints the covering hash links, by one node of each fingerprint, and that with its others."""
+    prints = common.written(classes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    name = lambda c: prints.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node"))
+    close = simhash.links(prints.select("fp")).join(name("a"), "a").join(name("b"), "b").select(F.struct(F.col("a_node").alias("node")).alias("x"), F.struct(F.col("b_node").alias("node")).alias("y"))
+    equal = classes.select("fp", "node").join(prints.withColumnRenamed("node", "of"), "fp").where("node <> of")
+    equal = equal.select(F.struct("node").alias("x"), F.struct(F.col("of").alias("node")).alias("y"))
+    return close.unionByName(equal).select(*ordered("x", "y"))
+
+
+def round_pairs(placed: DataFrame, turn: int) -> DataFrame:
+    """``a, b``: each node with a few others of its bucket that are not in its component; in the first round by size, then at random."""
+    block = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / BLOCK))
+    order = Window.partitionBy("gram", "block").orderBy(*(["size", "node"] if turn == 1 else [F.xxhash64("node", F.lit(-turn)), "node"]))
+    one = F.struct("node", "size", "pos", "part")
+    near = placed.withColumn("block", block).select(one.alias("x"), F.array(*[F.lag(one, k).over(order) for k in range(1, PARTNERS + 1)]).alias("others"))
+    near = near.select("x", F.explode("others").alias("y"))
+    return near.where(F.col("y").isNotNull()).where("x.part <> y.part").where(may_link("x", "y")).select(*ordered("x", "y"))
+
+
+def open_pairs(placed: DataFrame) -> DataFrame:
+    """``a, b``: all pairs of nodes of a bucket that may be linked and are in different components."""
+    several = placed.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("gram")
+    still = common.written(placed.join(several, "gram").select("gram", F.struct("node", "size", "pos", "part").alias("x")), "near-open")
+    both = still.join(still.withColumnRenamed("x", "y"), "gram")
+    return both.where("x.node < y.node and x.part <> y.part").where(may_link("x", "y")).select(*ordered("x", "y"))
 
 
 def components(table: DataFrame, classes: DataFrame, text_col: str, row: str) -> DataFrame:
     """``node, component`` of all nodes that are linked to another.
 
-    ``classes`` has ``node, size, first, lead``: ``lead`` is a row of ``table`` with the node's text.
+    ``classes`` has ``node, size, fp, first, light, lead``: ``lead`` is a row of ``table`` with the node's text.
     """
-    met = common.written(buckets(classes), "buckets")
-    texts = table.select(F.col(row).alias("lead"), F.col(text_col).alias("text"))
-    near = lambda a, b: F.least(a, b) * LEAST[1] >= F.greatest(a, b) * LEAST[0]
-    order = Window.partitionBy("gram").orderBy("size", "node")
-    one = F.struct("node", "size")
-    starts = met.select("node", "size", F.array(F.lag(one).over(order), F.first(one).over(order)).alias("others"))
-    starts = starts.select("node", "size", F.explode("others").alias("to"))
-    tried = starts.where(F.col("to").isNotNull()).where(F.col("to.node") != F.col("node")).where(near(F.col("size"), F.col("to.size")))
-    tried = common.written(tried.select(F.least("node", "to.node").alias("a"), F.greatest("node", "to.node").alias("b")).distinct(), "pairs")
-    found = common.written(linked(tried, classes, texts), "near-links")
-    graph = common.written(common.connected_components(found), "near-components")
-    placed = met.join(graph, "node", "left").select("gram", "node", "size", F.coalesce("component", "node").alias("part"))
-    placed = common.written(placed, "placed")
-    some = placed.groupBy("gram").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
-    still = common.written(placed.join(some.where("n > 2 and low <> high").select("gram"), "gram"), "open")
-    x, y = still.alias("x"), still.alias("y")
-    open_pairs = x.join(y, F.col("x.gram") == F.col("y.gram")).where("x.node < y.node and x.part <> y.part").where(near(F.col("x.size"), F.col("y.size")))
-    open_pairs = open_pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = common.written(linked(open_pairs, classes, texts), "near-links")
-    return graph if more.isEmpty() else common.connected_components(found.unionByName(more))
+    met = common.written(buckets(classes), "near-buckets")
+    rows = met.count()
+    nodes = met.select("node").distinct().join(classes.select("node", "lead"), "node")
+    sets = common.written(sets_of(nodes, table, text_col, row), "near-sets")
+    tried: DataFrame | None = None
+    found: DataFrame | None = None
+    left = None
+
+    def attempt(pairs: DataFrame) -> DataFrame:
+        """Components after one more set of pairs; each pair is tried once."""
+        nonlocal tried, found
+        pairs = pairs.distinct()
+        pairs = common.written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = common.written(linked(pairs, sets), "near-links")
+        found = links if found is None else found.unionByName(links)
+        return common.written(common.connected_components(found), "near-components")
+
+    def place(graph: DataFrame) -> DataFrame:
+        return common.written(met.join(graph, "node", "left").select("gram", "node", "size", "pos", "n", F.coalesce("component", "node").alias("part")), "near-placed")
+
+    begin = met.withColumn("part", F.col("node"))
+    graph = attempt(fingerprint_pairs(classes).unionByName(round_pairs(begin, 1)))
+    for turn in range(2, ROUNDS + 2):
+        placed = place(graph)
+        apart = placed.groupBy("gram", "part").agg(F.count("*").cast("double").alias("c")).groupBy("gram").agg(((F.sum("c") ** 2 - F.sum(F.col("c") ** 2)) / 2).alias("pairs"))
+        before, left = left, apart.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
+        log.info("near duplicates: %s rows in buckets, %s pairs apart", rows, int(left))
+        if turn > ROUNDS or left <= 2 * rows or (before is not None and left > 0.8 * before):
+            break
+        graph = attempt(round_pairs(placed, turn))
+    if left:
+        graph = attempt(open_pairs(placed))
+    common.discard(met, sets)
+    return graph
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's columns, one row of each component: that with the least id, null last, and of repeated rows the first."""
     (row,) = common.fresh(docs, "row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    node, size, first = common.fresh(numbered, "node", "size", "first")
-    table = common.written(with_sets(numbered, text_col, node, size, first), "shingle-sets")  # freezes the row numbers
+    names = common.fresh(numbered, "node", "size", "fp", "first", "light")
+    table = common.written(with_sets(numbered, text_col, names), "shingle-sets")  # freezes the row numbers
     order = F.struct(F.col(id_col).isNull().alias("without"), F.col(id_col).alias("id"), F.col(row).alias("row"))
-    classes = table.groupBy(F.col(node).alias("node")).agg(F.min(order).alias("least"), F.min(row).alias("lead"), F.first(size).alias("size"), F.first(first).alias("first"))
+    same = [F.first(n).alias(k) for n, k in zip(names[1:], ("size", "fp", "first", "light"))]
+    classes = table.groupBy(F.col(names[0]).alias("node")).agg(F.min(order).alias("least"), F.min(row).alias("lead"), *same)
     classes = common.written(classes, "shingle-classes")
     graph = components(table, classes, text_col, row)
     placed = classes.select("node", "least").join(graph, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    placed = common.written(placed, "placed")
+    placed = common.written(placed, "near-placed")
     least = placed.groupBy("component").agg(F.min("least").alias("kept"))
     best = placed.select("node", "component").join(least, "component").select("node", F.col("kept.row").alias("kept"))
-    gone = table.select(F.col(node).alias("node"), F.col(row).alias("gone")).join(best, "node").where("gone <> kept").select("gone")
-    gone = common.written(gone, "gone")
+    gone = table.select(F.col(names[0]).alias("node"), F.col(row).alias("gone")).join(best, "node").where("gone <> kept").select("gone")
+    gone = common.written(gone, "near-gone")
+    common.discard(classes, placed)
     return table.join(gone, F.col(row) == F.col("gone"), "left_anti").select(*docs.columns)

@@ -50,9 +50,10 @@ def edited():
     return [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize("last", [0, 50_000])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, last):
+@pytest.mark.parametrize("last, block", [(0, 1_000), (50_000, 5)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, last, block):
     monkeypatch.setattr(near_dup, "FREQUENT", last)
+    monkeypatch.setattr(near_dup, "BLOCK", block)
     for table in (edited(), rows()):
         df = spark.createDataFrame(table, DOCS)
         got = Counter((r.doc_id, r.text) for r in near_dup.keep_representatives(df).collect())
