@@ -57,6 +57,8 @@ CHILDREN = 16
 PICKED = 256
 #: A node with at most this many points is a leaf.
 LEAF = 64
+#: Radius at which a level goes on whose nodes cover few points each.
+FINE = 0.25
 #: Distances computed at a time.
 TABLE = 1 << 21
 #: Room for rounding in the pruning bounds; links are decided by the cosine itself.
@@ -130,7 +132,11 @@ def cover(x: np.ndarray, points: np.ndarray, centre: int, level: float) -> Node:
     while level >= radius:
         level /= 2
     # the centre itself is the first child: levels are nested
-    net, best = net_of(x[points], int(np.flatnonzero(points == centre)[0]), level)
+    first = int(np.flatnonzero(points == centre)[0])
+    net, best = net_of(x[points], first, level)
+    if level > FINE and len(net) > len(points) // 4:  # points far apart: the levels between are left out
+        level = FINE
+        net, best = net_of(x[points], first, level)
     order = np.argsort(best, kind="stable")
     parts = np.split(points[order], np.flatnonzero(np.diff(best[order])) + 1)
     return Node(centre, radius, points, [cover(x, part, int(points[i]), level / 2) for i, part in zip(net, parts)])
