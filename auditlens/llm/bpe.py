@@ -72,18 +72,33 @@ class Merges:
         return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
     def encode_alone(self, piece: bytes) -> list[int]:
-        """One piece, least rank first and leftmost first."""
+        """One piece, least rank first and leftmost first, by a heap of its pairs."""
         if piece in self.ids:
             return [self.ids[piece]]
-        out = [int(self.of_byte[b]) for b in piece]
-        while len(out) > 1:
-            ranks = [self.pairs.get(a << 32 | b, NONE) for a, b in zip(out, out[1:])]
-            least = min(ranks)
-            if least == NONE:
-                break
-            i = ranks.index(least)
-            out[i : i + 2] = [int(least)]
-        return out
+        token = [int(self.of_byte[b]) for b in piece]
+        n = len(token)
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        heap: list[tuple[int, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < n:
+                rank = self.pairs.get(token[i] << 32 | token[after[i]])
+                if rank is not None:
+                    heapq.heappush(heap, (rank, i, token[i], token[after[i]]))
+
+        for i in range(n):
+            offer(i)
+        while heap:
+            rank, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if token[i] != left or j >= n or token[j] != right:
+                continue  # one of the two has joined meanwhile
+            token[i], token[j], after[i] = rank, -1, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            offer(i)
+            offer(before[i])
+        return [t for t in token if t >= 0]
 
     def replay(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of distinct pieces, all replayed together."""

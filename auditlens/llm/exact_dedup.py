@@ -7,7 +7,8 @@
 2. The directory starts at a global depth that fits the entry count and is
    doubled: a slot whose bucket is overfull gets one more hash bit, until its
    buckets fit or the bits run out.
-3. Owner tasks process ranges of bucket numbers: rows sorted by key are
+3. Owner tasks process key ranges of about ``OWNER_BYTES``: the buckets of a range one after
+   another, and the buckets of an overfull slot each by a task of its own.  Rows sorted by key are
    streamed, rows of one key form a chain, and texts in a chain are equal only
    if their bytes are.
 
@@ -37,6 +38,8 @@ SPACE = b"\t\n\x0b\x0c\r "
 #: Entries and text bytes that a bucket of the index holds.
 BUCKET_ROWS = 50_000
 BUCKET_BYTES = 16 << 20
+#: Text bytes that an owner task takes.
+OWNER_BYTES = 64 << 20
 
 
 def normalised(text: str | None) -> bytes:
@@ -148,18 +151,21 @@ def groups(index: DataFrame, names: dict, id_col: str = "doc_id", text_col: str
     """One row per distinct normalised text: the columns of its kept row, and ``key, sha, points, count, rid`` of the group."""
     kind, key, rid, points, count, sha = (names[k] for k in ("kind", "key", "rid", "points", "count", "sha"))
     content = index.where(f"{kind} = 1").drop(kind)
-    size, slot, depth, bucket = common.fresh(content, "bytes", "slot", "depth", "bucket")
+    size, slot, depth, bucket, task = common.fresh(content, "bytes", "slot", "depth", "bucket", "owner")
     sized = content.withColumn(size, F.octet_length(F.coalesce(F.col(text_col), F.lit(""))))
     total = sized.agg(F.count("*").alias("n"), F.sum(size).alias("b")).first()
     start = start or math.ceil(math.log2(max(2 * total["n"] / bucket_rows, 2 * (total["b"] or 0) / bucket_bytes, 2)))
+    owners = max(1, math.ceil((total["b"] or 0) / OWNER_BYTES))
     deeper = directory(sized, key, size, start, bucket_bytes, bucket_rows)
     placed = content.withColumn(slot, F.expr(f"shiftrightunsigned({key}, {64 - start})"))
+    by_range = F.floor(F.col(slot) * owners / (1 << start)).cast("int")
     if deeper is None:
-        placed = placed.withColumnRenamed(slot, bucket)
+        placed = placed.withColumn(task, by_range).withColumnRenamed(slot, bucket)
     else:
         placed = placed.join(deeper.withColumnsRenamed({"slot": slot, "depth": depth}), slot, "left")
         local = F.coalesce(F.col(depth), F.lit(start))
-        placed = placed.withColumn(bucket, F.struct(local, F.call_function("shiftrightunsigned", F.col(key), F.lit(64) - local)))
+        placed = placed.withColumn(bucket, F.call_function("shiftrightunsigned", F.col(key), F.lit(64) - local))
+        placed = placed.withColumn(task, F.when(F.col(depth).isNull(), by_range).otherwise(F.pmod(F.xxhash64(local, bucket), F.lit(owners)).cast("int")))
     out_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in content.schema])
     arrow = to_arrow_schema(out_schema)
 
@@ -201,7 +207,7 @@ def groups(index: DataFrame, names: dict, id_col: str = "doc_id", text_col: str
         ready.extend(chain)
         yield from flush()
 
-    return placed.repartition(bucket).sortWithinPartitions(bucket, key).mapInArrow(owner, out_schema)
+    return placed.repartitionById(owners, task).sortWithinPartitions(bucket, key).mapInArrow(owner, out_schema)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
