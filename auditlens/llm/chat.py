@@ -6,7 +6,11 @@ the character spans that a loss may be taken on (what the assistant says and its
 end mark).
 
 A dialogue is rendered in parts of ``PART`` turn numbers, so a conversation of any
-length is never gathered in one task; its parts joined in order are its text.
+length is never gathered in one task; its parts joined in order are its text.  Equal turns
+are one row with a count from the start.  A part of more than ``MOST`` turns (numbers that are
+null or used again and again) is rendered in pieces, named by turn, speaker and as many digits
+of the text's digest as keep a piece near that size; a turn that occurs more often than that has
+pieces of its own.  All other parts are one piece with an empty name.
 Turns are matched to participants by a many-to-one join on the conversation,
 which AQE splits where one conversation is very large; the participants of a
 conversation are a set of names, kept by partial aggregation.
@@ -17,7 +21,8 @@ system turns only has no rows.  Null text is an empty turn.  A null turn comes
 first, in a part of its own numbered null.  Turns with one number are ordered by
 role, then text; repeated rows are rendered as often as they occur.  A null
 conversation is a conversation like any other.  Speakers' names have markup
-characters and line breaks replaced by ``_``, and texts have the marks ``<|`` spaced.
+characters and line breaks replaced by ``_``, and texts have the marks ``<|`` spaced; roles whose
+names are equal then are one speaker, with one perspective and mask.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from pyspark.sql import functions as F
 from . import common
 
 PART = 64
+#: Turns of a part that are rendered in one piece.
+MOST = 1_000
 UNKNOWN = "unknown"
 #: Fixed template: header before a turn and mark after it.
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
@@ -39,8 +46,29 @@ def speaker(role: Column) -> Column:
     return F.when(name == "", F.lit(UNKNOWN)).otherwise(name)
 
 
-def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part: int = PART) -> DataFrame:
-    """One row per conversation, participant and part: ``conv_id, perspective, part, n_turns, n_masked, rendered, spans``.
+def in_pieces(rows: DataFrame, most: int) -> DataFrame:
+    """``conv_id, part, turn, name, body, copies, piece``: equal rows once with their number, each in its piece."""
+    rows = rows.groupBy("conv_id", "part", "turn", "name", "body").agg(F.count("*").alias("copies"))
+    counted = F.least("copies", F.lit(most))
+    by_name = rows.groupBy("conv_id", "part", "name", "turn").agg(F.sum("copies").alias("all"), F.sum(counted).alias("rows"))
+    total = by_name.groupBy(F.col("conv_id").alias("of"), F.col("part").alias("of_part")).agg(F.sum("all").alias("turns")).where(F.col("turns") > most)
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    digits = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("rows") / most))).cast("int")
+    large = by_name.join(total, same("conv_id", "of") & same("part", "of_part"))
+    large = large.select("of", "of_part", F.col("turn").alias("of_turn"), F.col("name").alias("of_name"), digits.alias("digits"))
+    placed = rows.join(large, same("conv_id", "of") & same("part", "of_part") & same("turn", "of_turn") & (F.col("name") == F.col("of_name")), "left")
+    often = F.col("copies") > most
+    digest = F.md5("body")
+    name = F.concat_ws("/", F.coalesce(F.col("turn").cast("string"), F.lit("")), "name", F.when(often, digest).otherwise(F.substring(digest, F.lit(1), F.col("digits"))))
+    chunks = F.when(F.col("digits").isNotNull() & often, F.ceil(F.col("copies") / most)).otherwise(1).cast("int")
+    spread = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    piece = F.when(F.col("digits").isNull(), "").when(often, F.concat_ws("/", name, F.col("chunk").cast("string"))).otherwise(name)
+    copies = F.when(F.col("digits").isNotNull() & often, F.least(F.lit(most), F.col("copies") - F.col("chunk") * most)).otherwise(F.col("copies"))
+    return spread.select("conv_id", "part", "turn", "name", "body", copies.cast("int").alias("copies"), piece.alias("piece"))
+
+
+def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part: int = PART, most: int = MOST) -> DataFrame:
+    """One row per conversation, participant, part and piece: ``conv_id, perspective, part, piece, n_turns, n_masked, rendered, spans``.
 
     ``spans``: start and end (exclusive) of the characters of ``rendered`` that count.
     """
@@ -56,7 +84,7 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         .groupBy(F.col("conv_id").alias("of"))
         .agg(F.array_sort(F.collect_set("name")).alias("parties"))
     )
-    seen = rows.join(parties, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
+    seen = in_pieces(rows, most).join(parties, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
     seen = seen.withColumn("perspective", F.explode("parties")).drop("parties")
     own = F.col("name") == F.col("perspective")
     header = (
@@ -66,12 +94,11 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     )
     head = F.concat(F.lit(OPEN), header, F.lit(MIDDLE))
     tail = F.concat(F.col("body"), F.lit(CLOSE))
-    pieces = seen.select(
-        "conv_id", "perspective", "part",
-        F.struct("turn", "name", "body", head.alias("head"), tail.alias("tail"), own.alias("own")).alias("piece"),
-    )
-    grouped = pieces.groupBy("conv_id", "perspective", "part").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
-    sizes = F.transform("pieces", lambda p: F.length(p["head"]) + F.length(p["tail"]))
+    key = ["conv_id", "perspective", "part", "piece"]
+    turn = F.struct("turn", "name", "body", head.alias("head"), tail.alias("tail"), own.alias("own"), "copies").alias("turn")
+    grouped = seen.select(*key, turn).groupBy(*key).agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    grouped = grouped.withColumn("turns", F.flatten(F.transform("turns", lambda p: F.array_repeat(p, p["copies"]))))
+    sizes = F.transform("turns", lambda p: F.length(p["head"]) + F.length(p["tail"]))
     # running ends in one pass: the last element is the sum so far
     ends = F.aggregate(
         sizes,
@@ -81,7 +108,7 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     grouped = grouped.withColumn("ends", ends)
     marked = F.filter(
         F.transform(
-            "pieces",
+            "turns",
             lambda p, i: F.struct(
                 (F.get("ends", i) + F.length(p["head"])).alias("start"), F.get("ends", i + 1).alias("end"), p["own"].alias("own")
             ),
@@ -90,12 +117,10 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     )
     spans = F.transform(marked, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     return grouped.select(
-        "conv_id",
-        "perspective",
-        "part",
-        F.size("pieces").cast("long").alias("n_turns"),
+        *key,
+        F.size("turns").cast("long").alias("n_turns"),
         F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"])).alias("n_masked"),
-        F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["tail"])), "").alias("rendered"),
+        F.array_join(F.transform("turns", lambda p: F.concat(p["head"], p["tail"])), "").alias("rendered"),
         spans.alias("spans"),
     )
 
@@ -114,19 +139,29 @@ WITH named AS (
               ELSE trim(regexp_replace(coalesce(role, ''), '[<|>\r\n\t]', '_', 'g')) END AS name,
          regexp_replace(coalesce(text, ''), '<\|', '< |', 'g') AS body
   FROM conversations),
+counted AS (
+  SELECT *, count(*) OVER (PARTITION BY conv_id, part) AS turns, count(*) OVER e AS copies, row_number() OVER e AS copy
+  FROM named WINDOW e AS (PARTITION BY conv_id, part, turn, name, body)),
+sized AS (
+  SELECT *, sum(CASE WHEN copy <= 1000 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, part, turn, name) AS rows FROM counted),
+pieced AS (
+  SELECT *, CASE WHEN turns <= 1000 THEN ''
+      WHEN copies > 1000 THEN coalesce(CAST(turn AS VARCHAR), '') || '/' || name || '/' || md5(body) || '/' || CAST(floor((copy - 1) / 1000) AS BIGINT)
+      ELSE coalesce(CAST(turn AS VARCHAR), '') || '/' || name || '/' || left(md5(body), CAST(greatest(0, ceil(ln(rows / 1000) / ln(16))) AS BIGINT)) END AS piece
+  FROM sized),
 parties AS (SELECT DISTINCT conv_id AS of_conv, name AS perspective FROM named WHERE name NOT IN ('system', 'unknown')),
 pieces AS (
-  SELECT n.conv_id, p.perspective, n.part, n.turn, n.name, n.body, n.name = p.perspective AS own,
+  SELECT n.conv_id, p.perspective, n.part, n.piece, n.turn, n.name, n.body, n.name = p.perspective AS own,
          '<|im_start|>' || CASE WHEN n.name = 'system' THEN 'system' WHEN n.name = p.perspective THEN 'assistant'
                                 ELSE 'user name=' || n.name END || chr(10) AS head,
          n.body || '<|im_end|>' || chr(10) AS tail
-  FROM named n JOIN parties p ON n.conv_id IS NOT DISTINCT FROM p.of_conv),
+  FROM pieced n JOIN parties p ON n.conv_id IS NOT DISTINCT FROM p.of_conv),
 placed AS (
   SELECT *, row_number() OVER w AS pos, sum(length(head) + length(tail)) OVER w AS stop
-  FROM pieces WINDOW w AS (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, name, body ROWS UNBOUNDED PRECEDING))
-SELECT conv_id, perspective, part, count(*) AS n_turns,
+  FROM pieces WINDOW w AS (PARTITION BY conv_id, perspective, part, piece ORDER BY turn NULLS FIRST, name, body ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, perspective, part, piece, count(*) AS n_turns,
        CAST(coalesce(sum(length(tail)) FILTER (own), 0) AS BIGINT) AS n_masked,
        string_agg(head || tail, '' ORDER BY pos) AS rendered,
        coalesce(string_agg(CAST(stop - length(tail) AS BIGINT) || '-' || CAST(stop AS BIGINT), ',' ORDER BY pos) FILTER (own), '') AS spans
-FROM placed GROUP BY conv_id, perspective, part
+FROM placed GROUP BY conv_id, perspective, part, piece
 """

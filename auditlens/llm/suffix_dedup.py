@@ -407,9 +407,12 @@ def shard_spans(contexts: DataFrame) -> DataFrame:
 
 def repeated_windows(keyed: DataFrame, cap: int = CAP) -> tuple[DataFrame, list[DataFrame]]:
     """``row, place``: ranges of windows of ``row, text`` that occur anywhere else; and the tables it reads."""
-    rows, found, held = anchor_rows(keyed), None, []
+    # dealing by range reads its rows twice, so they are made once
+    rows, found, held = common.written(anchor_rows(keyed), "suffix-anchors"), None, []
     for level in range(len(STEPS)):
         sorted_out = common.written(classify(rows), "suffix-classes")
+        if not level:
+            common.discard(rows)
         held.append(sorted_out)
         whole = sorted_out.where("whole").select("row", "place")
         found = whole if found is None else found.unionByName(whole)

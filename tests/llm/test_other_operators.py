@@ -43,6 +43,29 @@ def test_long_and_repeated_dialogues(spark):
     assert chat.rotate(spark.createDataFrame([], TURNS)).count() == 0
 
 
+def test_speakers_with_equal_names_are_one(spark):
+    rows = [(1, 0, "A<", "x"), (1, 1, "A|", "y"), (1, 2, "B", "z")]
+    got = {r.perspective: r for r in chat.rotate(spark.createDataFrame(rows, TURNS)).collect()}
+    assert set(got) == {"A_", "B"} and len(got["A_"].spans) == 2 and got["A_"].rendered.count("assistant") == 2
+
+
+def test_crowded_parts_are_rendered_in_pieces(spark):
+    """Many turns without a number, and one that is repeated thousands of times: bounded pieces that hold every turn, as in SQL."""
+    rows = [(1, None, "ab"[i % 2], f"text {i}") for i in range(2_500)] + [(1, None, "a", "again")] * 2_100 + [(1, 3, "b", "numbered"), (2, None, "c", "alone")]
+    df = spark.createDataFrame(rows, TURNS)
+    got = chat.rotate(df).collect()
+    assert sum(r.n_turns for r in got) == 2 * 4_601 + 1 and max(r.n_turns for r in got) <= 1_000
+    assert {r.piece for r in got if r.conv_id == 2 or r.part is not None} == {""}
+    mine = [r for r in got if r.conv_id == 1 and r.perspective == "a"]
+    assert sum(r.rendered.count("assistant\nagain<|im_end|>") for r in mine) == 2_100 and len(mine) > 10
+    duck = duckdb.connect()
+    conversations = df.toPandas()  # noqa: F841
+    conversations["turn"] = conversations["turn"].astype("Int64")
+    want = duck.sql(chat.ORACLE_SQL).fetchall()
+    text = lambda spans: ",".join(f"{s.start}-{s.end}" for s in spans)
+    assert Counter((r.conv_id, r.perspective, r.part, r.piece, r.n_turns, r.n_masked, r.rendered, text(r.spans)) for r in got) == Counter(want)
+
+
 def test_rotation_uses_no_python(spark):
     plan = chat.rotate(common.table(spark, "/root/testdata/sf0.001", "conversations"))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
