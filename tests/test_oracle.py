@@ -1,4 +1,4 @@
-"""Every registered query with oracle SQL against DuckDB on the smallest tables."""
+"""Every registered query with oracle SQL against DuckDB on tables that give every query rows."""
 
 import math
 import os
@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as registry
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
