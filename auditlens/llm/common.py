@@ -9,6 +9,7 @@ session names none (tests).
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -71,6 +72,13 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more; it only learns of them when
+    the driver collects garbage, which may be half an hour away."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Internal column names that no column of ``df`` has (case-insensitively)."""
     taken = {c.lower() for c in df.columns}

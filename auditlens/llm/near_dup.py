@@ -44,10 +44,11 @@ LEAST = (4, 5)
 #: Shingles placed last in the common order; texts in which one must occur, of those a task takes at a time, to be counted.
 FREQUENT = 200_000
 OFTEN = 3
-#: Nodes of a bucket that one window orders; partners of a node in a round; rounds at most.
+#: Nodes of a bucket that one window orders; rounds at most.
 BLOCK = 1_000
-PARTNERS = 3
 ROUNDS = 6
+#: Bits of a shingle's hash that name its bucket: a bucket of several shingles only has more pairs to try.
+BUCKET_BITS = 48
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -142,19 +143,26 @@ def with_sets(docs: DataFrame, text_col: str, names: list[str]) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def buckets(classes: DataFrame) -> DataFrame:
+def buckets(leads: DataFrame) -> DataFrame:
     """``gram, node, size, pos, n``: the ``n`` nodes of every prefix shingle that several nodes have, and where it stands."""
-    arrow = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("often", pa.bool_())])
+    arrow = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())])
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                raw = part.column("first").to_pylist()
-                n = np.array([len(x) // 8 for x in raw], np.int64)
-                node, size, light = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), n) for c in ("node", "size", "light"))
-                pos = np.arange(len(node)) - np.repeat(np.cumsum(n) - n, n)
-                yield from common.emit({"gram": np.frombuffer(b"".join(raw), np.int64), "node": node, "size": size, "pos": pos, "often": pos >= light}, arrow)
+    def spread(often: bool):
+        """The rare or the frequent shingles of prefixes."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    raw = part.column("first").to_pylist()
+                    n = np.array([len(x) // 8 for x in raw], np.int64)
+                    node, size, light = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), n) for c in ("node", "size", "light"))
+                    pos = np.arange(len(node)) - np.repeat(np.cumsum(n) - n, n)
+                    kept = (pos >= light) == often
+                    gram = np.frombuffer(b"".join(raw), np.int64) & ((1 << BUCKET_BITS) - 1)
+                    yield from common.emit({"gram": gram[kept], "node": node[kept], "size": size[kept], "pos": pos[kept]}, arrow)
+
+        return run
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by shingle, those whose shingle the row before or after has."""
@@ -172,11 +180,9 @@ def buckets(classes: DataFrame) -> DataFrame:
             yield held
 
     names = "gram long, node long, size int, pos int"
-    rows = common.written(classes.select("node", "size", "first", "light").mapInArrow(spread, f"{names}, often boolean"), "prefixes")
     # rare shingles meet in a shuffle; frequent ones, which may be very frequent, are known to be shared
-    rare = rows.where("not often").drop("often").repartition("gram").sortWithinPartitions("gram").mapInArrow(shared, names)
-    met = common.written(rare.unionByName(rows.where("often").drop("often")), "prefixes-met")
-    common.discard(rows)
+    rare = leads.mapInArrow(spread(False), names).repartition("gram").sortWithinPartitions("gram").mapInArrow(shared, names)
+    met = common.written(rare.unionByName(leads.mapInArrow(spread(True), names)), "near-met")
     return met.join(met.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "gram")
 
 
@@ -187,30 +193,46 @@ def joined(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", *[f"{x}_{c}" for x in "ab" for c in columns])
 
 
-def sets_of(nodes: DataFrame, table: DataFrame, text_col: str, row: str) -> DataFrame:
-    """``node, grams`` of ``node, lead``: the shingles of the text of row ``lead``."""
-    arrow = pa.schema([("node", pa.int64()), ("grams", pa.binary())])
+def hopeful(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The ``pairs`` that can be similar by their prefixes.
+
+    Of the two prefixes one ends first in the common order; up to there all shared
+    shingles are in both, so no more are shared than these and the rest of that set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n = (batch.column(c).to_numpy().astype(np.int64) for c in ("a_size", "b_size"))
+            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("a_first", "b_first"))
+            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)], np.int64)
+            both += np.maximum(m - [len(x) for x in a], n - [len(y) for y in b])
+            yield batch.select(["a", "b"]).filter(pa.array(both * LEAST[1] >= (m + n - both) * LEAST[0]))
+
+    return joined(pairs, prefixes, ["size", "first"]).mapInArrow(run, "a long, b long")
+
+
+def linked(pairs: DataFrame, table: DataFrame, text_col: str, row: str) -> DataFrame:
+    """The ``pairs`` of rows (``a, b``) of ``table`` whose sets are similar."""
+    arrow = pa.schema([("node", pa.int64()), ("grams", pa.binary())])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tab in common.chunks(batches, "text", 4 << 20):
             known = _Words()
             grams = [shingles(t, known).tobytes() for t in common.texts_of(tab, "text")]
             yield from common.emit({"node": tab.column("node").combine_chunks(), "grams": grams}, arrow)
 
-    texts = table.select(F.col(row).alias("lead"), F.col(text_col).alias("text"))
-    return texts.join(nodes, "lead").select("node", "text").mapInArrow(run, "node long, grams binary")
-
-
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (``a, b``) whose sets are similar."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(c) for c in ("a_grams", "b_grams"))
             near = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(a, b)]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return joined(pairs, sets, ["grams"]).mapInArrow(run, "a long, b long")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = table.select(F.col(row).alias("node"), F.col(text_col).alias("text")).join(nodes, "node", "left_semi")
+    held = common.written(texts.mapInArrow(sets, "node long, grams binary"), "near-sets")
+    out = common.written(joined(pairs, held, ["grams"]).mapInArrow(run, "a long, b long"), "near-links")
+    common.discard(held)
+    return out
 
 
 def may_link(x: str, y: str) -> Column:
@@ -237,12 +259,11 @@ def fingerprint_pairs(classes: DataFrame) -> DataFrame:
 
 
 def round_pairs(placed: DataFrame, turn: int) -> DataFrame:
-    """``a, b``: each node with a few others of its bucket that are not in its component; in the first round by size, then at random."""
+    """``a, b``: each node with one other of each of its buckets, if not in its component; in the first round by size, then at random."""
     block = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / BLOCK))
-    order = Window.partitionBy("gram", "block").orderBy(*(["size", "node"] if turn == 1 else [F.xxhash64("node", F.lit(-turn)), "node"]))
+    order = Window.partitionBy("gram", "block").orderBy(*(["size", "node"] if turn == 1 else [F.xxhash64("node", "gram", F.lit(-turn)), "node"]))
     one = F.struct("node", "size", "pos", "part")
-    near = placed.withColumn("block", block).select(one.alias("x"), F.array(*[F.lag(one, k).over(order) for k in range(1, PARTNERS + 1)]).alias("others"))
-    near = near.select("x", F.explode("others").alias("y"))
+    near = placed.withColumn("block", block).select(one.alias("x"), F.lag(one).over(order).alias("y"))
     return near.where(F.col("y").isNotNull()).where("x.part <> y.part").where(may_link("x", "y")).select(*ordered("x", "y"))
 
 
@@ -254,15 +275,16 @@ def open_pairs(placed: DataFrame) -> DataFrame:
     return both.where("x.node < y.node and x.part <> y.part").where(may_link("x", "y")).select(*ordered("x", "y"))
 
 
-def components(table: DataFrame, classes: DataFrame, text_col: str, row: str) -> DataFrame:
+def components(table: DataFrame, classes: DataFrame, leads: DataFrame, text_col: str, row: str) -> DataFrame:
     """``node, component`` of all nodes that are linked to another.
 
-    ``classes`` has ``node, size, fp, first, light, lead``: ``lead`` is a row of ``table`` with the node's text.
+    ``table`` has the texts of ``row``; ``classes`` ``node, fp`` and ``leads`` ``node, size, first, light``, whose nodes are rows.
     """
-    met = common.written(buckets(classes), "near-buckets")
+    met = common.written(buckets(leads), "near-buckets")
     rows = met.count()
-    nodes = met.select("node").distinct().join(classes.select("node", "lead"), "node")
-    sets = common.written(sets_of(nodes, table, text_col, row), "near-sets")
+    prefixes = leads.join(met.select("node").distinct(), "node", "left_semi").select("node", "size", "first")
+    prefixes = common.written(prefixes, "near-prefixes")
+    common.release(table.sparkSession)
     tried: DataFrame | None = None
     found: DataFrame | None = None
     left = None
@@ -273,9 +295,11 @@ def components(table: DataFrame, classes: DataFrame, text_col: str, row: str) ->
         pairs = pairs.distinct()
         pairs = common.written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = common.written(linked(pairs, sets), "near-links")
+        links = linked(common.written(hopeful(pairs, prefixes), "near-hopeful"), table, text_col, row)
         found = links if found is None else found.unionByName(links)
-        return common.written(common.connected_components(found), "near-components")
+        out = common.written(common.connected_components(found), "near-components")
+        common.release(table.sparkSession)
+        return out
 
     def place(graph: DataFrame) -> DataFrame:
         return common.written(met.join(graph, "node", "left").select("gram", "node", "size", "pos", "n", F.coalesce("component", "node").alias("part")), "near-placed")
@@ -292,26 +316,31 @@ def components(table: DataFrame, classes: DataFrame, text_col: str, row: str) ->
         graph = attempt(round_pairs(placed, turn))
     if left:
         graph = attempt(open_pairs(placed))
-    common.discard(met, sets)
+    common.discard(met, prefixes)
     return graph
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's columns, one row of each component: that with the least id, null last, and of repeated rows the first."""
+    common.release(docs.sparkSession)
     (row,) = common.fresh(docs, "row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    names = common.fresh(numbered, "node", "size", "fp", "first", "light")
+    names = common.fresh(numbered, "set", "size", "fp", "first", "light")
     table = common.written(with_sets(numbered, text_col, names), "shingle-sets")  # freezes the row numbers
+    own = table.select(F.col(row).alias("node"), *[F.col(n).alias(k) for n, k in zip(names, ("set", "size", "fp", "first", "light"))])
     order = F.struct(F.col(id_col).isNull().alias("without"), F.col(id_col).alias("id"), F.col(row).alias("row"))
-    same = [F.first(n).alias(k) for n, k in zip(names[1:], ("size", "fp", "first", "light"))]
-    classes = table.groupBy(F.col(names[0]).alias("node")).agg(F.min(order).alias("least"), F.min(row).alias("lead"), *same)
+    classes = table.groupBy(F.col(names[0]).alias("set")).agg(F.min(order).alias("least"), F.min(row).alias("node"), F.first(names[2]).alias("fp"), F.count("*").alias("n"))
     classes = common.written(classes, "shingle-classes")
-    graph = components(table, classes, text_col, row)
-    placed = classes.select("node", "least").join(graph, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    copies = own.select("set", "node").join(classes.where("n > 1").select("set", F.col("node").alias("lead")), "set").where("node <> lead")
+    copies = common.written(copies.select("node"), "shingle-copies")
+    leads = own.select("node", "size", "first", "light").join(copies, "node", "left_anti")
+    graph = components(table, classes.select("node", "fp"), leads, text_col, row)
+    placed = classes.select("set", "node", "least").join(graph, "node", "left").select("set", "least", F.coalesce("component", "node").alias("component"))
     placed = common.written(placed, "near-placed")
     least = placed.groupBy("component").agg(F.min("least").alias("kept"))
-    best = placed.select("node", "component").join(least, "component").select("node", F.col("kept.row").alias("kept"))
-    gone = table.select(F.col(names[0]).alias("node"), F.col(row).alias("gone")).join(best, "node").where("gone <> kept").select("gone")
+    best = placed.select("set", "component").join(least, "component").select("set", F.col("kept.row").alias("kept"))
+    (mark,) = common.fresh(table, "gone")
+    gone = own.select("set", "node").join(best, "set").where("node <> kept").select(F.col("node").alias(mark))
     gone = common.written(gone, "near-gone")
-    common.discard(classes, placed)
-    return table.join(gone, F.col(row) == F.col("gone"), "left_anti").select(*docs.columns)
+    common.discard(classes, placed, copies)
+    return table.join(gone, F.col(row) == F.col(mark), "left_anti").select(*docs.columns)
