@@ -8,13 +8,33 @@ from pyspark.sql import functions as F
 from .model import NGRAM
 
 COMPONENTS = ("struct", "rarity", "dur_dev", "len_dev")
+SHARES = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+#: Ranges into which values from 0 to 1 are counted first.
+RANGES = 4096
 
 
 def component_percentiles(lifecycles: DataFrame) -> DataFrame:
-    """``component, p50, p90, p99`` (exact, linear)."""
-    wide = lifecycles.agg(*[F.percentile(c, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias(c) for c in COMPONENTS])
-    long = F.array(*[F.struct(F.lit(c).alias("component"), F.col(c).alias("p")) for c in COMPONENTS])
-    return wide.select(F.explode(long).alias("x")).select("x.component", *[F.round(F.get("x.p", F.lit(i)), 6).alias(n) for i, n in enumerate(("p50", "p90", "p99"))])
+    """``component, p50, p90, p99`` (exact, linear).
+
+    Values are counted, then ranges of values; only the ranges that hold a wanted rank
+    are ordered value by value, so no task meets all values.
+    """
+    melted = F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.col(c).alias("value")) for c in COMPONENTS]))
+    values = lifecycles.select(melted.alias("x")).select("x.*").groupBy("component", "value").agg(F.count("*").alias("c"))
+    values = values.withColumn("range", F.floor(F.col("value") * RANGES))
+    upto = Window.partitionBy("component").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = values.groupBy("component", "range").agg(F.sum("c").alias("c"))  # at most RANGES + 1 rows each
+    ranges = ranges.withColumn("end", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy("component")))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(share).alias("share")) for name, share in SHARES.items()]))
+    place = ranges.select("component", "range", "c", "end", "n", wanted.alias("w"))
+    exact = F.col("w.share") * (F.col("n") - 1)
+    ranks = place.select("component", "range", (F.col("end") - F.col("c")).alias("before"), "end", "w.name", (exact - F.floor(exact)).alias("part"), F.explode(F.array(F.floor(exact), F.ceil(exact))).alias("rank"))
+    ranks = ranks.where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("end"))).distinct()
+    inner = Window.partitionBy("component", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = values.join(ranks.select("component", "range").distinct(), ["component", "range"]).withColumn("last", F.sum("c").over(inner))
+    hit = near.join(ranks, ["component", "range"]).where((F.col("rank") - F.col("before") < F.col("last")) & (F.col("rank") - F.col("before") >= F.col("last") - F.col("c")))
+    found = hit.groupBy("component", "name").agg((F.min("value") + (F.max("value") - F.min("value")) * F.max("part")).alias("value"))
+    return found.groupBy("component").agg(*[F.round(F.max(F.when(F.col("name") == n, F.col("value"))), 6).alias(n) for n in SHARES])
 
 
 def manifest(lifecycles: DataFrame, sessions: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import deviation, lifecycle_explanation, lifecycle_signals
@@ -92,27 +92,28 @@ def alert_rows(signals: DataFrame) -> DataFrame:
 _SEEN = ["first_t", "first_seq"]
 
 
-def top_total(rows: DataFrame, most: int = TOP_TOTAL) -> DataFrame:
-    order = [F.desc("total_score"), F.desc("effective_signal_count"), *_SEEN]
-    return _numbered(rows.orderBy(*order).limit(most), order, 0)
-
-
-def top_context(rows: DataFrame, total: DataFrame, most: int = TOP_CONTEXT) -> DataFrame:
-    """The best of the rows with context that the total list has not taken."""
-    order = [F.desc("context_inconsistency"), F.desc("total_score"), F.desc("effective_signal_count"), *_SEEN]
-    taken = F.broadcast(total.select("correlation_id"))  # at most TOP_TOTAL rows
-    rest = rows.where("context_inconsistency > 0").join(taken, "correlation_id", "left_anti")
-    return _numbered(rest.select(*rows.columns).orderBy(*order).limit(most), order, TOP_TOTAL)
+def alerts(rows: DataFrame, total: int = TOP_TOTAL, context: int = TOP_CONTEXT) -> DataFrame:
+    """The best rows by total, then the best of the others with context, in file order by ``csv_pos``.
 
+    Two limits find all rows that can be in either list; both lists are made of these few.
+    """
+    by_total = [F.desc("total_score"), F.desc("effective_signal_count"), *_SEEN]
+    by_context = [F.desc("context_inconsistency"), *by_total]
+    best = rows.orderBy(*by_total).limit(total)
+    shifted = rows.where("context_inconsistency > 0").orderBy(*by_context).limit(total + context)
+    few = best.unionByName(shifted).dropDuplicates(["correlation_id"])
+    few = few.withColumn("by_total", F.row_number().over(Window.orderBy(*by_total)))
+    rest = Window.partitionBy(F.col("by_total") <= total, F.col("context_inconsistency") > 0).orderBy(*by_context)
+    few = few.withColumn("by_context", F.row_number().over(rest))
+    second = (F.col("context_inconsistency") > 0) & (F.col("by_context") <= context)
+    place = F.when(F.col("by_total") <= total, F.col("by_total")).when(second, F.col("by_context") + total)
+    return few.withColumn("csv_pos", place.cast("long")).where("csv_pos is not null").drop("by_total", "by_context")
 
-def _numbered(few: DataFrame, order: list, start: int) -> DataFrame:
-    """``csv_pos`` of a few rows that a limit has bounded."""
-    from pyspark.sql import Window
 
-    return few.withColumn("csv_pos", (F.row_number().over(Window.orderBy(*order)) + start).cast("long"))
+def top_total(rows: DataFrame) -> DataFrame:
+    return alerts(rows).where(F.col("csv_pos") <= TOP_TOTAL)
 
 
-def alerts(rows: DataFrame) -> DataFrame:
-    """Both lists, in file order by ``csv_pos``."""
-    total = top_total(rows)
-    return total.unionByName(top_context(rows, total))
+def top_context(rows: DataFrame) -> DataFrame:
+    """The best of the rows with context that the total list has not taken."""
+    return alerts(rows).where(F.col("csv_pos") > TOP_TOTAL)

@@ -30,7 +30,7 @@ def queue_b(alerts: DataFrame) -> DataFrame:
     return _queue(alerts, ["csv_pos"]).select("*", *diagnosis.session())
 
 
-# fixed texts of the packet
+# fixed values: titles, section texts and score labels of the packet
 _TITLE = """# Diagnosed Analyst Review Packet
 
 This packet maps raw anomaly scores into deterministic operational causal categories for SOC triage. Two independent review queues are provided for Track A."""

@@ -3,7 +3,8 @@
 A window over the correlation id alone puts a lifecycle in one task, and rows
 without an id form one giant lifecycle.  So the window runs over slices of a
 lifecycle by time; each slice's size and last operations, a row per slice, are
-carried over by a second, much smaller window and added back.
+carried over by a second, much smaller window and added back.  A slice is an hour,
+or shorter where the fullest hour of any lifecycle has more than ``MOST`` events.
 """
 
 from __future__ import annotations
@@ -15,15 +16,26 @@ from ..schema import HISTORY, MICROS, PAD
 
 #: Length of a slice of a lifecycle.
 SLICE_US = 3600 * MICROS
+#: Events that a slice is meant to have at most.
+MOST = 1_000_000
 
 
-def with_history(parts: DataFrame, slice_us: int = SLICE_US) -> DataFrame:
+def sliced(rows: DataFrame, slice_us: int, most: int) -> DataFrame:
+    """``rows`` with ``slice``; the one length of all slices is a one-row aggregate, cross-joined."""
+    hour = F.floor(F.col("t_us") / slice_us)
+    fullest = rows.groupBy("part", "corr", hour.alias("hour")).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+    times = F.pow(2.0, F.ceil(F.log2(F.greatest(F.col("n") / most, F.lit(1.0)))))
+    length = fullest.select(F.greatest(F.lit(1), F.floor(slice_us / times)).cast("long").alias("length"))
+    return rows.crossJoin(F.broadcast(length)).withColumn("slice", F.floor(F.col("t_us") / F.col("length"))).drop("length")
+
+
+def with_history(parts: DataFrame, slice_us: int = SLICE_US, most: int = MOST) -> DataFrame:
     """Events of ``train`` and ``test`` with ``idx`` (from 1), ``n``, ``elapsed`` (seconds) and ``h1``..``h4``.
 
     History starts anew in each part.
     """
     key = ["part", "corr", "slice"]
-    rows = parts.where("part <> 'val'").withColumn("slice", F.floor(F.col("t_us") / slice_us))
+    rows = sliced(parts.where("part <> 'val'"), slice_us, most)
     inner = Window.partitionBy(*key).orderBy("t_us", "seq")
     whole = Window.partitionBy(*key)
     rows = rows.withColumn("at", F.row_number().over(inner)).withColumn("of", F.count("*").over(whole))

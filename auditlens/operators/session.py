@@ -36,8 +36,10 @@ def new_entities(test: DataFrame, model: Model) -> DataFrame:
 def first_operations(test: DataFrame) -> DataFrame:
     """``session_context``: a session's different operations in order of appearance, the first ten."""
     ops = with_bucket(test).groupBy(*KEY, "op").agg(F.min(F.struct("t_us", "seq")).alias("at"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "op"))), lambda x: x["op"])
-    return ops.groupBy(*KEY).agg(F.array_join(F.slice(ordered, 1, SHOWN), ", ").alias("session_context"))
+    # only the first ten of a session are gathered, and the limit is applied before the shuffle too
+    few = ops.withColumn("k", F.row_number().over(Window.partitionBy(*KEY).orderBy("at"))).where(F.col("k") <= SHOWN)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", "op"))), lambda x: x["op"])
+    return few.groupBy(*KEY).agg(F.array_join(ordered, ", ").alias("session_context"))
 
 
 def score_sessions(test: DataFrame, model: Model) -> DataFrame:

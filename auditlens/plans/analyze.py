@@ -86,13 +86,13 @@ def analyze(spark: SparkSession, path: str, output_dir: str, dry_run: bool = Fal
     """
     events = load_events(spark, path, fmt)
     if dry_run:
-        log.info("Dry run complete. %s events validated. Schema OK.", f"{events.count():,}")
+        log.info("%s events can be read; nothing is written in a dry run", f"{events.count():,}")
         return None
     # both tracks and both parts read the events with history: computed once, on disk where memory is short
     run = Analysis(events)
     run.history = run.history.persist(StorageLevel.MEMORY_AND_DISK)
     train, test = split.require_both(run.parts)
-    log.info("Split — train: %s, test: %s", f"{train:,}", f"{test:,}")
+    log.info("learning from %s events, scoring %s", f"{train:,}", f"{test:,}")
     if model_dir:
         run.model.save(model_dir)
     run.lifecycles = run.lifecycles.persist(StorageLevel.MEMORY_AND_DISK)

@@ -173,6 +173,24 @@ LAST = {
     "ingest_defaults": r"""SELECT event_id AS seq,
         CASE WHEN event_id % 5 = 0 OR event_id % 5 = 1 THEN 'UNKNOWN' WHEN event_id % 5 = 2 THEN '' ELSE trim(event_type) END AS name,
         CASE WHEN event_id % 5 = 0 OR event_id % 5 = 1 THEN 'user-' || user_id ELSE 'first' END AS chained FROM events""",
+    "ingest_csv_generic": r"""SELECT epoch_us(ts) AS t_us,
+        upper(event_type || CASE event_id % 5 WHEN 0 THEN ', "x"/w' WHEN 1 THEN chr(10) || 'line/w' ELSE '/write' END) AS op,
+        CASE event_id % 3 WHEN 2 THEN '' ELSE 'UNKNOWN' END AS prov, 'user-' || user_id AS caller,
+        CASE WHEN event_id % 2 = 0 THEN '10.0.0.1' ELSE 'UNKNOWN' END AS ip, 'sub' AS sub, CASE WHEN event_id % 4 = 0 THEN 'UNKNOWN' ELSE 'Rg' END AS rg,
+        CASE WHEN event_id % 6 = 0 THEN 'TYPE' ELSE upper(event_type || CASE event_id % 5 WHEN 0 THEN ', "x"' WHEN 1 THEN chr(10) || 'line' ELSE '' END) END AS rtype,
+        'c-' || user_id AS corr FROM events WHERE event_id % 11 <> 0""",
+    "ingest_csv_native": """SELECT epoch_us(ts) AS t_us, upper('app/' || event_type || CASE WHEN event_id % 3 = 0 THEN '/read' ELSE '' END) AS op, 'PROV' AS prov,
+        CAST(user_id AS VARCHAR) AS caller, 'UNKNOWN' AS ip, 'UNKNOWN' AS sub, 'UNKNOWN' AS rg,
+        CASE WHEN event_id % 3 = 0 THEN upper('app/' || event_type) ELSE 'APP' END AS rtype, 'k' || user_id AS corr FROM events WHERE event_id % 13 <> 0""",
+    "parse_times": """SELECT event_id AS seq,
+        CASE event_id % 10 WHEN 0 THEN t WHEN 1 THEN t WHEN 2 THEN t - 7200000000 WHEN 3 THEN t - t % 1000000 WHEN 4 THEN t - t % 86400000000
+          WHEN 5 THEN t - t % 1000000 WHEN 6 THEN t - t % 3600000000 WHEN 9 THEN t END AS iso_us,
+        CASE event_id % 7 WHEN 0 THEN t WHEN 1 THEN t - t % 1000000 WHEN 4 THEN 12250000 WHEN 5 THEN 1000000000 END AS number_us
+        FROM (SELECT event_id, epoch_us(ts) AS t FROM events)""",
+    "feedback_append_roundtrip": """SELECT * FROM (VALUES
+        ('c-1', 'A', 'CONFIRMED_ANOMALY', 'seen before', 'SOC_ANALYST', 1, 'SOC_ANALYST', 'CERTAIN', NULL, 0),
+        ('user-1', 'B', 'BENIGN_FALSE_POSITIVE', 'planned', 'second', 1, 'second', NULL, 'ticket', 0))
+        AS f(alert_id, track, decision, reason, analyst_id, reviewer_count, reviewer_ids, confidence, fn_source, disagreement_flag)""",
     "time_bucket_30m": "SELECT seq, CAST(floor(t_us / 1800000000.0) AS BIGINT) AS bucket FROM ev",
     "hour_of_day": "SELECT seq, round((t_us % 86400000000) / 3.6e9, 6) AS hour FROM ev",
     "iso_range_format": f"SELECT seq, {_ISO.format('t_us')} || ' — ' || {_ISO.format('(t_us + 90000000)')} AS window_text FROM ev",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text, times
 from ..operators import evaluate, lifecycle, model, packet, session, split
 from ..schema import DIMENSIONS, LIFECYCLE_ALERT, SESSION_ALERT
+from ..sources.activity_csv import load_events
 from ..sources.events_view import activity, verdicts
 from ..sources.feedback import FeedbackStore
 from .analyze import Analysis
@@ -35,10 +36,78 @@ def _defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("seq"), text.first_filled(cell).alias("name"), text.first_filled(first, other).alias("chained"))
 
 
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a private one only in a local session that names none."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="auditlens-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def _as_csv(rows: DataFrame, name: str) -> str:
+    """Rows written as CSV files with headers, white space and empty cells kept."""
+    path = _shared(rows.sparkSession, name)
+    rows.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return path
+
+
+def _ingest_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export in the generic layout made from the event table: times as numbers or ISO texts, unreadable times,
+    quoted commas, quotes and line breaks, null, empty and blank cells, headers to normalise; read as any export."""
+    e, n = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    iso = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+    odd = F.when(n % 5 == 0, ', "x"/w').when(n % 5 == 1, "\nline/w").otherwise("/write")
+    rows = e.select(
+        F.when(n % 11 == 0, "n/a").when(n % 7 == 0, "").otherwise((t / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(20,6)").cast("string")).alias(" Timestamp Epoch"),
+        F.concat("event_type", odd).alias("Operation"),
+        F.when(n % 3 == 1, "").when(n % 3 == 2, " \t ").alias("Provider"),
+        F.concat(F.lit("  user-"), F.col("user_id").cast("string"), F.lit(" ")).alias("Caller"),
+        F.when(n % 2 == 0, "10.0.0.1").alias("Caller-IP"),
+        F.lit("sub").alias("subscriptionId"),
+        F.when(n % 4 == 0, "").otherwise("Rg").alias("Resource Group"),
+        F.when(n % 6 == 0, " type ").alias("resource_type"),
+        F.concat(F.lit("c-"), F.col("user_id").cast("string")).alias("Correlation-ID"),
+        F.when(n % 11 == 0, "not a time").when(n % 7 == 0, iso).alias("timestamp"),
+    )
+    return load_events(spark, _as_csv(rows, "generic")).drop("seq")
+
+
+def _ingest_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export in the native layout made from the event table, with columns of the generic one that are to be ignored."""
+    e, n = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    rows = e.select(
+        F.when(n % 13 == 0, "").when(n % 2 == 0, F.concat(iso, F.lit("+00:00"))).otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("Z"))).alias("TimeGenerated"),
+        F.concat(F.lit("app/"), "event_type", F.when(n % 3 == 0, "/read").otherwise("")).alias("OperationNameValue"),
+        F.lit("prov").alias("ResourceProviderValue"),
+        F.col("user_id").cast("string").alias("Caller"),
+        F.concat(F.lit("k"), F.col("user_id").cast("string")).alias("CorrelationId"),
+        F.lit("ignored").alias("resource_type"),
+        F.lit("5").alias("timestamp_epoch"),
+        F.lit("ignored").alias("operation"),
+        F.lit("ignored").alias("correlation_id"),
+    )
+    return load_events(spark, _as_csv(rows, "native")).drop("seq")
+
+
+def _parse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of the event table as texts of many forms, readable or not, and back to microseconds."""
+    e, n = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    form = lambda pattern: F.date_format("ts", pattern)
+    full = form("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    forms = [full, F.concat(full, F.lit("Z")), F.concat(full, F.lit("+02:00")), form("yyyy-MM-dd HH:mm:ss"), form("yyyy-MM-dd"), form("yyyyMMdd'T'HHmmss"), form("yyyy-MM-dd'T'HH"), form("yyyy"), F.lit("not a time"), F.concat(F.lit(" "), full)]
+    seconds = (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(20,6)").cast("string")
+    numbers = [seconds, F.substring_index(seconds, ".", 1), F.lit("nan"), F.lit("1.5d"), F.lit(" 12.25 "), F.lit("1e3"), F.lit("")]
+    pick = lambda some: F.element_at(F.array(*some), (n % len(some) + 1).cast("int"))
+    return e.select(n.alias("seq"), times.iso_us(pick(forms)).alias("iso_us"), times.epoch_us(pick(numbers)).alias("number_us"))
+
+
 def feedback_append_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts appended to a new store in the shared folder and read back; ids and times differ by run and are left out."""
-    base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="auditlens-")
-    store = FeedbackStore(spark, f"{base}/feedback-{uuid.uuid4().hex}")
+    store = FeedbackStore(spark, _shared(spark, "feedback"))
     store.append("c-1", "A", "CONFIRMED_ANOMALY", "seen before", confidence="CERTAIN")
     store.append("user-1", "B", "BENIGN_FALSE_POSITIVE", "planned", analyst_id="second", fn_source="ticket")
     return store.read().drop("id", "timestamp", "reviewed_at")
@@ -56,6 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_canonical": _on(lambda a: a.events),
     "ingest_derive_rtype": _on(lambda a: a.events.groupBy("op", "rtype").agg(F.count("*").alias("events"))),
     "ingest_defaults": _defaults,
+    "ingest_csv_generic": _ingest_generic,
+    "ingest_csv_native": _ingest_native,
+    "parse_times": _parse_times,
     "time_bucket_30m": _on(lambda a: a.events.select("seq", times.bucket(F.col("t_us")).alias("bucket"))),
     "hour_of_day": _on(lambda a: a.events.select("seq", F.round(times.hour_of_day(F.col("t_us")), 6).alias("hour"))),
     "iso_range_format": _on(lambda a: a.events.select("seq", times.iso_range(F.col("t_us"), F.col("t_us") + 90_000_000).alias("window_text"))),
@@ -87,7 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lifecycle_explanation": _on(lambda a: a.lifecycle_rows.select("correlation_id", "explanation")),
     "lifecycle_patterns": _on(lambda a: a.patterns.select("correlation_id", "caller", "last_ops", "struct", "context", "pattern_count")),
     "top20_total": _on(lambda a: lifecycle.top_total(a.lifecycle_rows).select(*A)),
-    "top20_context": _on(lambda a: lifecycle.top_context(a.lifecycle_rows, lifecycle.top_total(a.lifecycle_rows)).select(*A)),
+    "top20_context": _on(lambda a: lifecycle.top_context(a.lifecycle_rows).select(*A)),
     "lifecycle_alerts": _on(lambda a: a.lifecycle_alerts.select(*A)),
     "session_new_entities": _on(_session_flags),
     "session_activity_dev": _on(lambda a: a.sessions.select("caller", "bucket", "events", *_six("activity_dev"))),
@@ -110,4 +182,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "verdict_effectiveness": lambda spark, sf_dir: evaluate.verdict_effectiveness(verdicts(spark, sf_dir)),
     "next_op_topk_accuracy": _on(lambda a: evaluate.next_op_accuracy(a.model.ngrams, a.test)),
     "new_entity_listing": _on(lambda a: session.new_values(a.test, a.model)),
+    "feedback_append_roundtrip": feedback_append_roundtrip,
 }

@@ -26,6 +26,7 @@ SIGMAS = 5.0
 EPSILON = 1e-6
 TOP_TOTAL, TOP_CONTEXT, TOP_SESSIONS, QUEUE = 20, 20, 100, 20
 
+# fixed values: columns of the two alert tables and of the verdict store, and the values its columns can have
 LIFECYCLE_ALERT = [
     "timestamp_range", "caller", "correlation_id", "total_score", "effective_signal_count", "pattern_count",
     "structural_violation", "sequence_rarity", "duration_deviation", "length_deviation", "context_inconsistency",

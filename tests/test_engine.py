@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from auditlens.cli import main, parser
 from auditlens.functions import diagnosis, scores, text, times
-from auditlens.operators import lifecycle, packet, sequence, session, split
+from auditlens.operators import evaluate, lifecycle, packet, sequence, session, split
 from auditlens.plans.analyze import Analysis, analyze
 from auditlens.schema import EVENT, LIFECYCLE_ALERT, SESSION_ALERT
+from auditlens.sources import activity_csv
 from auditlens.sources.activity_csv import load_events, normalise
 from auditlens.sources.events_view import activity
 from auditlens.sources.feedback import FeedbackStore
@@ -79,6 +80,33 @@ def test_smoke_sessions(smoke_run):
         assert r.activity_dev == pytest.approx(act, abs=1e-6) and r.hour_dev == pytest.approx(hour, abs=1e-6)
 
 
+@pytest.mark.parametrize("most", [1, 3, 10**6])
+def test_history_does_not_depend_on_slices(spark, most):
+    """Crowded hours are sliced more finely; positions and history stay."""
+    rows = [(7_000 + i * 0.25, "c", f"op{i % 7}", "busy" if i % 5 else "calm") for i in range(200)]
+    parts = events(spark, rows).withColumn("part", F.lit("train"))
+    got = {r.seq: r for r in sequence.with_history(parts, most=most).collect()}
+    for corr in ("busy", "calm"):
+        mine = [i for i, r in enumerate(rows) if r[3] == corr]
+        for at, seq in enumerate(mine):
+            r = got[seq]
+            before = ["START"] * 4 + [rows[i][2] for i in mine[:at]]
+            assert (r.idx, r.n, r.h1, r.h2, r.h3, r.h4) == (at + 1, len(mine), *before[-1:-5:-1])
+            assert r.elapsed == pytest.approx(rows[seq][0] - rows[mine[0]][0])
+
+
+def test_percentiles_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for values in (rng.random(1_001), np.round(rng.random(500), 2), np.array([1.0, 0.0, 1.0, 1.0]), np.array([0.25]), 0.5 + rng.random(300) * 1e-6):
+        df = spark.createDataFrame([(float(v),) for v in values], "struct double").selectExpr("struct", "1 - struct AS rarity", "struct AS dur_dev", "0D AS len_dev")
+        got = {r.component: (r.p50, r.p90, r.p99) for r in evaluate.component_percentiles(df).collect()}
+        for name, x in (("struct", values), ("rarity", 1 - values), ("dur_dev", values), ("len_dev", 0 * values)):
+            assert got[name] == pytest.approx(np.percentile(x, [50, 90, 99]), abs=1e-6)
+    assert evaluate.component_percentiles(df.limit(0)).count() == 0
+
+
 def test_dry_run_writes_nothing(spark, smoke, tmp_path):
     assert analyze(spark, smoke, str(tmp_path / "out"), dry_run=True) is None
     assert not (tmp_path / "out").exists()
@@ -117,6 +145,21 @@ def test_csv_layouts_and_defaults(spark, tmp_path):
     assert got[2].op == "SHORT" and got[2].caller == "UNKNOWN" and got[2].rtype == "SHORT"
 
 
+def test_large_csv_is_split_unless_a_cell_has_a_line_break(spark, tmp_path):
+    header, row = ["timestamp_epoch", "operation", "caller", "correlation_id"], ["{}", "o,\"q\"", "c", "k"]
+    plain = write(tmp_path / "plain.csv", header, [[str(i), *row[1:]] for i in range(5_000)], bom=True)
+    broken = write(tmp_path / "broken.csv", header, [["1", "o\np", "c", "k"]])
+    assert not activity_csv.has_breaks(spark, plain) and activity_csv.has_breaks(spark, broken)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = load_events(spark, plain)
+        assert got.rdd.getNumPartitions() > 4
+        rows = got.orderBy("seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.t_us for r in rows] == [i * 1_000_000 for i in range(5_000)] and {r.op for r in rows} == {'O,"Q"'}
+
+
 def test_native_wins_and_ignores_generic_columns(spark, tmp_path):
     header = ["TimeGenerated", "OperationNameValue", "Caller", "CorrelationId", "resource_type", "timestamp_epoch", "operation", "correlation_id"]
     path = write(tmp_path / "n.csv", header, [["2024-01-01T00:00:00+00:00", "x/y", "c", "k", "IGNORED", "5", "other", "z"]])
@@ -132,15 +175,15 @@ def test_duplicate_headers_last_wins(spark, tmp_path):
 def test_input_errors(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         load_events(spark, str(tmp_path / "none.csv"))
-    with pytest.raises(ValueError, match="not recognized"):
+    with pytest.raises(ValueError, match="fit neither layout"):
         load_events(spark, write(tmp_path / "bad.csv", ["timestamp_epoch", "caller"], [["1000", "user@example.com"]]))
     (tmp_path / "empty.csv").write_text("")
     with pytest.raises(ValueError, match="empty"):
         load_events(spark, str(tmp_path / "empty.csv"))
-    with pytest.raises(ValueError, match="No valid events"):
+    with pytest.raises(ValueError, match="readable time"):
         load_events(spark, write(tmp_path / "head.csv", GENERIC, []))
     one = write(tmp_path / "one.csv", GENERIC, [["7", "o", "", "c", "", "", "", "", "k"]] * 3)
-    with pytest.raises(ValueError, match="Training set is empty"):
+    with pytest.raises(ValueError, match="nothing to learn"):
         analyze(spark, one, str(tmp_path / "o"))
 
 
