@@ -230,7 +230,8 @@ def linked(pairs: DataFrame, table: DataFrame, text_col: str, row: str) -> DataF
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = table.select(F.col(row).alias("node"), F.col(text_col).alias("text")).join(nodes, "node", "left_semi")
     held = common.written(texts.mapInArrow(sets, "node long, grams binary"), "near-sets")
-    out = common.written(joined(pairs, held, ["grams"]).mapInArrow(run, "a long, b long"), "near-links")
+    with common.batches_of(table.sparkSession, 100):  # two whole sets a row
+        out = common.written(joined(pairs, held, ["grams"]).mapInArrow(run, "a long, b long"), "near-links")
     common.discard(held)
     return out
 
@@ -295,7 +296,10 @@ def components(table: DataFrame, classes: DataFrame, leads: DataFrame, text_col:
         pairs = pairs.distinct()
         pairs = common.written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = linked(common.written(hopeful(pairs, prefixes), "near-hopeful"), table, text_col, row)
+        with common.batches_of(table.sparkSession, 500):  # two prefixes a row
+            likely = common.written(hopeful(pairs, prefixes), "near-hopeful")
+        links = linked(likely, table, text_col, row)
+        common.discard(likely)
         found = links if found is None else found.unionByName(links)
         out = common.written(common.connected_components(found), "near-components")
         common.release(table.sparkSession)
