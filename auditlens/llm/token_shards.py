@@ -5,9 +5,10 @@ into sequences of ``length`` ids.  Every sequence has a number (those of earlier
 tasks first), and a keyed Feistel permutation of all numbers gives its global
 slot; a value outside the range walks on along its cycle until it is inside.  Slot
 ranges are shards: a shard is a file of the ids of its slots in order, little-endian
-unsigned 16-bit, each slot ``stride`` bytes (a line feed ends the file).  Slot ``s`` lies at byte
+unsigned 16-bit, each slot ``stride`` bytes.  Slot ``s`` lies at byte
 ``(s % per_shard) * stride`` of the file of shard ``s // per_shard``, so a reader that
-stopped at a slot seeks there and goes on, reading nothing else.
+stopped at a slot seeks there and goes on, reading nothing else.  Behind its slots a file
+has the number (64 bits) and the real length (32 bits) of the sequence of each, and a line feed.
 
 The sequences are written to the shared folder once, so that their numbers stay the
 same when tasks run again; then they are numbered, permuted, gathered by shard within
@@ -33,7 +34,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -45,6 +46,10 @@ PER_SHARD = 1024
 END_ID = 50_256
 KEY = 20_240_229
 ROUNDS = 6
+#: How hard sequences are compressed on their way to the shards.
+LEVEL = 9
+#: Bytes of a slot's entry behind the slots of a file.
+ENTRY = 12
 
 
 def permute(numbers: np.ndarray, size: int, key: int = KEY) -> np.ndarray:
@@ -102,8 +107,8 @@ def sequences(batches: Iterator[pa.RecordBatch], text_col: str, path: str, lengt
         yield np.concatenate(held)
 
 
-def shards(docs: DataFrame, text_col: str = "text", ranks: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, end_id: int = END_ID) -> tuple[str, DataFrame]:
-    """Write the shard files; returns their folder and the index: ``slot, shard, sequence, n_tokens`` (real length) of every slot."""
+def shards(docs: DataFrame, text_col: str = "text", ranks: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, end_id: int = END_ID) -> str:
+    """Write the shard files; returns their folder."""
     path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     spark, stride = docs.sparkSession, 2 * length
     cut = T.StructType([T.StructField("task", T.LongType()), T.StructField("at", T.LongType()), T.StructField("length", T.IntegerType()), T.StructField("ids", T.BinaryType())])
@@ -116,84 +121,80 @@ def shards(docs: DataFrame, text_col: str = "text", ranks: str | None = None, le
             yield from common.emit({"task": [task] * len(held), "at": np.arange(at, at + len(held)), "length": [len(x) for x in held], "ids": full}, cut_arrow)
             at += len(held)
 
-    tokens = common.written(docs.select(text_col).mapInArrow(tokenise, cut), "token-sequences")
+    tokens = common.written(docs.select(text_col).mapInArrow(tokenise, cut), "token-sequences", LEVEL)
     firsts, total = {}, 0
     for task, n in sorted(map(tuple, tokens.groupBy("task").count().collect())):  # one row per input partition
         firsts[task] = total
         total += n
     shared = spark.sparkContext.broadcast(firsts)
 
-    def slots_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        number = np.array([shared.value[t] for t in batch.column("task").to_pylist()], np.int64) + batch.column("at").to_numpy()
-        return number, permute(number, total, key)
-
-    gathered = "shard long, slots binary, packed binary, size long"
-
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A batch's sequences by shard, compressed for the shuffle."""
+        packer = pa.Codec("zstd", LEVEL)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            _, slot = slots_of(batch)
+            number = np.array([shared.value[t] for t in batch.column("task").to_pylist()], np.int64) + batch.column("at").to_numpy()
+            slot = permute(number, total, key)
             order = np.argsort(slot, kind="stable")
-            slot, raw = slot[order], batch.column("ids").take(pa.array(order))
+            slot, number, size = slot[order], number[order], batch.column("length").to_numpy()[order]
+            raw = batch.column("ids").take(pa.array(order))
             cuts = [0, *(np.flatnonzero(np.diff(slot // per_shard)) + 1).tolist(), len(slot)]
-            bodies = [b"".join(raw.slice(i, j - i).to_pylist()) for i, j in zip(cuts, cuts[1:])]
+            runs = list(zip(cuts, cuts[1:]))
             yield pa.RecordBatch.from_pydict({
-                "shard": slot[cuts[:-1]] // per_shard, "slots": [slot[i:j].tobytes() for i, j in zip(cuts, cuts[1:])],
-                "packed": [pa.compress(x, "zstd", asbytes=True) for x in bodies], "size": [len(x) for x in bodies],
+                "shard": slot[cuts[:-1]] // per_shard, "slots": [slot[i:j].tobytes() for i, j in runs],
+                "numbers": [number[i:j].tobytes() for i, j in runs], "lengths": [size[i:j].tobytes() for i, j in runs],
+                "packed": [packer.compress(b"".join(raw.slice(i, j - i).to_pylist()), asbytes=True) for i, j in runs],
             })
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows arrive by shard; one shard is held at a time."""
-        now, slots, bodies = None, [], []
+        now, held = None, []
+        packer = pa.Codec("zstd")
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if now is not None:
-                at = np.concatenate(slots) - now * per_shard
-                ids = np.empty((len(at), stride), np.uint8)
-                if len(np.unique(at)) != len(at) or at.max() >= len(at):
-                    raise ValueError(f"shard {now} has gaps")
-                ids[at] = np.frombuffer(b"".join(bodies), np.uint8).reshape(-1, stride)
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int64()), "payload": pa.array([ids.tobytes()], pa.binary())})
+            if now is None:
+                return
+            slots, numbers, lengths, packed = zip(*held)
+            at = np.frombuffer(b"".join(slots), np.int64) - now * per_shard
+            if len(np.unique(at)) != len(at) or at.max() >= len(at):
+                raise ValueError(f"shard {now} has gaps")
+            bodies = [packer.decompress(x, len(s) // 8 * stride, asbytes=True) for x, s in zip(packed, slots)]
+            columns = [np.frombuffer(b"".join(bodies), np.uint8).reshape(-1, stride), np.frombuffer(b"".join(numbers), np.int64), np.frombuffer(b"".join(lengths), np.int32)]
+            placed = [np.empty_like(c) for c in columns]
+            for c, p in zip(columns, placed):
+                p[at] = c
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([now], pa.int64()), "payload": pa.array([b"".join(p.tobytes() for p in placed)], pa.binary())})
 
         for batch in batches:
-            for shard, held, packed, size in zip(*(batch.column(c).to_pylist() for c in ("shard", "slots", "packed", "size"))):
+            for shard, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "slots", "numbers", "lengths", "packed"))):
                 if shard != now:
                     yield from flush()
-                    now, slots, bodies = shard, [], []
-                slots.append(np.frombuffer(held, np.int64))
-                bodies.append(pa.decompress(packed, size, "zstd", asbytes=True))
+                    now, held = shard, []
+                held.append(row)
         yield from flush()
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                number, slot = slots_of(batch)
-                yield pa.RecordBatch.from_pydict({"slot": slot, "shard": slot // per_shard, "sequence": number, "n_tokens": batch.column("length").cast(pa.int64())})
-
     n_shards = -(-total // per_shard)
     parts = max(1, min(n_shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     each = -(-n_shards // parts) if n_shards else 1  # neighbouring shards of one task
+    gathered = "shard long, slots binary, numbers binary, lengths binary, packed binary"
     dealt = tokens.mapInArrow(gather, gathered).repartitionById(parts, F.floor(F.col("shard") / each).cast("int")).sortWithinPartitions("shard")
     files = dealt.mapInArrow(assemble, "shard long, payload binary")
     folder = f"{common.shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
     # the text writer puts out the bytes of a row as they are; a task has whole shards, so a shard is one file
-    files.select("shard", F.col("payload").cast("string")).write.partitionBy("shard").option("compression", "none").text(f"{folder}/files")
-    tokens.select("task", "at", "length").mapInArrow(listed, "slot long, shard long, sequence long, n_tokens long").write.parquet(f"{folder}/index")
+    files.select("shard", F.col("payload").cast("string")).write.partitionBy("shard").option("compression", "none").text(folder)
     common.discard(tokens)
-    return folder, spark.read.schema("slot long, shard long, sequence long, n_tokens long").parquet(f"{folder}/index")
+    return folder
 
 
 class Reader:
     """Reads slots of a folder of shards from any slot on; only the bytes asked for are read."""
 
     def __init__(self, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD):
-        root = re.sub("^file:/+", "/", folder) + "/files"
-        self.files, base = fs.FileSystem.from_uri(root)
+        self.files, base = fs.FileSystem.from_uri(re.sub("^file:/+", "/", folder))
         self.length, self.stride, self.per_shard = length, 2 * length, per_shard
         found = self.files.get_file_info(fs.FileSelector(base, recursive=True))
-        self.shards = {int(m[1]): (x.path, (x.size - 1) // self.stride) for x in found if (m := re.search(r"/shard=(\d+)/part-[^/]*\.txt$", x.path))}
+        self.shards = {int(m[1]): (x.path, (x.size - 1) // (self.stride + ENTRY)) for x in found if (m := re.search(r"/shard=(\d+)/part-[^/]*\.txt$", x.path))}
 
     def __len__(self) -> int:
         return sum(n for _, n in self.shards.values())
@@ -212,28 +213,28 @@ class Reader:
             start += take
 
 
-def manifest(folder: str, index: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
-    """One row per slot: ``slot, shard, byte_offset, sequence, n_tokens, ids_crc32`` (of the real ids, as the files have them)."""
-    spark, stride = index.sparkSession, 2 * length
+def manifest(spark: SparkSession, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
+    """One row per slot: ``slot, shard, byte_offset, sequence, n_tokens, ids_crc32`` (of the real ids), as the files have them."""
+    stride = 2 * length
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("slot", "shard", "byte_offset", "sequence", "n_tokens", "ids_crc32")])
     arrow = to_arrow_schema(schema)
-    held = index.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("slot", "sequence", "n_tokens"))).alias("slots"))  # per_shard at most
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(f"{folder}/files")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(folder)
     files = files.select(F.regexp_extract("path", r"/shard=(\d+)/", 1).cast("long").alias("shard"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                slot, sequence, size = (np.array([x[c] for x in row["slots"]], np.int64) for c in ("slot", "sequence", "n_tokens"))
-                at, body = slot % per_shard * stride, memoryview(row["content"])
-                if len(body) != len(slot) * stride + 1:
-                    raise ValueError(f"shard {row['shard']} is not whole")
-                crc = [zlib.crc32(body[a : a + 2 * k]) for a, k in zip(at.tolist(), size.tolist())]
-                yield from common.emit({"slot": slot, "shard": np.full(len(slot), row["shard"]), "byte_offset": at, "sequence": sequence, "n_tokens": size, "ids_crc32": crc}, arrow)
+            for shard, body in zip(batch.column("shard").to_pylist(), batch.column("content").to_pylist()):
+                n = (len(body) - 1) // (stride + ENTRY)
+                if len(body) != n * (stride + ENTRY) + 1:
+                    raise ValueError(f"shard {shard} is not whole")
+                number, size = np.frombuffer(body, "<i8", n, n * stride), np.frombuffer(body, "<i4", n, n * (stride + 8))
+                at, view = np.arange(n) * stride, memoryview(body)
+                crc = [zlib.crc32(view[a : a + 2 * k]) for a, k in zip(at.tolist(), size.tolist())]
+                yield from common.emit({"slot": shard * per_shard + np.arange(n), "shard": np.full(n, shard), "byte_offset": at, "sequence": number, "n_tokens": size.astype(np.int64), "ids_crc32": crc}, arrow)
 
-    return files.join(held, "shard").select("shard", "content", "slots").mapInArrow(run, schema)
+    return files.mapInArrow(run, schema)
 
 
 def op4_token_shards(spark, sf_dir: str) -> DataFrame:
     """Writes the shards to the shared folder and returns their manifest."""
-    return manifest(*shards(common.table(spark, sf_dir, "documents")))
+    return manifest(spark, shards(common.table(spark, sf_dir, "documents")))

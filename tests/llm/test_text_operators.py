@@ -378,9 +378,10 @@ def test_permutation(size, key):
     assert sorted(token_shards.permute(np.arange(size), size, key).tolist()) == list(range(size))
 
 
-def test_token_shards(docs, empty, tik, monkeypatch):
-    folder, index = token_shards.shards(clash(docs), length=32, per_shard=16)
-    listed = token_shards.manifest(folder, index, 32, 16).collect()
+def test_token_shards(docs, empty, tik):
+    spark = docs.sparkSession
+    folder = token_shards.shards(clash(docs), length=32, per_shard=16)
+    listed = token_shards.manifest(spark, folder, 32, 16).collect()
     assert sorted(r.slot for r in listed) == list(range(len(listed))) and {r.sequence for r in listed} == set(range(len(listed)))
     assert all(r.shard == r.slot // 16 and r.byte_offset == r.slot % 16 * 64 for r in listed)
     # the slot of every sequence is the keyed permutation's
@@ -398,11 +399,11 @@ def test_token_shards(docs, empty, tik, monkeypatch):
     assert all("\n" + "\n".join(map(str, [*tik.encode_ordinary(r[1] or ""), token_shards.END_ID])) + "\n" in told for r in table)
     crc = {r.slot: r.ids_crc32 for r in listed}
     assert all(zlib.crc32(x[: size[s]].tobytes()) == crc[s] for s, x in held.items())
-    assert token_shards.manifest(*token_shards.shards(empty)).count() == 0
+    assert token_shards.manifest(spark, token_shards.shards(empty)).count() == 0
 
 
 def test_reader_resumes_anywhere_and_reads_nothing_else(docs):
-    folder, index = token_shards.shards(docs, length=32, per_shard=16)
+    folder = token_shards.shards(docs, length=32, per_shard=16)
     reader = token_shards.Reader(folder, 32, 16)
     whole, asked = dict(reader.read(0, len(reader))), []
 
