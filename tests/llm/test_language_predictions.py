@@ -38,7 +38,11 @@ def letters(word):
 
 
 def brute(table):
-    """doc -> (language, score), by counts, a Viterbi table and letters of each word."""
+    return Counter((doc, lang, score) for doc, lang, score, _ in told(table))
+
+
+def told(table):
+    """For each row its id, language, score and supported score, by counts, a Viterbi table and letters of each word."""
     counts, written = {}, {}
     for doc, text, lang, *_ in table:
         if lang is not None and not (doc is not None and zlib.crc32(str(doc).encode()) % 4 == 2):
@@ -58,7 +62,7 @@ def brute(table):
     for doc, text, *_ in table:
         words = words_of(text)
         if not words or not langs:
-            out.append((doc, "und", 0.0))
+            out.append((doc, "und", 0.0, 0.0))
             continue
         scores, value, back = [score(w) for w in words], dict.fromkeys(langs, 0.0), []
         for t, s in enumerate(scores):
@@ -75,13 +79,14 @@ def brute(table):
         for w, x in zip(words, label):
             size[x] += letters(w)
         main = max(langs, key=lambda x: (size[x], -langs.index(x)))
-        sure = 0
+        sure = supported = 0
         for w, x, s in zip(words, label, scores):
             ranked = sorted(s.values())
-            if x == main and s[x] == ranked[-1] and (len(ranked) == 1 or ranked[-1] > ranked[-2]):
-                sure += letters(w)
-        out.append((doc, main, round(sure / sum(size.values()), 6)))
-    return Counter(out)
+            if s[x] == ranked[-1] and (len(ranked) == 1 or ranked[-1] > ranked[-2]):
+                sure += letters(w) * (x == main)
+                supported += letters(w) * bool(allowed[script(w)])
+        out.append((doc, main, round(sure / sum(size.values()), 6), supported / sum(size.values())))
+    return out
 
 
 def test_predictions_equal_brute_force(spark):
@@ -97,19 +102,10 @@ def test_kept_rows_equal_brute_force(spark):
         docs = docs.withColumn(name, F.lit(name))
     kept = langid.keep_identified(docs, least=0.5)
     assert kept.columns == docs.columns
-    want = brute(table)
-    ids = Counter()
-    for (doc, lang, score), n in want.items():
-        if lang != "und" and score >= 0.5:
-            ids[doc, lang] += n
-    found = Counter(r.doc_id for r in kept.collect())
-    # a row whose letters are shared by several known languages stays as well
-    assert all(found[doc] >= n for (doc, _), n in ids.items()) and not set(found) & {4, 5, 6, 10}
-    labels = {r.doc_id: r.lang for r in kept.collect()}
-    given = {r[0]: r[2] for r in table}
-    assert all(labels[doc] == (given[doc] or lang) for (doc, lang) in ids if doc is not None)
+    want = Counter((r[0], r[1], r[2] or lang) for r, (_, lang, _, known) in zip(table, told(table)) if lang != "und" and known >= 0.5)
+    assert Counter((r.doc_id, r.text, r.lang) for r in kept.collect()) == want and sum(want.values()) < len(table)
     only = langid.keep_identified(docs, least=0.5, wanted={"de"}).collect()
-    assert {r.doc_id for r in only} == {doc for doc, lang in ids if lang == "de"}
+    assert {r.doc_id for r in only} == {doc for doc, lang, _, known in told(table) if lang == "de" and known >= 0.5}
 
 
 @pytest.mark.parametrize("cells", [1 << 22, 1 << 13])

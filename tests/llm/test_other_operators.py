@@ -1,6 +1,5 @@
-"""Dialogues, embeddings and the pipeline."""
+"""Dialogues and embeddings."""
 
-import os
 from collections import Counter
 
 import duckdb
@@ -9,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-import corpus_pipeline
 from auditlens.llm import chat, common, cover_tree
 
 TURNS = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
@@ -147,62 +145,3 @@ def test_trees_are_nested_and_cover():
                 check(c)
 
     check(cover_tree.tree(x))
-
-
-def test_stages_keep_columns(spark):
-    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "simhash_dedup", "suffix_dedup", "packing"]
-    before = docs.count()
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        new = common.written(stage(spark, docs, "/root/testdata/sf0.001"), "stage")
-        assert new.columns == docs.columns and dict(new.dtypes) == dict(docs.dtypes) and 0 < new.count() <= docs.count()
-        docs = new
-    assert docs.count() < before
-
-
-def test_pipeline_equals_brute_force(spark):
-    """Every stage once more, in plain Python, on the result of the one before."""
-    from .test_text_operators import Tokenizer, brute_fingerprint, components, public_tokenizers, re, repeats
-
-    sf = "/root/testdata/sf0.001"
-    docs = common.table(spark, sf, "documents")
-    rows = {r.doc_id: r.text for r in corpus_pipeline.STAGES[0][1](spark, docs, sf).collect()}
-    assert set(rows) == {r.doc_id for r in docs.collect()}  # clean documents all stay
-    groups = {}
-    for doc, text in rows.items():
-        groups.setdefault(re.sub("[\x20\x09-\x0d]", "", text), []).append((-len(text), doc))
-    rows = {doc: rows[doc] for doc in (min(g)[1] for g in groups.values())}
-    ids = sorted(rows)
-    found = components([brute_fingerprint(rows[i]) for i in ids], ids, lambda a, b: (a ^ b).bit_count() <= 3)
-    ids = [i for i, c in zip(ids, found) if i == c]
-    cut = {}
-    for doc, (body, gone) in zip(ids, repeats([rows[i] for i in ids])):
-        out, at = bytearray(), 0
-        for ch in body.decode():
-            raw = ch.encode()
-            if not gone[at : at + len(raw)].all():
-                out += raw
-            at += len(raw)
-        cut[doc] = out.decode()
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    want = {doc: len(tokenizer.encode(text, add_special_tokens=False).ids) + 1 for doc, text in cut.items()}
-    got = {}
-    for r in corpus_pipeline.run(spark, sf).collect():
-        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
-        assert r.doc_tokens == want[r.doc_id]
-    assert got == want
-
-
-def test_oracles_on_larger_tables(spark):
-    from auditlens.llm import registry
-
-    sf = "/root/testdata/sf0.01"
-    duck = duckdb.connect()
-    for name in os.listdir(sf):
-        duck.sql(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM '{sf}/{name}'")
-    for name, sql in registry.ORACLE.items():
-        got = registry.QUERIES[name](spark, sf)
-        want = duck.sql(sql)
-        columns = sorted(got.columns)
-        at = [want.columns.index(c) for c in columns]
-        assert Counter(tuple(r[c] for c in columns) for r in got.collect()) == Counter(tuple(r[i] for i in at) for r in want.fetchall())
