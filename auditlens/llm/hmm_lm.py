@@ -378,3 +378,28 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op1_hmm_scoring(spark, sf_dir: str) -> DataFrame:
     return score_documents(common.table(spark, sf_dir, "documents"))
+
+
+def lm_base_scores(spark, sf_dir: str) -> DataFrame:
+    """The columns of ``op1_hmm_scoring`` that its token counts alone decide, by its own blocks and counts."""
+    blocks = token_blocks(common.table(spark, sf_dir, "documents"), "doc_id", "text")
+    stats, totals, _ = word_statistics(blocks)
+    rows = class_sequences(blocks, stats, totals)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals["tokens"]).cast("long").alias("train_tokens"), F.round("base_score", 6).alias("base_score"))
+
+
+#: CRC-32 of the id's digits bit by bit; a text's words and one end (the empty word).
+BASE_SCORES_SQL = r"""
+WITH d AS (
+  SELECT doc_id, xor(4294967295, list_reduce(
+           list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+           lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, n: xor(x >> 1, 3988292384 * (x & 1))))) % 5 = 1 AS held_out,
+         list_append(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> ''), '') AS words
+  FROM documents),
+t AS (SELECT doc_id, held_out, unnest(words) AS word FROM d),
+c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY word),
+n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
+       round(sum(log10((coalesce(c, 0) + 0.5e0) / (n + 0.5e0 * (v + 1)))), 6) AS base_score
+FROM t LEFT JOIN c USING (word) CROSS JOIN n GROUP BY doc_id, held_out
+"""

@@ -15,10 +15,12 @@ QUERIES = {
     "op8_simhash_dedup": simhash.op8_simhash_dedup,
     "op9_perspective_rotation": chat.op9_perspective_rotation,
     "op10_cover_tree": cover_tree.op10_cover_tree,
+    "lm_base_scores": hmm_lm.lm_base_scores,
 }
 ORACLE = {
     "op6_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     "op9_perspective_rotation": chat.ORACLE_SQL,
     "op10_cover_tree": cover_tree.ORACLE_SQL,
+    "lm_base_scores": hmm_lm.BASE_SCORES_SQL,
 }
