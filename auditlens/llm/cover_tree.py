@@ -314,18 +314,20 @@ def unit(rows: list) -> np.ndarray:
 
 
 def centres(wide: DataFrame) -> DataFrame:
-    """``cell, child, centre``: up to ``CHILDREN`` points of each cell's sample, each far from those before it."""
+    """``cell, child, centre``: points of each cell's sample, each far from those before it; twice as many as
+    would fill a task each, ``CHILDREN`` at most."""
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         x = unit(pdf["raw"].tolist())
+        most = min(CHILDREN, max(2, math.ceil(2 * pdf["points"].iat[0] / pdf["fit"].iat[0])))
         chosen, nearest = [0], distances(x, x[:1])[:, 0]
-        while len(chosen) < CHILDREN and nearest.max() > SLACK:
+        while len(chosen) < most and nearest.max() > SLACK:
             chosen.append(int(nearest.argmax()))
             nearest = np.minimum(nearest, distances(x, x[chosen[-1:]])[:, 0])
         return pd.DataFrame({"cell": pdf["cell"].iat[0], "child": range(len(chosen)), "centre": x[chosen].tolist()})
 
     share = F.pmod(F.xxhash64("node", F.lit("centres")), F.lit(1 << 40)) / float(1 << 40)
-    picked = wide.where(share < PICKED / F.col("points")).select("cell", "raw")
+    picked = wide.where(share < PICKED / F.col("points")).select("cell", "raw", "points", "fit")
     return picked.groupBy("cell").applyInPandas(choose, "cell string, child int, centre array<double>")
 
 
@@ -338,7 +340,7 @@ def cells_of(points: DataFrame, threshold: float, limit: Column) -> tuple[DataFr
     pairs = live.select(F.col("cell").alias("a"), F.col("cell").alias("b"))
     settled: list[DataFrame] = []
     while not live.where("wide").isEmpty():
-        wide = live.where("wide").select("cell", "points")
+        wide = live.where("wide").select("cell", "points", limit.cast("double").alias("fit"))
         joined = held.join(wide, "cell")
         chosen = common.written(centres(joined), "cover-centres")
         sets = chosen.groupBy("cell").agg(F.collect_list(F.struct("child", "centre")).alias("set"))  # at most CHILDREN each
