@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding by merge replay.
 
 Each task gathers the distinct pre-token pieces of its documents and replays the
-merges over all of them at once: an inverted index leads from a merge rank to
-the positions of the token pairs that it joins; ranks are applied in order, every
+merges over all of them at once: an inverted index leads from a token pair to
+its positions; merges are applied in the order of their ranks, every
 position of a rank in one step, and only the pairs that touch a merged position
-are looked up again and filed under their new ranks.  Merges never cross a piece,
+are looked up again and filed anew.  Merges never cross a piece,
 so the ids of a piece do not depend on how documents are dealt to tasks, and no
 data is shuffled.  Documents are then written as the ids of their pieces.
 
@@ -121,29 +121,34 @@ class Merges:
         inner = np.flatnonzero(after[:n] != n)
         rank[inner] = self.rank(token[inner], token[inner + 1])
         odd = np.zeros(n, bool)
-        index: dict[int, list[np.ndarray]] = {}
+        index: dict[int, list[np.ndarray]] = {}  # token pair -> positions
+        pairs_of: dict[int, list[int]] = {}  # rank -> pairs in the index
         queue: list[int] = []
 
         def file(at: np.ndarray) -> None:
-            """Put positions under their ranks."""
+            """Put positions under their pairs."""
             at = at[rank[at] != NONE]
             if not len(at):
                 return
-            at = at[np.argsort(rank[at], kind="stable")]
-            found = rank[at]
-            cuts = np.flatnonzero(found[1:] != found[:-1]) + 1
-            starts = [0, *cuts.tolist(), len(at)]
-            for s, e, r in zip(starts, starts[1:], found[starts[:-1]].tolist()):
-                if r in index:
-                    index[r].append(at[s:e])
+            pair = token[at].astype(np.int64) << 32 | token[after[at]]
+            order = np.argsort(pair, kind="stable")
+            at, pair = at[order], pair[order]
+            starts = [0, *(np.flatnonzero(pair[1:] != pair[:-1]) + 1).tolist(), len(at)]
+            for s, e, p, r in zip(starts, starts[1:], pair[starts[:-1]].tolist(), rank[at[starts[:-1]]].tolist()):
+                if p in index:
+                    index[p].append(at[s:e])
+                    continue
+                index[p] = [at[s:e]]
+                if r in pairs_of:
+                    pairs_of[r].append(p)
                 else:
-                    index[r] = [at[s:e]]
+                    pairs_of[r] = [p]
                     heapq.heappush(queue, r)
 
         file(inner)
         while queue:
             now = heapq.heappop(queue)
-            held = index.pop(now)
+            held = [x for pair in pairs_of.pop(now) for x in index.pop(pair)]
             at = held[0] if len(held) == 1 else np.unique(np.concatenate(held))
             at = at[rank[at] == now]
             if len(at) > 1:  # pairs that share a token: the left one joins, in each run every second

@@ -372,6 +372,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = token_blocks(docs, id_col, text_col)
     stats, totals, class_tokens = word_statistics(blocks)
     rows = class_sequences(blocks, stats, totals)
+    common.discard(blocks)
     p = baum_welch(rows.where("not held_out"), class_tokens, states, iterations)
     return score_sequences(rows, p, totals["tokens"])
 
