@@ -43,7 +43,9 @@ SHINGLE = 5
 LEAST = (4, 5)
 #: Shingles placed last in the common order; texts in which one must occur, of those a task takes at a time, to be counted.
 FREQUENT = 200_000
-OFTEN = 3
+OFTEN = 2
+#: Text bytes that a task counts shingles of at a time.
+COUNTED_BYTES = 12 << 20
 #: Nodes of a bucket that one window orders; rounds at most.
 BLOCK = 1_000
 ROUNDS = 6
@@ -102,7 +104,7 @@ def frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """The shingles of the corpus that are met most, sorted, and how often they were met: at most ``FREQUENT``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tab in common.chunks(batches, text_col):
+        for tab in common.chunks(batches, text_col, COUNTED_BYTES):
             known = _Words()
             gram, n = np.unique(np.concatenate([shingles(t, known) for t in common.texts_of(tab, text_col)]), return_counts=True)
             often = n >= OFTEN

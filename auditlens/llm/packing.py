@@ -40,8 +40,8 @@ CAPACITY = 2048
 END_ID = 1
 #: Room of less than this part of a sequence is left as padding; no cut leaves a piece below it.
 PAD = 32
-#: Distinct parts of words whose ids a worker remembers; beyond it the memory starts anew.
-MEMORY = 1_000_000
+#: Distinct parts of words whose ids a task remembers; beyond it the memory starts anew.
+MEMORY = 400_000
 #: Text bytes that a task encodes at a time.
 CHUNK_BYTES = 16 << 20
 
@@ -76,7 +76,7 @@ class WordIds:
 
     @classmethod
     def of(cls, path: str) -> WordIds:
-        """The worker's instance; tasks that run in the same worker share its memory."""
+        """The worker's instance, so that the tokenizer is loaded once."""
         if path not in cls._loaded:
             import os
 
@@ -275,6 +275,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 filler.add(doc, flat[a:b])
             yield from rows()
             filler.settle()
+        words.forget()  # the worker lives on
         filler.finish()
         yield from rows()
 
