@@ -52,10 +52,13 @@ class WordIds:
     Texts are cut into words at ASCII white space, and words into parts between letters and
     ASCII punctuation: no normaliser, splitter or special token of the tokenizer looks across
     such a place (words with a special token's start stay whole, and those with an apostrophe,
-    which may open a contraction, are not cut behind punctuation).
+    which may open a contraction, are not cut behind punctuation).  A cut behind a letter is
+    made for letters that are still letters at their end once normalised: not for a capital I
+    with a dot, nor for scripts in which a letter may fall into a letter and a mark.
     """
 
     _loaded: dict[str, WordIds] = {}
+    _LETTERS = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}\x{391}-\x{3A1}\x{3A3}-\x{3CE}\x{410}-\x{44F}]"
     _MARKS = r"[!-&(-/:-@\[-`{-~]"  # ASCII punctuation but the apostrophe
     _JOINED = 200
 
@@ -86,7 +89,7 @@ class WordIds:
 
     def parts(self, words: pa.Array) -> pa.Array:
         """Each word's parts; letters of ASCII words in lower case."""
-        cut = pc.replace_substring_regex(words, rf"(\p{{L}})({self._MARKS})", r"\1 \2")
+        cut = pc.replace_substring_regex(words, rf"({self._LETTERS})({self._MARKS})", r"\1 \2")
         more = pc.replace_substring_regex(cut, rf"({self._MARKS})([A-Za-z])", r"\1 \2")
         cut = pc.if_else(pc.match_substring(words, "'"), cut, more)
         cut = pc.if_else(pc.match_substring(words, "<|"), words, cut)

@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
@@ -361,9 +361,12 @@ def test_full_class_takes_its_number_of_documents():
 def test_words_are_encoded_as_the_library_does():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     words = packing.WordIds.of(public_tokenizers.path("word_bpe_49k.json"))
-    pieces = st.lists(st.sampled_from(["a", "B", ".", "=", "\u0338", "İ", "7", "--", "s", " ", "'", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "\x0b", "\x0c", "\x1c", "\r"]), max_size=9).map("".join)
+    pieces = st.lists(st.sampled_from(["a", "B", ".", "=", "\u0338", "İ", "\u0958", "ñ", "Я", "Σ", "ŉ", "ſ", "\u212b", "\ufb2a", "7", "--", "s", " ", "'", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "\x0b", "\x0c", "\x1c", "\r"]), max_size=9).map("".join)
 
-    @settings(max_examples=200, deadline=None)
+    @settings(max_examples=600, deadline=None)
+    @example("İ:")
+    @example("\u0958.")
+    @example("".join(f" {chr(c)}. .{chr(c)} a{chr(c)}!x" for c in [*range(0x80, 0x590), *range(0x900, 0xA00), *range(0x1E00, 0x2070), *range(0xFB00, 0xFB50)]))
     @given(st.text(max_size=40) | st.text("aΣ éÉİ́̈\n\t\x85 'sd1", max_size=30) | pieces)
     def check(text):
         ids, starts = words.encode(pa.array(["b", text, None]))
