@@ -12,7 +12,7 @@ not met; any order gives the same links.
 Texts with equal sets collapse to one node first.  Nodes that share a prefix shingle are
 a bucket.  In each round a node is tried with a few others of its buckets, in windows that
 deal a large bucket into blocks, and components are joined; rounds go on while they
-help, until the pairs of nodes that are not connected yet are in proportion to the buckets.
+find links, or until few pairs of nodes are not connected yet.
 Those are then tried one and all, unless where their shingles stand in both sets shows that
 they cannot be similar.  So large groups of near copies are connected by few comparisons.
 
@@ -46,9 +46,12 @@ FREQUENT = 200_000
 OFTEN = 2
 #: Text bytes that a task counts shingles of at a time.
 COUNTED_BYTES = 12 << 20
-#: Nodes of a bucket that one window orders; rounds at most.
+#: Nodes of a bucket that one window orders; partners of a node in a bucket and a round; rounds at most.
 BLOCK = 1_000
-ROUNDS = 6
+PARTNERS = 16
+ROUNDS = 5
+#: Share of the pairs of a round that must be links for another round to be worth it.
+FRUITFUL = 0.02
 #: Bits of a shingle's hash that name its bucket: a bucket of several shingles only has more pairs to try.
 BUCKET_BITS = 48
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -262,11 +265,13 @@ def fingerprint_pairs(classes: DataFrame) -> DataFrame:
 
 
 def round_pairs(placed: DataFrame, turn: int) -> DataFrame:
-    """``a, b``: each node with one other of each of its buckets, if not in its component; in the first round by size, then at random."""
+    """``a, b``: each node with others of each of its buckets that are not in its component; in the first round the next by size,
+    then ``PARTNERS`` at random."""
     block = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / BLOCK))
     order = Window.partitionBy("gram", "block").orderBy(*(["size", "node"] if turn == 1 else [F.xxhash64("node", "gram", F.lit(-turn)), "node"]))
     one = F.struct("node", "size", "pos", "part")
-    near = placed.withColumn("block", block).select(one.alias("x"), F.lag(one).over(order).alias("y"))
+    others = F.array(*[F.lag(one, k).over(order) for k in range(1, 2 if turn == 1 else PARTNERS + 1)])
+    near = placed.withColumn("block", block).select(one.alias("x"), others.alias("others")).select("x", F.explode("others").alias("y"))
     return near.where(F.col("y").isNotNull()).where("x.part <> y.part").where(may_link("x", "y")).select(*ordered("x", "y"))
 
 
@@ -290,11 +295,11 @@ def components(table: DataFrame, classes: DataFrame, leads: DataFrame, text_col:
     common.release(table.sparkSession)
     tried: DataFrame | None = None
     found: DataFrame | None = None
-    left = None
+    fruit = 1.0
 
     def attempt(pairs: DataFrame) -> DataFrame:
         """Components after one more set of pairs; each pair is tried once."""
-        nonlocal tried, found
+        nonlocal tried, found, fruit
         pairs = pairs.distinct()
         pairs = common.written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
@@ -302,6 +307,7 @@ def components(table: DataFrame, classes: DataFrame, leads: DataFrame, text_col:
             likely = common.written(hopeful(pairs, prefixes), "near-hopeful")
         links = linked(likely, table, text_col, row)
         common.discard(likely)
+        fruit = links.count() / max(1, pairs.count())
         found = links if found is None else found.unionByName(links)
         out = common.written(common.connected_components(found), "near-components")
         common.release(table.sparkSession)
@@ -315,9 +321,9 @@ def components(table: DataFrame, classes: DataFrame, leads: DataFrame, text_col:
     for turn in range(2, ROUNDS + 2):
         placed = place(graph)
         apart = placed.groupBy("gram", "part").agg(F.count("*").cast("double").alias("c")).groupBy("gram").agg(((F.sum("c") ** 2 - F.sum(F.col("c") ** 2)) / 2).alias("pairs"))
-        before, left = left, apart.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
-        log.info("near duplicates: %s rows in buckets, %s pairs apart", rows, int(left))
-        if turn > ROUNDS or left <= 2 * rows or (before is not None and left > 0.8 * before):
+        left = apart.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
+        log.info("near duplicates: %s rows in buckets, %s pairs apart, %.3f of the last pairs were links", rows, int(left), fruit)
+        if turn > ROUNDS or left <= rows or fruit < FRUITFUL:
             break
         graph = attempt(round_pairs(placed, turn))
     if left:
