@@ -313,19 +313,21 @@ def components(table: DataFrame, classes: DataFrame, leads: DataFrame, text_col:
         common.release(table.sparkSession)
         return out
 
-    def place(graph: DataFrame) -> DataFrame:
-        return common.written(met.join(graph, "node", "left").select("gram", "node", "size", "pos", "n", F.coalesce("component", "node").alias("part")), "near-placed")
+    def place(graph: DataFrame, settled: int) -> DataFrame:
+        """Nodes and components of the buckets in which not all pairs have been tried yet."""
+        return common.written(met.where(F.col("n") > settled).join(graph, "node", "left").select("gram", "node", "size", "pos", "n", F.coalesce("component", "node").alias("part")), "near-placed")
 
     begin = met.withColumn("part", F.col("node"))
     graph = attempt(fingerprint_pairs(classes).unionByName(round_pairs(begin, 1)))
+    settled = min(2, BLOCK)  # the first round tries the pair of a bucket of two; a later one all pairs of PARTNERS + 1
     for turn in range(2, ROUNDS + 2):
-        placed = place(graph)
+        placed = place(graph, settled)
         apart = placed.groupBy("gram", "part").agg(F.count("*").cast("double").alias("c")).groupBy("gram").agg(((F.sum("c") ** 2 - F.sum(F.col("c") ** 2)) / 2).alias("pairs"))
         left = apart.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
         log.info("near duplicates: %s rows in buckets, %s pairs apart, %.3f of the last pairs were links", rows, int(left), fruit)
         if turn > ROUNDS or left <= rows or fruit < FRUITFUL:
             break
-        graph = attempt(round_pairs(placed, turn))
+        graph, settled = attempt(round_pairs(placed, turn)), min(PARTNERS + 1, BLOCK)
     if left:
         graph = attempt(open_pairs(placed))
     common.discard(met, prefixes)
