@@ -49,7 +49,7 @@ LEAST_BUCKETS = 64
 #: Share of supported letters below which the pipeline rejects a document.
 REJECT_BELOW = 0.3
 #: Text bytes that a task takes at a time with up to 16 languages (fewer with more), and distinct words that it scores at a time.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 2 << 20
 CHUNK_WORDS = 20_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
