@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, cover_tree, exact_dedup, hmm_lm, langid, packing, simhash, suffix_dedup, token_shards
+from . import bpe, chat, conv_repair, cover_tree, exact_dedup, filter_audit, hmm_lm, html_extract, langid, packing, simhash, suffix_dedup, token_shards
 
 QUERIES = {
     "op1_hmm_scoring": hmm_lm.op1_hmm_scoring,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_simhash_dedup": simhash.op8_simhash_dedup,
     "op9_perspective_rotation": chat.op9_perspective_rotation,
     "op10_cover_tree": cover_tree.op10_cover_tree,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_conversation_repair": conv_repair.op12_conversation_repair,
+    "op13_html_extraction": html_extract.op13_html_extraction,
     "lm_base_scores": hmm_lm.lm_base_scores,
 }
 ORACLE = {
@@ -22,5 +25,7 @@ ORACLE = {
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     "op9_perspective_rotation": chat.ORACLE_SQL,
     "op10_cover_tree": cover_tree.ORACLE_SQL,
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
+    "op12_conversation_repair": conv_repair.ORACLE_SQL,
     "lm_base_scores": hmm_lm.BASE_SCORES_SQL,
 }
