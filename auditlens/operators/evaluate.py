@@ -38,6 +38,7 @@ def component_percentiles(lifecycles: DataFrame) -> DataFrame:
 
 
 def manifest(lifecycles: DataFrame, sessions: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Counts of what was scored; of ``sessions`` the keys are enough."""
     a = lifecycles.agg(F.count("*").alias("track_a_scored"), F.count_if(F.col("context") > 0).alias("context_nonzero"))
     b = sessions.agg(F.count("*").alias("track_b_scored"))
     p = patterns.agg(F.count("*").alias("track_a_deduplicated_patterns"))

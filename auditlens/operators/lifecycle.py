@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.scores import deviation, lifecycle_explanation, lifecycle_signals
 from ..functions.times import iso_range
 from ..schema import TOP_CONTEXT, TOP_TOTAL
-from .model import NGRAM, Model
+from .model import NGRAM
 
 #: Operations kept from either end of a lifecycle.
 ENDS = 10
 
 
-def score_events(test: DataFrame, model: Model) -> DataFrame:
+def score_events(test: DataFrame, ngrams: DataFrame, ngram_max: DataFrame, operations: DataFrame) -> DataFrame:
     """Test events with ``struct, rarity, dur_dev, len_dev``."""
-    out = test.join(model.ngrams, NGRAM, "left").crossJoin(F.broadcast(model.ngram_max)).join(model.operations, "op", "left")
+    out = test.join(ngrams, NGRAM, "left").crossJoin(F.broadcast(ngram_max)).join(operations, "op", "left")
     known = F.col("dur_mean").isNotNull()
     return out.select(
         *test.columns,

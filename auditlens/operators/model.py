@@ -75,6 +75,6 @@ class Model:
 
 
 def fit(train: DataFrame) -> Model:
-    """``train``: events of the training part with history."""
+    """``train``: events of the training part with history.  Plans only; whoever reads several tables writes ``train`` first."""
     grams = ngrams(train)
     return Model(grams, ngram_max(grams), operations(train), seen(train), callers(train_sessions(train)))

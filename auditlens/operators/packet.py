@@ -14,15 +14,19 @@ def _queue(rows: DataFrame, order: list, most: int = QUEUE) -> DataFrame:
     return few.withColumn("number", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def _first() -> list:
+    return [F.desc("total_score"), F.desc("timestamp_range"), "csv_pos"]
+
+
 def queue_a1(alerts: DataFrame) -> DataFrame:
     """Best total; of equals the latest window text, then file order."""
-    return _queue(alerts, [F.desc("total_score"), F.desc("timestamp_range"), "csv_pos"]).select("*", *diagnosis.lifecycle())
+    return _queue(alerts, _first()).select("*", *diagnosis.lifecycle())
 
 
 def queue_a2(alerts: DataFrame) -> DataFrame:
-    """Rows with context that the first queue has not taken."""
-    taken = F.broadcast(queue_a1(alerts).select("csv_pos"))  # at most QUEUE rows
-    rest = alerts.where("context_inconsistency > 0").join(taken, "csv_pos", "left_anti").select(*alerts.columns)
+    """Rows with context that the first queue has not taken; an alert table is small, so one window over it tells."""
+    first = F.row_number().over(Window.orderBy(*_first()))
+    rest = alerts.withColumn("first", first).where((F.col("context_inconsistency") > 0) & (F.col("first") > QUEUE)).drop("first")
     return _queue(rest, [F.desc("context_inconsistency"), F.desc("total_score"), "csv_pos"]).select("*", *diagnosis.lifecycle())
 
 

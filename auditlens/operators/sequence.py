@@ -13,48 +13,53 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import HISTORY, MICROS, PAD
+from .split import SLICE_US
 
-#: Length of a slice of a lifecycle.
-SLICE_US = 3600 * MICROS
 #: Events that a slice is meant to have at most.
 MOST = 1_000_000
+KEY = ["part", "corr", "slice"]
 
 
-def sliced(rows: DataFrame, slice_us: int, most: int) -> DataFrame:
-    """``rows`` with ``slice``; the one length of all slices is a one-row aggregate, cross-joined."""
-    hour = F.floor(F.col("t_us") / slice_us)
-    fullest = rows.groupBy("part", "corr", hour.alias("hour")).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"))
-    times = F.pow(2.0, F.ceil(F.log2(F.greatest(F.col("n") / most, F.lit(1.0)))))
-    length = fullest.select(F.greatest(F.lit(1), F.floor(slice_us / times)).cast("long").alias("length"))
-    return rows.crossJoin(F.broadcast(length)).withColumn("slice", F.floor(F.col("t_us") / F.col("length"))).drop("length")
+def slice_length(fullest: int, slice_us: int = SLICE_US, most: int = MOST) -> int:
+    """Microseconds of a slice: halved until the fullest hour is within ``most``."""
+    halves = 0
+    while fullest / most > 2**halves:
+        halves += 1
+    return max(1, slice_us >> halves)
 
 
-def with_history(parts: DataFrame, slice_us: int = SLICE_US, most: int = MOST) -> DataFrame:
-    """Events of ``train`` and ``test`` with ``idx`` (from 1), ``n``, ``elapsed`` (seconds) and ``h1``..``h4``.
-
-    History starts anew in each part.
-    """
-    key = ["part", "corr", "slice"]
-    rows = sliced(parts.where("part <> 'val'"), slice_us, most)
-    inner = Window.partitionBy(*key).orderBy("t_us", "seq")
-    whole = Window.partitionBy(*key)
+def in_slices(parts: DataFrame, length: int) -> DataFrame:
+    """Events of ``train`` and ``test`` with their place in a slice of their lifecycle and the operations before them there."""
+    rows = parts.where("part <> 'val'").withColumn("slice", F.floor(F.col("t_us") / length))
+    inner, whole = Window.partitionBy(*KEY).orderBy("t_us", "seq"), Window.partitionBy(*KEY)
     rows = rows.withColumn("at", F.row_number().over(inner)).withColumn("of", F.count("*").over(whole))
     for k in range(1, HISTORY + 1):
         rows = rows.withColumn(f"h{k}", F.lag("op", k).over(inner))
+    return rows
+
+
+def carried(rows: DataFrame) -> DataFrame:
+    """Per slice what its lifecycle had before, and in all: a row per slice."""
     # newest first: the last operations of a slice
     tail = F.transform(F.reverse(F.array_sort(F.collect_list(F.when(F.col("at") > F.col("of") - HISTORY, F.struct("at", "op"))))), lambda x: x["op"])
-    slices = rows.groupBy(*key).agg(F.count("*").alias("size"), F.min("t_us").alias("first"), tail.alias("tail"))
-    order = Window.partitionBy("part", "corr").orderBy("slice")
-    every = Window.partitionBy("part", "corr")
+    slices = rows.groupBy(*KEY).agg(F.count("*").alias("size"), F.min("t_us").alias("first"), tail.alias("tail"))
+    order, every = Window.partitionBy("part", "corr").orderBy("slice"), Window.partitionBy("part", "corr")
     near = order.rowsBetween(-HISTORY, -1)  # each slice has an event, so four slices hold all that is needed
-    carried = slices.select(
-        *key,
+    return slices.select(
+        *KEY,
         F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
         F.sum("size").over(every).alias("n"),
         F.min("first").over(every).alias("start"),
         F.slice(F.flatten(F.reverse(F.collect_list("tail").over(near))), 1, HISTORY).alias("past"),
     )
-    out = rows.join(carried, key)
+
+
+def with_history(rows: DataFrame) -> DataFrame:
+    """Rows of ``in_slices`` with ``idx`` (from 1), ``n``, ``elapsed`` (seconds) and ``h1``..``h4``.
+
+    History starts anew in each part.
+    """
+    out = rows.join(carried(rows), KEY)
     for k in range(1, HISTORY + 1):
         # the k-th operation back lies k - at before the slice's start once the slice has none
         back = F.get("past", (F.lit(k) - F.col("at")).cast("int"))

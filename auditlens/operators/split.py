@@ -2,22 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import TEST_SHARE, TRAIN_SHARE
+from ..schema import MICROS, TEST_SHARE, TRAIN_SHARE
+
+#: Length of a slice of a lifecycle, unless its hours are crowded.
+SLICE_US = 3600 * MICROS
+
+
+class Bounds(NamedTuple):
+    """What a plan has to know of all events: the ends of the span and the fullest hour of a correlation id."""
+
+    low: int | None
+    high: int | None
+    fullest: int
+
+
+def bounds(events: DataFrame) -> Bounds:
+    """One job over time and correlation id; three numbers reach the driver and become literals of later plans."""
+    hours = events.groupBy("corr", F.floor(F.col("t_us") / SLICE_US).alias("hour")).agg(F.min("t_us").alias("low"), F.max("t_us").alias("high"), F.count("*").alias("n"))
+    r = hours.agg(F.min("low"), F.max("high"), F.coalesce(F.max("n"), F.lit(0))).first()
+    return Bounds(*r)
+
+
+def part_of(known: Bounds) -> Column:
+    """``train``, ``val`` or ``test``, by two literals."""
+    if known.low is None:
+        return F.lit("val")
+    at = lambda share: math.ceil(float(known.low) + share * (known.high - known.low))
+    return F.when(F.col("t_us") < at(TRAIN_SHARE), "train").when(F.col("t_us") >= at(TEST_SHARE), "test").otherwise("val")
 
 
-def labelled(events: DataFrame) -> DataFrame:
-    """Events with ``part``: train, val or test.  The span is a one-row aggregate, cross-joined."""
-    span = events.agg(F.min("t_us").alias("lo"), (F.max("t_us") - F.min("t_us")).alias("span"))
-    t = F.col("t_us")
-    part = (
-        F.when(t < F.col("lo") + F.lit(TRAIN_SHARE) * F.col("span"), "train")
-        .when(t >= F.col("lo") + F.lit(TEST_SHARE) * F.col("span"), "test")
-        .otherwise("val")
-    )
-    return events.crossJoin(F.broadcast(span)).withColumn("part", part).drop("lo", "span")
+def labelled(events: DataFrame, known: Bounds | None = None) -> DataFrame:
+    """Events with ``part``."""
+    return events.withColumn("part", part_of(known or bounds(events)))
 
 
 def counts(parts: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +13,7 @@ from ..schema import DIMENSIONS, LIFECYCLE_ALERT, SESSION_ALERT
 from ..sources.activity_csv import load_events
 from ..sources.events_view import activity, verdicts
 from ..sources.feedback import FeedbackStore
+from ..sources.shared import shared_path
 from .analyze import Analysis
 
 A = [*LIFECYCLE_ALERT, "csv_pos"]
@@ -36,19 +35,9 @@ def _defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("seq"), text.first_filled(cell).alias("name"), text.first_filled(first, other).alias("chained"))
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a private one only in a local session that names none."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="auditlens-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def _as_csv(rows: DataFrame, name: str) -> str:
     """Rows written as CSV files with headers, white space and empty cells kept."""
-    path = _shared(rows.sparkSession, name)
+    path = shared_path(rows.sparkSession, name)
     rows.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return path
 
@@ -107,7 +96,7 @@ def _parse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feedback_append_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts appended to a new store in the shared folder and read back; ids and times differ by run and are left out."""
-    store = FeedbackStore(spark, _shared(spark, "feedback"))
+    store = FeedbackStore(spark, shared_path(spark, "feedback"))
     store.append("c-1", "A", "CONFIRMED_ANOMALY", "seen before", confidence="CERTAIN")
     store.append("user-1", "B", "BENIGN_FALSE_POSITIVE", "planned", analyst_id="second", fn_source="ticket")
     return store.read().drop("id", "timestamp", "reviewed_at")
@@ -136,16 +125,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ngram_history": _on(lambda a: a.history.select("seq", "part", "h1", "h2", "h3", "h4")),
     "lifecycle_position": _on(lambda a: a.history.select("seq", "idx", "n")),
     "lifecycle_elapsed": _on(lambda a: a.history.select("seq", *_six("elapsed"))),
-    "model_ngram_counts": _on(lambda a: a.model.ngrams),
-    "model_ngram_max": _on(lambda a: a.model.ngram_max),
-    "model_op_duration": _on(lambda a: a.model.operations.select("op", *_six("dur_mean", "dur_std"))),
-    "model_op_index": _on(lambda a: a.model.operations.select("op", *_six("idx_mean", "idx_std"))),
+    "model_ngram_counts": _on(lambda a: a.ngrams),
+    "model_ngram_max": _on(lambda a: model.ngram_max(a.ngrams)),
+    "model_op_duration": _on(lambda a: a.operations.select("op", *_six("dur_mean", "dur_std"))),
+    "model_op_index": _on(lambda a: a.operations.select("op", *_six("idx_mean", "idx_std"))),
     **{
-        f"model_seen_{'type' if d == 'rtype' else d}": _on(lambda a, d=d: a.model.seen.where(F.col("dim") == d).select("caller", "val"))
+        f"model_seen_{'type' if d == 'rtype' else d}": _on(lambda a, d=d: a.seen.where(F.col("dim") == d).select("caller", "val"))
         for d in DIMENSIONS
     },
     "model_session_counts": _on(lambda a: model.train_sessions(a.train).select("caller", "bucket", "events", *_six("hour"))),
-    "model_caller_baseline": _on(lambda a: a.model.callers.select("caller", *_six("rate_mean", "rate_std", "hour_mean"))),
+    "model_caller_baseline": _on(lambda a: a.callers.select("caller", *_six("rate_mean", "rate_std", "hour_mean"))),
     "score_event_structural": _on(lambda a: a.scored_events.select("seq", "struct")),
     "score_event_rarity": _on(lambda a: a.scored_events.select("seq", *_six("rarity"))),
     "score_event_duration": _on(lambda a: a.scored_events.select("seq", *_six("dur_dev"))),
@@ -180,7 +169,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "component_percentiles": _on(lambda a: evaluate.component_percentiles(a.lifecycles)),
     "manifest_counts": _on(lambda a: a.manifest),
     "verdict_effectiveness": lambda spark, sf_dir: evaluate.verdict_effectiveness(verdicts(spark, sf_dir)),
-    "next_op_topk_accuracy": _on(lambda a: evaluate.next_op_accuracy(a.model.ngrams, a.test)),
-    "new_entity_listing": _on(lambda a: session.new_values(a.test, a.model)),
+    "next_op_topk_accuracy": _on(lambda a: evaluate.next_op_accuracy(a.ngrams, a.test_history)),
+    "new_entity_listing": _on(lambda a: session.new_values(a.test, a.seen)),
     "feedback_append_roundtrip": feedback_append_roundtrip,
 }

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from auditlens.cli import main, parser
 from auditlens.functions import diagnosis, scores, text, times
 from auditlens.operators import evaluate, lifecycle, packet, sequence, session, split
+from auditlens.plans import analyze as plans
 from auditlens.plans.analyze import Analysis, analyze
+from auditlens.plans.queries import QUERIES
 from auditlens.schema import EVENT, LIFECYCLE_ALERT, SESSION_ALERT
-from auditlens.sources import activity_csv
+from auditlens.sources import activity_csv, sinks
 from auditlens.sources.activity_csv import load_events, normalise
 from auditlens.sources.events_view import activity
 from auditlens.sources.feedback import FeedbackStore
@@ -85,7 +87,8 @@ def test_history_does_not_depend_on_slices(spark, most):
     """Crowded hours are sliced more finely; positions and history stay."""
     rows = [(7_000 + i * 0.25, "c", f"op{i % 7}", "busy" if i % 5 else "calm") for i in range(200)]
     parts = events(spark, rows).withColumn("part", F.lit("train"))
-    got = {r.seq: r for r in sequence.with_history(parts, most=most).collect()}
+    length = sequence.slice_length(split.bounds(parts).fullest, most=most)
+    got = {r.seq: r for r in sequence.with_history(sequence.in_slices(parts, length)).collect()}
     for corr in ("busy", "calm"):
         mine = [i for i, r in enumerate(rows) if r[3] == corr]
         for at, seq in enumerate(mine):
@@ -222,7 +225,7 @@ def test_history_across_slices(spark, slice_seconds):
     """Slices of any length give what one window over the lifecycle gives, ties by sequence."""
     rows = [(i // 2, f"u{i % 3}", f"op{i % 7}", f"c{(i * i) % 4}") for i in range(120)]
     parts = split.labelled(events(spark, rows))
-    got = {r.seq: r for r in sequence.with_history(parts, slice_seconds * 1_000_000).collect()}
+    got = {r.seq: r for r in sequence.with_history(sequence.in_slices(parts, slice_seconds * 1_000_000)).collect()}
     for part in ("train", "test"):
         for corr in range(4):
             line = [r for r in sorted(got.values(), key=lambda r: (r.t_us, r.seq)) if r.part == part and r.corr == f"c{corr}"]
@@ -361,7 +364,7 @@ def test_stream_matches_batch(spark, tmp_path):
     query.stop()
     columns = ["caller", "bucket", "events", "new_op", "new_prov", "new_sub", "new_rg", "new_type", "new_ip", F.round("activity_dev", 6), F.round("hour_dev", 6)]
     got = set(map(tuple, spark.table("sessions").where("caller <> 'late'").select(*columns).collect()))
-    assert got == set(map(tuple, session.score_sessions(run.test, model).select(*columns).collect()))
+    assert got == set(map(tuple, session.score_sessions(run.test, model.seen, model.callers).select(*columns).collect()))
 
 
 def test_plan_is_free_of_python_and_products(spark):
@@ -370,6 +373,47 @@ def test_plan_is_free_of_python_and_products(spark):
     assert "Python" not in plan and "CartesianProduct" not in plan
 
 
+CORE = [n for n in QUERIES if n.split("_")[0] in ("ngram", "lifecycle", "model", "score", "top20", "session", "diagnose", "packet", "component", "manifest", "next", "new", "chrono")]
+
+
+@pytest.mark.parametrize("name", CORE)
+def test_core_queries_scan_events_three_times_at_most(spark, monkeypatch, name):
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [event_id")
+    found = []
+
+    def counted(df, *args):
+        found.append(scans(df))
+        return written(df, *args)
+
+    written = plans.written
+    monkeypatch.setattr(plans, "written", counted)
+    last = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sum(found) + scans(last) + 1 <= 3  # and one for the bounds
+
+
+def test_saved_baselines_score_a_new_export_alike(spark, smoke, tmp_path):
+    whole = tmp_path / "whole"
+    analyze(spark, smoke, f"file://{whole}", model_dir=str(tmp_path / "model"))
+    with open(smoke, encoding="utf-8") as f:
+        header, *rows = csv.reader(f)
+    times_ = [float(r[0]) for r in rows]
+    late = [r for r in rows if float(r[0]) >= min(times_) + 0.85 * (max(times_) - min(times_))]
+    export = write(tmp_path / "late.csv", header, late)
+    assert main(["analyze", "-i", export, "-o", str(tmp_path / "late"), "--use-model", str(tmp_path / "model")]) == 0
+    for name in ("top_lifecycle_anomalies.csv", "top_actor_anomalies.csv", "diagnosed_review_packet.md"):
+        assert (tmp_path / "late" / name).read_text() == (whole / name).read_text()
+    assert sorted(x.name for x in whole.iterdir() if not x.name.endswith(".crc")) == ["diagnosed_review_packet.md", "manifest.json", "top_actor_anomalies.csv", "top_lifecycle_anomalies.csv"]
+
+
+def test_publish_replaces_whole_files(spark, tmp_path):
+    target = f"file://{tmp_path}/new/é.txt"
+    for text_ in ("first\n", "", "second — \U0001f642\r\n"):
+        sinks.publish(spark, target, text_)
+        assert sinks.fetch(spark, target) == text_
+    with pytest.raises(Exception):
+        sinks.publish(spark, "nowhere://x/y", "z")
+
+
 def test_normalise_needs_a_known_layout(spark):
     with pytest.raises(ValueError):
         normalise(spark.createDataFrame([("x",)], "a string"))
