@@ -13,6 +13,7 @@ ev AS (
          regexp_replace(upper('app.' || event_type || '/tier' || CAST(floor(value / 40) AS INTEGER) || '/write'), '/[^/]*$', '') AS rtype,
          'c-' || CAST(floor(user_id / 2) AS INTEGER) || '-' || CAST(floor(epoch_us(ts) / 1e6 / 86400 / 3) AS INTEGER) AS corr
   FROM events),
+spans AS (SELECT rg AS grp, corr AS id, arg_min(caller, (t_us, seq)) AS party, min(t_us) AS beg, max(t_us) AS fin FROM ev GROUP BY rg, corr),
 span AS (SELECT min(t_us) AS lo, max(t_us) - min(t_us) AS span FROM ev),
 parts AS (
   SELECT ev.*, CASE WHEN t_us < lo + 0.70e0 * span THEN 'train' WHEN t_us >= lo + 0.85e0 * span THEN 'test' ELSE 'val' END AS part
@@ -187,13 +188,24 @@ LAST = {
           WHEN 5 THEN t - t % 1000000 WHEN 6 THEN t - t % 3600000000 WHEN 9 THEN t END AS iso_us,
         CASE event_id % 7 WHEN 0 THEN t WHEN 1 THEN t - t % 1000000 WHEN 4 THEN 12250000 WHEN 5 THEN 1000000000 END AS number_us
         FROM (SELECT event_id, epoch_us(ts) AS t FROM events)""",
-    "feedback_append_roundtrip": """SELECT * FROM (VALUES
-        ('c-1', 'A', 'CONFIRMED_ANOMALY', 'seen before', 'SOC_ANALYST', 1, 'SOC_ANALYST', 'CERTAIN', NULL, 0),
-        ('user-1', 'B', 'BENIGN_FALSE_POSITIVE', 'planned', 'second', 1, 'second', NULL, 'ticket', 0))
-        AS f(alert_id, track, decision, reason, analyst_id, reviewer_count, reviewer_ids, confidence, fn_source, disagreement_flag)""",
-    "time_bucket_30m": "SELECT seq, CAST(floor(t_us / 1800000000.0) AS BIGINT) AS bucket FROM ev",
-    "hour_of_day": "SELECT seq, round((t_us % 86400000000) / 3.6e9, 6) AS hour FROM ev",
-    "iso_range_format": f"SELECT seq, {_ISO.format('t_us')} || ' — ' || {_ISO.format('(t_us + 90000000)')} AS window_text FROM ev",
+    "feedback_append_roundtrip": """SELECT CAST(doc_id AS VARCHAR) AS alert_id, CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'B' END AS track,
+        CASE WHEN toxic = 1 THEN 'CONFIRMED_ANOMALY' WHEN quality = 1 AND doc_id % 5 = 0 THEN 'UNREVIEWED' ELSE 'BENIGN_FALSE_POSITIVE' END AS decision,
+        'label of bucket-' || (doc_id % 6) AS reason, CASE WHEN doc_id % 2 = 0 THEN 'SOC_ANALYST' ELSE 'second' END AS analyst_id, 1 AS reviewer_count,
+        CASE WHEN doc_id % 2 = 0 THEN 'SOC_ANALYST' ELSE 'second' END AS reviewer_ids,
+        CASE WHEN toxic = 1 OR quality <> 1 OR doc_id % 5 <> 0 THEN 'CERTAIN' END AS confidence, CASE WHEN doc_id % 2 = 1 THEN 'ticket' END AS fn_source, 0 AS disagreement_flag
+        FROM labels""",
+    "asof_last_other_address": """SELECT e.seq, max_by(p.seq, (p.t_us, p.seq)) AS other_seq, max_by(p.ip, (p.t_us, p.seq)) AS other_ip, e.t_us - max(p.t_us) AS since_us
+        FROM ev e LEFT JOIN ev p ON p.caller = e.caller AND p.ip <> e.ip AND (p.t_us < e.t_us OR p.t_us = e.t_us AND p.seq < e.seq) GROUP BY e.seq, e.t_us""",
+    "asof_error_last_purchase": """SELECT e.seq, p.seq AS last_seq, p.op AS last_op, e.t_us - p.t_us AS since_us
+        FROM (SELECT * FROM ev WHERE prov = 'APP.ERROR') e ASOF LEFT JOIN (SELECT * FROM ev WHERE prov = 'APP.PURCHASE') p ON e.caller = p.caller AND e.t_us >= p.t_us""",
+    "gap_sessions": """SELECT caller, min(t_us) AS session_start, max(t_us) AS session_end, count(*) AS events
+        FROM (SELECT *, sum(fresh) OVER (PARTITION BY caller ORDER BY t_us, seq) AS k
+              FROM (SELECT *, CASE WHEN t_us - lag(t_us) OVER (PARTITION BY caller ORDER BY t_us, seq) <= 1800000000 THEN 0 ELSE 1 END AS fresh FROM ev))
+        GROUP BY caller, k""",
+    "range_frame_half_hour": """SELECT seq, count(*) OVER w AS events, max(op) OVER w AS last_op
+        FROM ev WINDOW w AS (PARTITION BY caller ORDER BY t_us RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW)""",
+    "lifecycles_open_together": """SELECT a.grp, a.party AS party_a, b.party AS party_b, count(*) AS pairs, CAST(sum(least(a.fin, b.fin) - greatest(a.beg, b.beg)) AS BIGINT) AS shared_us
+        FROM spans a JOIN spans b ON a.grp = b.grp AND a.party < b.party AND a.beg <= b.fin AND b.beg <= a.fin GROUP BY ALL""",
     "chrono_split_counts": "SELECT part, count(*) AS events FROM parts GROUP BY part",
     "chrono_split_rows": "SELECT seq, part FROM parts",
     "ngram_history": "SELECT seq, part, h1, h2, h3, h4 FROM hist",

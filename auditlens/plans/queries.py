@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, times
-from ..operators import evaluate, lifecycle, model, packet, session, split
+from ..operators import carry, evaluate, lifecycle, model, overlap, packet, session, split
 from ..schema import DIMENSIONS, LIFECYCLE_ALERT, SESSION_ALERT
 from ..sources.activity_csv import load_events
 from ..sources.events_view import activity, verdicts
@@ -95,13 +95,43 @@ def _parse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feedback_append_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts appended to a new store in the shared folder and read back; ids and times differ by run and are left out."""
-    store = FeedbackStore(spark, shared_path(spark, "feedback"))
-    store.append("c-1", "A", "CONFIRMED_ANOMALY", "seen before", confidence="CERTAIN")
-    store.append("user-1", "B", "BENIGN_FALSE_POSITIVE", "planned", analyst_id="second", fn_source="ticket")
+    """The verdicts of the label table appended in bulk to a new store in the shared folder, twice, and read back; ids and times
+    differ by run and are left out."""
+    store, rows = FeedbackStore(spark, shared_path(spark, "feedback")), verdicts(spark, sf_dir)
+    told = rows.select("alert_id", "track", "decision", F.concat(F.lit("label of "), "bucket").alias("reason"), F.when(F.col("decision") != "UNREVIEWED", "CERTAIN").alias("confidence"))
+    store.append_all(told.where("track = 'A'"))
+    store.append_all(told.where("track = 'B'").withColumn("analyst_id", F.lit("second")).withColumn("fn_source", F.lit("ticket")))
     return store.read().drop("id", "timestamp", "reviewed_at")
 
 
+CALLER, TIME, TIE = ["caller"], "t_us", "seq"
+
+
+def _last_other_address(a: Analysis) -> DataFrame:
+    rows = a.events.select("seq", "caller", "t_us", "ip")
+    out = carry.last_from_other(rows, "ip", CALLER, TIME, TIE, carry.length_for(rows, CALLER, TIME))
+    return out.select("seq", F.col("other.seq").alias("other_seq"), F.col("other.ip").alias("other_ip"), (F.col("t_us") - F.col("other.t_us")).alias("since_us"))
+
+
+def _errors_as_of_purchases(a: Analysis) -> DataFrame:
+    """Each error with its caller's last purchase at or before it."""
+    rows = a.events.select("seq", "caller", "t_us", "prov", "op")
+    left, right = rows.where("prov = 'APP.ERROR'"), rows.where("prov = 'APP.PURCHASE'")
+    out = carry.as_of(left, right.select("caller", "t_us", "seq", "op"), CALLER, TIME, TIE, "last", carry.length_for(rows, CALLER, TIME))
+    return out.select("seq", F.col("last.seq").alias("last_seq"), F.col("last.op").alias("last_op"), (F.col("t_us") - F.col("last.t_us")).alias("since_us"))
+
+
+def _gap_sessions(a: Analysis) -> DataFrame:
+    rows = a.events.select("caller", "t_us", "seq")
+    return carry.gap_sessions(rows, CALLER, TIME, TIE, carry.length_for(rows, CALLER, TIME))
+
+
+def _events_before(a: Analysis) -> DataFrame:
+    """Events of the caller in the half hour up to each event, and the highest operation name in it."""
+    rows = a.events.select("seq", "caller", "t_us", "op")
+    return carry.within_before(rows, CALLER, TIME, TIE, carry.GAP_US, {"events": F.count("*"), "last_op": F.max("op")}, 4).select("seq", "events", "last_op")
+
+
 def _on(function: Callable[[Analysis], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: function(Analysis(activity(spark, sf_dir)))
 
@@ -171,5 +201,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "verdict_effectiveness": lambda spark, sf_dir: evaluate.verdict_effectiveness(verdicts(spark, sf_dir)),
     "next_op_topk_accuracy": _on(lambda a: evaluate.next_op_accuracy(a.ngrams, a.test_history)),
     "new_entity_listing": _on(lambda a: session.new_values(a.test, a.seen)),
+    "asof_last_other_address": _on(_last_other_address),
+    "asof_error_last_purchase": _on(_errors_as_of_purchases),
+    "gap_sessions": _on(_gap_sessions),
+    "range_frame_half_hour": _on(_events_before),
+    "lifecycles_open_together": _on(lambda a: overlap.open_together(overlap.lifecycle_spans(a.events))),
     "feedback_append_roundtrip": feedback_append_roundtrip,
 }

@@ -37,4 +37,5 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("BENIGN_FALSE_POSITIVE")
     )
     track = F.when(F.col("doc_id") % 2 == 0, "A").otherwise("B")
-    return labels.select(track.alias("track"), F.concat(F.lit("bucket-"), (F.col("doc_id") % 6).cast("string")).alias("bucket"), decision.alias("decision"))
+    named = F.col("doc_id").cast("string").alias("alert_id")
+    return labels.select(named, track.alias("track"), F.concat(F.lit("bucket-"), (F.col("doc_id") % 6).cast("string")).alias("bucket"), decision.alias("decision"))
