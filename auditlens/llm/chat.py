@@ -7,10 +7,9 @@ end mark).
 
 A dialogue is rendered in parts of ``PART`` turn numbers, so a conversation of any
 length is never gathered in one task; its parts joined in order are its text.  Equal turns
-are one row with a count from the start.  A part of more than ``MOST`` turns (numbers that are
-null or used again and again) is rendered in pieces, named by turn, speaker and as many digits
-of the text's digest as keep a piece near that size; a turn that occurs more often than that has
-pieces of its own.  All other parts are one piece with an empty name.
+are one row with a count from the start.  A part's turns in order are cut into pieces of ``MOST``, numbered
+from 0, so numbers that are null or used again and again make more pieces, and pieces joined in
+order are the part.
 Turns are matched to participants by a many-to-one join on the conversation,
 which AQE splits where one conversation is very large; the participants of a
 conversation are a set of names, kept by partial aggregation.
@@ -27,14 +26,16 @@ names are equal then are one speaker, with one perspective and mask.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 PART = 64
-#: Turns of a part that are rendered in one piece.
+#: Turns of a piece.
 MOST = 1_000
+#: Characters of a text that ranges of crowded turns look at.
+RANGE_CHARS = 128
 UNKNOWN = "unknown"
 #: Fixed template: header before a turn and mark after it.
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
@@ -47,24 +48,30 @@ def speaker(role: Column) -> Column:
 
 
 def in_pieces(rows: DataFrame, most: int) -> DataFrame:
-    """``conv_id, part, turn, name, body, copies, piece``: equal rows once with their number, each in its piece."""
-    rows = rows.groupBy("conv_id", "part", "turn", "name", "body").agg(F.count("*").alias("copies"))
-    counted = F.least("copies", F.lit(most))
-    by_name = rows.groupBy("conv_id", "part", "name", "turn").agg(F.sum("copies").alias("all"), F.sum(counted).alias("rows"))
-    total = by_name.groupBy(F.col("conv_id").alias("of"), F.col("part").alias("of_part")).agg(F.sum("all").alias("turns")).where(F.col("turns") > most)
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    digits = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("rows") / most))).cast("int")
-    large = by_name.join(total, same("conv_id", "of") & same("part", "of_part"))
-    large = large.select("of", "of_part", F.col("turn").alias("of_turn"), F.col("name").alias("of_name"), digits.alias("digits"))
-    placed = rows.join(large, same("conv_id", "of") & same("part", "of_part") & same("turn", "of_turn") & (F.col("name") == F.col("of_name")), "left")
-    often = F.col("copies") > most
-    digest = F.md5("body")
-    name = F.concat_ws("/", F.coalesce(F.col("turn").cast("string"), F.lit("")), "name", F.when(often, digest).otherwise(F.substring(digest, F.lit(1), F.col("digits"))))
-    chunks = F.when(F.col("digits").isNotNull() & often, F.ceil(F.col("copies") / most)).otherwise(1).cast("int")
-    spread = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    piece = F.when(F.col("digits").isNull(), "").when(often, F.concat_ws("/", name, F.col("chunk").cast("string"))).otherwise(name)
-    copies = F.when(F.col("digits").isNotNull() & often, F.least(F.lit(most), F.col("copies") - F.col("chunk") * most)).otherwise(F.col("copies"))
-    return spread.select("conv_id", "part", "turn", "name", "body", copies.cast("int").alias("copies"), piece.alias("piece"))
+    """``conv_id, part, turn, name, body, copies, piece``: equal rows once with their number, by one rule: a part's turns in
+    order, ``most`` a piece.
+
+    Parts that are one piece need no positions.  The turns of the others are dealt by ranges of that order, so
+    a crowded part is many tasks; running sums within a range, and of ranges within a part, are their positions.
+    """
+    key = ["conv_id", "part"]
+    rows = rows.groupBy(*key, "turn", "name", "body").agg(F.count("*").alias("copies"))
+    total = rows.groupBy(F.col("conv_id").alias("of"), F.col("part").alias("of_part")).agg(F.sum("copies").alias("turns"))
+    placed = rows.join(total, F.col("conv_id").eqNullSafe(F.col("of")) & F.col("part").eqNullSafe(F.col("of_part")))
+    columns = [*key, "turn", "name", "body"]
+    whole = placed.where(F.col("turns") <= most).select(*columns, F.col("copies").cast("int").alias("copies"), F.lit(0).cast("long").alias("piece"))
+    crowd = placed.where(F.col("turns") > most).select(*columns, "copies")
+    dealt = crowd.repartitionByRange(*key, "turn", "name", F.substring("body", 1, RANGE_CHARS)).withColumn("range", F.spark_partition_id())
+    dealt = common.written(dealt, "crowded-turns")  # freezes the ranges
+    inner = Window.partitionBy(*key, "range").orderBy("turn", "name", "body").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = dealt.groupBy(F.col("conv_id").alias("of"), F.col("part").alias("of_part"), F.col("range").alias("of_range")).agg(F.sum("copies").alias("turns"))
+    before = F.coalesce(F.sum("turns").over(Window.partitionBy("of", "of_part").orderBy("of_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("of", "of_part", "of_range", before.alias("before"))
+    on = F.col("conv_id").eqNullSafe(F.col("of")) & F.col("part").eqNullSafe(F.col("of_part")) & (F.col("range") == F.col("of_range"))
+    ends = dealt.withColumn("end", F.sum("copies").over(inner)).join(ranges, on).withColumn("end", F.col("end") + F.col("before")).withColumn("start", F.col("end") - F.col("copies"))
+    pieces = ends.withColumn("piece", F.explode(F.sequence(F.floor(F.col("start") / most), F.floor((F.col("end") - 1) / most))))
+    inside = F.least("end", (F.col("piece") + 1) * most) - F.greatest("start", F.col("piece") * most)
+    return whole.unionByName(pieces.select(*columns, inside.cast("int").alias("copies"), F.col("piece").cast("long").alias("piece")))
 
 
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part: int = PART, most: int = MOST) -> DataFrame:
@@ -139,16 +146,7 @@ WITH named AS (
               ELSE trim(regexp_replace(coalesce(role, ''), '[<|>\r\n\t]', '_', 'g')) END AS name,
          regexp_replace(coalesce(text, ''), '<\|', '< |', 'g') AS body
   FROM conversations),
-counted AS (
-  SELECT *, count(*) OVER (PARTITION BY conv_id, part) AS turns, count(*) OVER e AS copies, row_number() OVER e AS copy
-  FROM named WINDOW e AS (PARTITION BY conv_id, part, turn, name, body)),
-sized AS (
-  SELECT *, sum(CASE WHEN copy <= 1000 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, part, turn, name) AS rows FROM counted),
-pieced AS (
-  SELECT *, CASE WHEN turns <= 1000 THEN ''
-      WHEN copies > 1000 THEN coalesce(CAST(turn AS VARCHAR), '') || '/' || name || '/' || md5(body) || '/' || CAST(floor((copy - 1) / 1000) AS BIGINT)
-      ELSE coalesce(CAST(turn AS VARCHAR), '') || '/' || name || '/' || left(md5(body), CAST(greatest(0, ceil(ln(rows / 1000) / ln(16))) AS BIGINT)) END AS piece
-  FROM sized),
+pieced AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, part ORDER BY turn, name, body) - 1) // 1000 AS piece FROM named),
 parties AS (SELECT DISTINCT conv_id AS of_conv, name AS perspective FROM named WHERE name NOT IN ('system', 'unknown')),
 pieces AS (
   SELECT n.conv_id, p.perspective, n.part, n.piece, n.turn, n.name, n.body, n.name = p.perspective AS own,

@@ -53,7 +53,7 @@ def test_crowded_parts_are_rendered_in_pieces(spark):
     df = spark.createDataFrame(rows, TURNS)
     got = chat.rotate(df).collect()
     assert sum(r.n_turns for r in got) == 2 * 4_601 + 1 and max(r.n_turns for r in got) <= 1_000
-    assert {r.piece for r in got if r.conv_id == 2 or r.part is not None} == {""}
+    assert {r.piece for r in got if r.conv_id == 2} == {0}
     mine = [r for r in got if r.conv_id == 1 and r.perspective == "a"]
     assert sum(r.rendered.count("assistant\nagain<|im_end|>") for r in mine) == 2_100 and len(mine) > 10
     duck = duckdb.connect()
@@ -64,6 +64,23 @@ def test_crowded_parts_are_rendered_in_pieces(spark):
     assert Counter((r.conv_id, r.perspective, r.part, r.piece, r.n_turns, r.n_masked, r.rendered, text(r.spans)) for r in got) == Counter(want)
 
 
+@pytest.mark.parametrize("most", [7, 1_000])
+def test_pieces_in_order_are_the_dialogue(spark, most):
+    """From ten to five thousand turns of a part: of one number, of twelve numbers, without a number, repeated."""
+    rows = []
+    for conv, n in enumerate((10, 999, 1_000, 1_001, 1_200, 5_000)):
+        rows += [(conv, 5, "ann" if i % 3 else "bob", f"t{i % 1_700}") for i in range(n)]
+    rows += [(10, i % 12, "ann" if i % 2 else "bob", f"t{i}") for i in range(1_200)] + [(11, None, "ann", f"{i}") for i in range(1_500)] + [(11, 1, "bob", "x")] + [(None, 3, "ann", "same")] * 2_500
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5), most=most).where("perspective = 'ann'").collect()
+    assert max(r.n_turns for r in got) <= most
+    for conv in {r[0] for r in rows}:
+        mine = sorted((r for r in got if r.conv_id == conv), key=lambda r: (r.part is not None, r.part or 0, r.piece))
+        assert len({(r.part, r.piece) for r in mine}) == len(mine)
+        ordered = sorted((r[1:] for r in rows if r[0] == conv), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+        want = "".join(f"<|im_start|>{'assistant' if role == 'ann' else 'user name=' + role}\n{text}<|im_end|>\n" for _, role, text in ordered)
+        assert "".join(r.rendered for r in mine) == want
+
+
 def test_rotation_uses_no_python(spark):
     plan = chat.rotate(common.table(spark, "/root/testdata/sf0.001", "conversations"))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
