@@ -173,14 +173,14 @@ def viterbi(score: np.ndarray, lines: list[np.ndarray], switch: float = SWITCH)
     """The best language of each word of each line, all lines stepping together."""
     order = sorted(range(len(lines)), key=lambda i: -len(lines[i]))
     sizes = np.array([len(lines[i]) for i in order])
-    out: list[np.ndarray] = [np.empty(0, np.int16)] * len(lines)
+    out: list[np.ndarray] = [np.empty(0, np.int32)] * len(lines)
     if not len(sizes) or not sizes[0]:
         return out
     flat = np.concatenate([lines[i] for i in order])
     start = np.cumsum(sizes) - sizes
     active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # lines longer than t
     stay = np.zeros((len(flat), score.shape[1]), bool)
-    source = np.zeros(len(flat), np.int16)
+    source = np.zeros(len(flat), np.int32)
     value = np.zeros((len(sizes), score.shape[1]), np.float32)
     for t in range(sizes[0]):
         n = active[t]
@@ -192,7 +192,7 @@ def viterbi(score: np.ndarray, lines: list[np.ndarray], switch: float = SWITCH)
         stay[at], source[at] = kept, best
         value[:n] = np.where(kept, held, top) + score[flat[at]]
     state = np.zeros(len(sizes), np.int64)
-    labels = np.zeros(len(flat), np.int16)
+    labels = np.zeros(len(flat), np.int32)
     for t in range(sizes[0] - 1, -1, -1):
         n = active[t]
         at = start[:n] + t

@@ -122,3 +122,13 @@ def test_thousands_of_languages(spark, cells, monkeypatch):
         learnt = set(model.languages)
         right = [got[10**6 + i] == f"l{i:04d}" for i in range(50) if f"l{i:04d}" in learnt]
         assert sum(right) >= 0.9 * len(right)
+
+
+def test_more_languages_than_sixteen_bits_hold():
+    import numpy as np
+
+    score = np.full((3, 40_000), -langid.CLIP, np.float32)
+    score[0, 35_000] = score[1, 35_000] = score[2, 39_999] = 0
+    (label,) = langid.viterbi(score, [np.array([0, 1, 0, 2, 2, 2, 1])])
+    assert label.tolist() == [35_000] * 3 + [39_999] * 3 + [35_000]
+    assert np.bincount(label, minlength=40_000).argmax() == 35_000
