@@ -14,7 +14,6 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -73,16 +72,19 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-@contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Tables written meanwhile pass rows to Python ``rows`` at a time, for rows that may be large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(rows, int(before)))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def with_batches_of(spark: SparkSession, rows: int) -> SparkSession:
+    """A session of its own, with the settings of this one, that passes rows to Python ``rows`` at a time, for rows that may be large."""
+    name, out = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and out.conf.isModifiable(key):
+            out.conf.set(key, value)
+    out.conf.set(name, min(rows, int(spark.conf.get(name))))
+    return out
+
+
+def read_in(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """A table of ``written`` as a table of another session."""
+    return spark.read.schema(df.schema).parquet(*{name.rsplit("/", 1)[0] for name in df.inputFiles()}) if df.inputFiles() else spark.createDataFrame([], df.schema)
 
 
 def release(spark: SparkSession) -> None:

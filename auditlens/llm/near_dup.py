@@ -10,11 +10,13 @@ the shingles that are frequent in the corpus last, so that common lines and pass
 not met; any order gives the same links.
 
 Texts with equal sets collapse to one node first.  Nodes that share a prefix shingle are
-a bucket.  In each round a node is tried with a few others of its buckets, in windows that
-deal a large bucket into blocks, and components are joined; rounds go on while they
-find links, or until few pairs of nodes are not connected yet.
-Those are then tried one and all, unless where their shingles stand in both sets shows that
-they cannot be similar.  So large groups of near copies are connected by few comparisons.
+a bucket, and pairs are compared inside buckets: a row carries its set's size, where the shingle stands in it and a
+parity bitmap of the set, which together bound what two sets can share (two bitmaps differ in no more bits than
+the sets in shingles), so hardly a pair is handed on that is not linked.  A bucket of more than ``BLOCK`` nodes is dealt by classes of
+size, since similar sets are of similar size, and a class as pairs of blocks to many tasks.
+First every node is tried with one partner of each of its buckets, the most likely one before it, which connects large
+groups of near copies by few checks of whole sets; after ``ROUNDS`` of this, all pairs that
+bounds allow and whose nodes are not connected yet.
 
 Defined results: a text of fewer than five words is one shingle; texts without
 words are one group; repeated rows and rows without an id are rows like others.
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -46,12 +48,16 @@ FREQUENT = 200_000
 OFTEN = 2
 #: Text bytes that a task counts shingles of at a time.
 COUNTED_BYTES = 12 << 20
-#: Nodes of a bucket that one window orders; partners of a node in a bucket and a round; rounds at most.
+#: Nodes of a bucket, or of a size class of it, that are compared with each other in one task.
 BLOCK = 1_000
-PARTNERS = 16
-ROUNDS = 5
-#: Share of the pairs of a round that must be links for another round to be worth it.
-FRUITFUL = 0.02
+#: Rounds that try one partner a node and bucket, before all pairs are tried.
+ROUNDS = 2
+#: Bits of a set's parity bitmap: enough to tell sets of up to twice as many shingles apart.
+PARITY_BITS = 256
+#: Pairs that are compared at a time.
+AT_ONCE = 1 << 18
+#: Base of size classes: a little above the largest ratio of the sizes of similar sets, so these are in one class or neighbours.
+CLASS = 1.01 * LEAST[1] / LEAST[0]
 #: Bits of a shingle's hash that name its bucket: a bucket of several shingles only has more pairs to try.
 BUCKET_BITS = 48
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -91,6 +97,12 @@ def fingerprint(grams: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(grams)).tobytes(), "big", signed=True)
 
 
+def parity(grams: np.ndarray) -> bytes:
+    """A bit per residue of shingles: whether an odd number of the set's shingles has it."""
+    odd = np.bincount((grams & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def prefix(grams: np.ndarray, last: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
     """The first shingles of a set: those not in ``last`` (sorted), whose number is given, then those by ``rank``."""
     if not len(grams):
@@ -121,13 +133,13 @@ def frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_sets(docs: DataFrame, text_col: str, names: list[str]) -> DataFrame:
-    """The columns of ``docs``, and under ``names`` the hash, size and fingerprint of the text's set, its prefix, and how
-    many shingles of that are not frequent."""
+    """The columns of ``docs``, and under ``names`` the hash, size and fingerprint of the text's set, its prefix, how
+    many shingles of that are not frequent, and its parity bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, text_col))
-    types = [T.LongType(), T.IntegerType(), T.LongType(), T.BinaryType(), T.IntegerType()]
+    types = [T.LongType(), T.IntegerType(), T.LongType(), T.BinaryType(), T.IntegerType(), T.BinaryType()]
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema] + [T.StructField(n, t) for n, t in zip(names, types)])
     arrow = to_arrow_schema(schema)
-    node, size, print_, first, light = names
+    node, size, print_, first, light, bits = names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rank = shared.value
@@ -142,6 +154,7 @@ def with_sets(docs: DataFrame, text_col: str, names: list[str]) -> DataFrame:
                 cols[print_].append(fingerprint(grams))
                 cols[first].append(begin.tobytes())
                 cols[light].append(n)
+                cols[bits].append(parity(grams))
             arrays = [pa.array(cols[f.name], f.type) if f.name in cols else tab.column(f.name).cast(f.type) for f in arrow]
             yield from pa.Table.from_arrays(arrays, schema=arrow).to_batches(max_chunksize=5_000)
 
@@ -149,8 +162,8 @@ def with_sets(docs: DataFrame, text_col: str, names: list[str]) -> DataFrame:
 
 
 def buckets(leads: DataFrame) -> DataFrame:
-    """``gram, node, size, pos, n``: the ``n`` nodes of every prefix shingle that several nodes have, and where it stands."""
-    arrow = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())])
+    """``gram, node, size, pos, bits, n``: the ``n`` nodes of every prefix shingle that several nodes have, and where it stands."""
+    arrow = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("bits", pa.binary())])
 
     def spread(often: bool):
         """The rare or the frequent shingles of prefixes."""
@@ -165,7 +178,8 @@ def buckets(leads: DataFrame) -> DataFrame:
                     pos = np.arange(len(node)) - np.repeat(np.cumsum(n) - n, n)
                     kept = (pos >= light) == often
                     gram = np.frombuffer(b"".join(raw), np.int64) & ((1 << BUCKET_BITS) - 1)
-                    yield from common.emit({"gram": gram[kept], "node": node[kept], "size": size[kept], "pos": pos[kept]}, arrow)
+                    bits = part.column("bits").take(pa.array(np.repeat(np.arange(part.num_rows), n)[kept]))
+                    yield from common.emit({"gram": gram[kept], "node": node[kept], "size": size[kept], "pos": pos[kept], "bits": bits}, arrow)
 
         return run
 
@@ -184,11 +198,13 @@ def buckets(leads: DataFrame) -> DataFrame:
         if held is not None and before is not None and before == held.column("gram")[0].as_py():
             yield held
 
-    names = "gram long, node long, size int, pos int"
+    names = "gram long, node long, size int, pos int, bits binary"
     # rare shingles meet in a shuffle; frequent ones, which may be very frequent, are known to be shared
     rare = leads.mapInArrow(spread(False), names).repartition("gram").sortWithinPartitions("gram").mapInArrow(shared, names)
     met = common.written(rare.unionByName(leads.mapInArrow(spread(True), names)), "near-met")
-    return met.join(met.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "gram")
+    counted = common.written(met.join(met.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "gram"), "near-buckets")
+    common.discard(met)
+    return counted
 
 
 def joined(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
@@ -198,24 +214,6 @@ def joined(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", *[f"{x}_{c}" for x in "ab" for c in columns])
 
 
-def hopeful(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """The ``pairs`` that can be similar by their prefixes.
-
-    Of the two prefixes one ends first in the common order; up to there all shared
-    shingles are in both, so no more are shared than these and the rest of that set.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m, n = (batch.column(c).to_numpy().astype(np.int64) for c in ("a_size", "b_size"))
-            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("a_first", "b_first"))
-            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)], np.int64)
-            both += np.maximum(m - [len(x) for x in a], n - [len(y) for y in b])
-            yield batch.select(["a", "b"]).filter(pa.array(both * LEAST[1] >= (m + n - both) * LEAST[0]))
-
-    return joined(pairs, prefixes, ["size", "first"]).mapInArrow(run, "a long, b long")
-
-
 def linked(pairs: DataFrame, table: DataFrame, text_col: str, row: str) -> DataFrame:
     """The ``pairs`` of rows (``a, b``) of ``table`` whose sets are similar."""
     arrow = pa.schema([("node", pa.int64()), ("grams", pa.binary())])
@@ -235,19 +233,123 @@ def linked(pairs: DataFrame, table: DataFrame, text_col: str, row: str) -> DataF
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = table.select(F.col(row).alias("node"), F.col(text_col).alias("text")).join(nodes, "node", "left_semi")
     held = common.written(texts.mapInArrow(sets, "node long, grams binary"), "near-sets")
-    with common.batches_of(table.sparkSession, 100):  # two whole sets a row
-        out = common.written(joined(pairs, held, ["grams"]).mapInArrow(run, "a long, b long"), "near-links")
+    few = common.with_batches_of(table.sparkSession, 100)  # two whole sets a row
+    out = common.written(joined(common.read_in(few, pairs), common.read_in(few, held), ["grams"]).mapInArrow(run, "a long, b long"), "near-links")
     common.discard(held)
-    return out
-
-
-def may_link(x: str, y: str) -> Column:
-    """Whether nodes that share a shingle can be similar, if it is the first in the common order that they share: by the
-    sizes of both sets and by what stands behind it in both."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    most = F.least(c(x, "size") - c(x, "pos"), c(y, "size") - c(y, "pos"))
-    sizes = F.least(c(x, "size"), c(y, "size")) * LEAST[1] >= F.greatest(c(x, "size"), c(y, "size")) * LEAST[0]
-    return sizes & (most * sum(LEAST) >= (c(x, "size") + c(y, "size")) * LEAST[0])
+    return common.read_in(table.sparkSession, out)
+
+
+class Rows:
+    """Columns of bucket rows; ``own`` and ``home`` tell the block and whether the row's size class is the group's."""
+
+    KEY = ("gram", "cell", "low", "high")
+    NAMES = (*KEY, "node", "size", "pos", "part", "own", "home")
+
+    def __init__(self, columns: dict[str, np.ndarray]):
+        self.columns = columns
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Rows:
+        held = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in cls.NAMES}
+        raw = b"".join(batch.column("bits").to_pylist())
+        return cls(held | {"bits": np.frombuffer(raw, np.uint64).reshape(batch.num_rows, PARITY_BITS // 64)})
+
+    def __len__(self) -> int:
+        return len(self.columns["gram"])
+
+    def part(self, rows) -> Rows:
+        return Rows({k: v[rows] for k, v in self.columns.items()})
+
+    def and_then(self, other: Rows) -> Rows:
+        return Rows({k: np.concatenate([v, other.columns[k]]) for k, v in self.columns.items()})
+
+    def edges(self) -> np.ndarray:
+        """Where groups begin, and the end."""
+        keys = [self.columns[k] for k in self.KEY]
+        new = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1 if len(self) > 1 else np.empty(0, np.int64)
+        return np.concatenate([[0], new, [len(self)]])
+
+    def likely(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs of rows those that can be similar and are not connected, with the difference of their bitmaps.
+
+        If the shingle is the first that they share in the common order, no more is shared than stands from it on.
+        """
+        c = self.columns
+        both = c["size"][i] + c["size"][j]
+        most = np.minimum(c["size"][i] - c["pos"][i], c["size"][j] - c["pos"][j])
+        fits = (c["part"][i] != c["part"][j]) & (c["home"][i] | c["home"][j]).astype(bool) & (most * sum(LEAST) >= both * LEAST[0])
+        fits &= np.minimum(c["size"][i], c["size"][j]) * LEAST[1] >= np.maximum(c["size"][i], c["size"][j]) * LEAST[0]
+        i, j, both = i[fits], j[fits], both[fits]
+        apart = np.bitwise_count(c["bits"][i] ^ c["bits"][j]).sum(axis=1, dtype=np.int64)
+        # shared <= (both - apart) / 2, and similar sets share at least LEAST[0] / sum(LEAST) of both
+        near = (both - apart) * sum(LEAST) >= 2 * both * LEAST[0]
+        return i[near], j[near], apart[near]
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of rows of a group (of two blocks: of rows of one with the other), the row with the lesser node first."""
+        begin = self.edges()
+        starts, sizes = begin[:-1], np.diff(begin)
+        crossed = self.columns["low"][starts] != self.columns["high"][starts]
+        for n in np.unique(sizes[~crossed & (sizes <= 64)]):
+            if n < 2:
+                continue
+            a, b = np.triu_indices(n, 1)
+            here = starts[~crossed & (sizes == n)]
+            for at in range(0, len(here), max(1, AT_ONCE // len(a))):
+                some = here[at : at + max(1, AT_ONCE // len(a)), None]
+                yield (some + a).ravel(), (some + b).ravel()
+        for s, n, two in zip(starts[crossed | (sizes > 64)], sizes[crossed | (sizes > 64)], crossed[crossed | (sizes > 64)]):
+            step = max(1, AT_ONCE // n)
+            for at in range(0, n, step):
+                later = np.arange(s + at, s + min(n, at + step))
+                a, b = np.meshgrid(np.arange(s, later[-1]), later)
+                before = a < b
+                if two:
+                    before &= self.columns["own"][a] != self.columns["own"][b]
+                yield a[before], b[before]
+
+
+def candidates(rows: DataFrame, every: bool) -> DataFrame:
+    """``a, b``: pairs of nodes of a bucket in different parts that can be similar, ``every`` one or for each node the
+    likeliest before it.  ``rows``: ``gram, node, size, pos, part, bits, n``."""
+    own = ["gram", "node", "size", "pos", "part", "bits"]
+    zero = F.lit(0)
+    small = rows.where(F.col("n") <= BLOCK).select(*own, zero.alias("cell"), zero.alias("low"), zero.alias("high"), zero.alias("own"), F.lit(1).alias("home"))
+    level = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(CLASS))).cast("int")
+    placed = rows.where(F.col("n") > BLOCK).withColumn("at", F.explode(F.array(F.struct(level.alias("cell"), F.lit(1).alias("home")), F.struct((level + 1).alias("cell"), F.lit(0).alias("home")))))
+    placed = placed.select(*own, "at.cell", "at.home")
+    sizes = placed.groupBy("gram", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max("home").alias("homes")).where("homes = 1").drop("homes")
+    dealt = placed.join(sizes, ["gram", "cell"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    large = dealt.select(*own, "cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "home")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by group are streamed, one group held at a time."""
+        rest: Rows | None = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_000):
+                new = Rows.of(batch.slice(at, 2_000))
+                held = new if rest is None else rest.and_then(new)
+                last = held.edges()[-2]
+                rest = held.part(slice(last, None))
+                if last:
+                    yield chosen(held.part(slice(0, last)))
+        if rest is not None:
+            yield chosen(rest)
+
+    def chosen(held: Rows) -> pa.RecordBatch:
+        found = [held.likely(i, j) for i, j in held.pairs()]
+        i, j, apart = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(3))
+        node = held.columns["node"]
+        if not every:
+            order = np.lexsort((node[i], apart, j))
+            first = np.unique(j[order], return_index=True)[1]
+            i, j = i[order][first], j[order][first]
+        return pa.RecordBatch.from_pydict({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+
+    key = list(Rows.KEY)
+    both = small.select(*key, *own[1:], "own", "home").unionByName(large.select(*key, *own[1:], "own", "home"))
+    return both.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(find, "a long, b long").distinct()
 
 
 def ordered(x: str, y: str) -> list[Column]:
@@ -264,90 +366,57 @@ def fingerprint_pairs(classes: DataFrame) -> DataFrame:
     return close.unionByName(equal).select(*ordered("x", "y"))
 
 
-def round_pairs(placed: DataFrame, turn: int) -> DataFrame:
-    """``a, b``: each node with others of each of its buckets that are not in its component; in the first round the next by size,
-    then ``PARTNERS`` at random."""
-    block = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / BLOCK))
-    order = Window.partitionBy("gram", "block").orderBy(*(["size", "node"] if turn == 1 else [F.xxhash64("node", "gram", F.lit(-turn)), "node"]))
-    one = F.struct("node", "size", "pos", "part")
-    others = F.array(*[F.lag(one, k).over(order) for k in range(1, 2 if turn == 1 else PARTNERS + 1)])
-    near = placed.withColumn("block", block).select(one.alias("x"), others.alias("others")).select("x", F.explode("others").alias("y"))
-    return near.where(F.col("y").isNotNull()).where("x.part <> y.part").where(may_link("x", "y")).select(*ordered("x", "y"))
-
-
-def open_pairs(placed: DataFrame) -> DataFrame:
-    """``a, b``: all pairs of nodes of a bucket that may be linked and are in different components."""
-    several = placed.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("gram")
-    still = common.written(placed.join(several, "gram").select("gram", F.struct("node", "size", "pos", "part").alias("x")), "near-open")
-    both = still.join(still.withColumnRenamed("x", "y"), "gram")
-    return both.where("x.node < y.node and x.part <> y.part").where(may_link("x", "y")).select(*ordered("x", "y"))
-
-
 def components(table: DataFrame, classes: DataFrame, leads: DataFrame, text_col: str, row: str) -> DataFrame:
     """``node, component`` of all nodes that are linked to another.
 
-    ``table`` has the texts of ``row``; ``classes`` ``node, fp`` and ``leads`` ``node, size, first, light``, whose nodes are rows.
+    ``table`` has the texts of ``row``; ``classes`` ``node, fp`` and ``leads`` ``node, size, first, light, bits``, whose nodes are rows.
     """
-    met = common.written(buckets(leads), "near-buckets")
-    rows = met.count()
-    prefixes = leads.join(met.select("node").distinct(), "node", "left_semi").select("node", "size", "first")
-    prefixes = common.written(prefixes, "near-prefixes")
+    met = buckets(leads)
     common.release(table.sparkSession)
-    tried: DataFrame | None = None
     found: DataFrame | None = None
-    fruit = 1.0
-
-    def attempt(pairs: DataFrame) -> DataFrame:
-        """Components after one more set of pairs; each pair is tried once."""
-        nonlocal tried, found, fruit
-        pairs = pairs.distinct()
-        pairs = common.written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    tried: DataFrame | None = None
+    graph: DataFrame | None = None
+    for turn in range(ROUNDS + 1):
+        if graph is None:
+            pairs = candidates(met.withColumn("part", F.col("node")), False).unionByName(fingerprint_pairs(classes)).distinct()
+        else:
+            still = common.written(_apart(met, graph), "near-open")
+            pairs = candidates(still, turn == ROUNDS).join(tried, ["a", "b"], "left_anti")
+        pairs = common.written(pairs, "near-pairs")
+        if graph is not None:
+            common.discard(still)
+        links = linked(pairs, table, text_col, row)
+        log.info("near duplicates: round %s tried %s pairs, %s are linked", turn, pairs.count(), links.count())
         tried = pairs if tried is None else tried.unionByName(pairs)
-        with common.batches_of(table.sparkSession, 500):  # two prefixes a row
-            likely = common.written(hopeful(pairs, prefixes), "near-hopeful")
-        links = linked(likely, table, text_col, row)
-        common.discard(likely)
-        fruit = links.count() / max(1, pairs.count())
         found = links if found is None else found.unionByName(links)
-        out = common.written(common.connected_components(found), "near-components")
-        common.release(table.sparkSession)
-        return out
-
-    def place(graph: DataFrame, settled: int) -> DataFrame:
-        """Nodes and components of the buckets in which not all pairs have been tried yet."""
-        return common.written(met.where(F.col("n") > settled).join(graph, "node", "left").select("gram", "node", "size", "pos", "n", F.coalesce("component", "node").alias("part")), "near-placed")
-
-    begin = met.withColumn("part", F.col("node"))
-    graph = attempt(fingerprint_pairs(classes).unionByName(round_pairs(begin, 1)))
-    settled = min(2, BLOCK)  # the first round tries the pair of a bucket of two; a later one all pairs of PARTNERS + 1
-    for turn in range(2, ROUNDS + 2):
-        placed = place(graph, settled)
-        apart = placed.groupBy("gram", "part").agg(F.count("*").cast("double").alias("c")).groupBy("gram").agg(((F.sum("c") ** 2 - F.sum(F.col("c") ** 2)) / 2).alias("pairs"))
-        left = apart.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
-        log.info("near duplicates: %s rows in buckets, %s pairs apart, %.3f of the last pairs were links", rows, int(left), fruit)
-        if turn > ROUNDS or left <= rows or fruit < FRUITFUL:
-            break
-        graph, settled = attempt(round_pairs(placed, turn)), min(PARTNERS + 1, BLOCK)
-    if left:
-        graph = attempt(open_pairs(placed))
-    common.discard(met, prefixes)
+        before, graph = graph, common.written(common.connected_components(found), "near-components")
+        if before is not None:
+            common.discard(before)
+    common.discard(met, tried, found)
     return graph
 
 
+def _apart(met: DataFrame, graph: DataFrame) -> DataFrame:
+    """Rows of the buckets whose nodes are not all in one component, with the component as ``part``."""
+    placed = met.join(graph, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    several = placed.groupBy("gram").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("gram")
+    return placed.join(several, "gram", "left_semi")
+
+
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's columns, one row of each component: that with the least id, null last, and of repeated rows the first."""
     common.release(docs.sparkSession)
     (row,) = common.fresh(docs, "row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    names = common.fresh(numbered, "set", "size", "fp", "first", "light")
+    names = common.fresh(numbered, "set", "size", "fp", "first", "light", "bits")
     table = common.written(with_sets(numbered, text_col, names), "shingle-sets")  # freezes the row numbers
-    own = table.select(F.col(row).alias("node"), *[F.col(n).alias(k) for n, k in zip(names, ("set", "size", "fp", "first", "light"))])
+    own = table.select(F.col(row).alias("node"), *[F.col(n).alias(k) for n, k in zip(names, ("set", "size", "fp", "first", "light", "bits"))])
     order = F.struct(F.col(id_col).isNull().alias("without"), F.col(id_col).alias("id"), F.col(row).alias("row"))
     classes = table.groupBy(F.col(names[0]).alias("set")).agg(F.min(order).alias("least"), F.min(row).alias("node"), F.first(names[2]).alias("fp"), F.count("*").alias("n"))
     classes = common.written(classes, "shingle-classes")
     copies = own.select("set", "node").join(classes.where("n > 1").select("set", F.col("node").alias("lead")), "set").where("node <> lead")
     copies = common.written(copies.select("node"), "shingle-copies")
-    leads = own.select("node", "size", "first", "light").join(copies, "node", "left_anti")
+    leads = own.select("node", "size", "first", "light", "bits").join(copies, "node", "left_anti")
     graph = components(table, classes.select("node", "fp"), leads, text_col, row)
     placed = classes.select("set", "node", "least").join(graph, "node", "left").select("set", "least", F.coalesce("component", "node").alias("component"))
     placed = common.written(placed, "near-placed")
