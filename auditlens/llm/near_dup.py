@@ -183,28 +183,41 @@ def buckets(leads: DataFrame) -> DataFrame:
 
         return run
 
+    counted = pa.schema([*arrow, ("n", pa.int32())])
+
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by shingle, those whose shingle the row before or after has."""
-        before, held = None, None  # the shingle before the held row, and the last row, still open
+        """Of rows sorted by shingle, those whose shingle others have too, with their number (``BLOCK + 1`` for more)."""
+        held, large = None, None  # rows of the shingle that is still open, and a shingle known to have more than a block
+
+        def told(tab: pa.Table) -> Iterator[pa.RecordBatch]:
+            gram = tab.column("gram").to_numpy()
+            _, place, n = np.unique(gram, return_inverse=True, return_counts=True)
+            n = np.where(gram == large, BLOCK + 1, np.minimum(n[place], BLOCK + 1)) if large is not None else np.minimum(n[place], BLOCK + 1)
+            yield from tab.append_column("n", pa.array(n, pa.int32())).filter(pa.array(n > 1)).to_batches()
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tab = pa.Table.from_batches([batch] if held is None else [held, batch])
+            tab = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             gram = tab.column("gram").to_numpy()
-            same = gram[1:] == gram[:-1]
-            keep = np.concatenate([[before is not None and before == gram[0]], same]) | np.concatenate([same, [False]])
-            yield from tab.slice(0, len(gram) - 1).filter(pa.array(keep[:-1])).to_batches()
-            before, held = (gram[-2] if len(gram) > 1 else before), tab.slice(len(gram) - 1).combine_chunks().to_batches()[0]
-        if held is not None and before is not None and before == held.column("gram")[0].as_py():
-            yield held
+            last = int(np.searchsorted(gram, gram[-1]))
+            yield from told(tab.slice(0, last))
+            held = tab.slice(last).combine_chunks()
+            if len(held) > BLOCK or gram[-1] == large:
+                large = gram[-1]
+                yield from told(held)
+                held = None
+        if held is not None:
+            yield from told(held)
 
     names = "gram long, node long, size int, pos int, bits binary"
-    # rare shingles meet in a shuffle; frequent ones, which may be very frequent, are known to be shared
-    rare = leads.mapInArrow(spread(False), names).repartition("gram").sortWithinPartitions("gram").mapInArrow(shared, names)
-    met = common.written(rare.unionByName(leads.mapInArrow(spread(True), names)), "near-met")
-    counted = common.written(met.join(met.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "gram"), "near-buckets")
-    common.discard(met)
-    return counted
+    # rare shingles meet in one shuffle, which counts them; frequent ones, which may be very frequent, are counted before it
+    rare = leads.mapInArrow(spread(False), names).repartition("gram").sortWithinPartitions("gram").mapInArrow(shared, f"{names}, n int")
+    often = common.written(leads.mapInArrow(spread(True), names), "near-frequent")
+    sizes = often.groupBy("gram").agg(F.least(F.count("*"), F.lit(BLOCK + 1)).cast("int").alias("n")).where("n > 1")
+    met = common.written(rare.unionByName(often.join(sizes, "gram").select(*counted.names)), "near-buckets")
+    common.discard(often)
+    return met
 
 
 def joined(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
