@@ -38,11 +38,24 @@ def in_slices(parts: DataFrame, length: int) -> DataFrame:
     return rows
 
 
-def carried(rows: DataFrame) -> DataFrame:
-    """Per slice what its lifecycle had before, and in all: a row per slice."""
+def summaries(rows: DataFrame, past: DataFrame | None = None) -> DataFrame:
+    """``size, first, tail`` of every slice, a row each; ``past`` has rows of the same columns for what lies before all slices."""
     # newest first: the last operations of a slice
     tail = F.transform(F.reverse(F.array_sort(F.collect_list(F.when(F.col("at") > F.col("of") - HISTORY, F.struct("at", "op"))))), lambda x: x["op"])
     slices = rows.groupBy(*KEY).agg(F.count("*").alias("size"), F.min("t_us").alias("first"), tail.alias("tail"))
+    return slices if past is None else slices.unionByName(past)
+
+
+def ends(slices: DataFrame) -> DataFrame:
+    """``corr, size, first, tail`` of each lifecycle after all its slices: what later events of it need."""
+    back = Window.partitionBy("part", "corr").orderBy(F.desc("slice"))
+    near = F.array_sort(F.collect_list(F.when(F.col("back") <= HISTORY, F.struct("back", "tail"))))
+    tail = F.slice(F.flatten(F.transform(near, lambda x: x["tail"])), 1, HISTORY)
+    return slices.withColumn("back", F.row_number().over(back)).groupBy("part", "corr").agg(F.sum("size").alias("size"), F.min("first").alias("first"), tail.alias("tail")).drop("part")
+
+
+def carried(slices: DataFrame) -> DataFrame:
+    """Per slice what its lifecycle had before, and in all: a row per slice."""
     order, every = Window.partitionBy("part", "corr").orderBy("slice"), Window.partitionBy("part", "corr")
     near = order.rowsBetween(-HISTORY, -1)  # each slice has an event, so four slices hold all that is needed
     return slices.select(
@@ -54,12 +67,12 @@ def carried(rows: DataFrame) -> DataFrame:
     )
 
 
-def with_history(rows: DataFrame) -> DataFrame:
+def with_history(rows: DataFrame, slices: DataFrame | None = None) -> DataFrame:
     """Rows of ``in_slices`` with ``idx`` (from 1), ``n``, ``elapsed`` (seconds) and ``h1``..``h4``.
 
-    History starts anew in each part.
+    History starts anew in each part; with ``slices``, summaries of the rows and of a past, it goes on from there.
     """
-    out = rows.join(carried(rows), KEY)
+    out = rows.join(carried(summaries(rows) if slices is None else slices), KEY)
     for k in range(1, HISTORY + 1):
         # the k-th operation back lies k - at before the slice's start once the slice has none
         back = F.get("past", (F.lit(k) - F.col("at")).cast("int"))

@@ -157,6 +157,31 @@ qa1 AS (SELECT *, row_number() OVER (ORDER BY total_score DESC, timestamp_range
 qa2 AS (
   SELECT *, row_number() OVER (ORDER BY context_inconsistency DESC, total_score DESC, csv_pos) AS number FROM a_told
   WHERE context_inconsistency > 0 AND csv_pos NOT IN (SELECT csv_pos FROM qa1) QUALIFY number <= 20),
+all_h AS (
+  SELECT *, coalesce(lag(op, 1) OVER w, 'START') AS h1, coalesce(lag(op, 2) OVER w, 'START') AS h2, coalesce(lag(op, 3) OVER w, 'START') AS h3,
+         coalesce(lag(op, 4) OVER w, 'START') AS h4, row_number() OVER w AS idx, (t_us - first_value(t_us) OVER w) / 1e6 AS elapsed
+  FROM ev WINDOW w AS (PARTITION BY corr ORDER BY t_us, seq)),
+kept AS (SELECT * FROM all_h WHERE t_us // 864000000000 <> (SELECT DISTINCT t_us // 864000000000 AS p FROM ev ORDER BY p LIMIT 1 OFFSET 1)),
+k_sess AS (SELECT caller, t_us // 1800000000 AS bucket, count(*) AS events, (min(t_us) % 86400000000) / 3.6e9 AS hour FROM kept GROUP BY 1, 2),
+n_ngram AS (SELECT caller, h4, h3, h2, h1, op, count(*) AS cnt FROM test GROUP BY ALL),
+n_op AS (SELECT op, avg(elapsed) AS dur_mean, avg(idx) AS idx_mean FROM test GROUP BY op),
+grams AS (
+  SELECT coalesce(a.caller, b.caller) AS caller, coalesce(a.h4, b.h4) AS h4, coalesce(a.h3, b.h3) AS h3, coalesce(a.h2, b.h2) AS h2, coalesce(a.h1, b.h1) AS h1,
+         coalesce(a.op, b.op) AS op, coalesce(a.cnt, 0) AS old_cnt, coalesce(b.cnt, 0) AS new_cnt,
+         CASE WHEN a.cnt IS NULL THEN 'new' WHEN b.cnt IS NULL THEN 'lost' ELSE 'kept' END AS change
+  FROM m_ngram a FULL JOIN n_ngram b ON a.caller IS NOT DISTINCT FROM b.caller AND a.h4 = b.h4 AND a.h3 = b.h3 AND a.h2 = b.h2 AND a.h1 = b.h1 AND a.op = b.op),
+outcomes AS (
+  SELECT 'A' AS track, caller, total_score, CASE WHEN effective_signal_count >= 2 THEN 'HIGH_CONFIDENCE' WHEN effective_signal_count = 1 AND structural_violation = 1 THEN 'LOW_CONFIDENCE'
+           WHEN effective_signal_count = 1 THEN 'MODERATE' ELSE 'UNCLASSIFIED' END AS uncertainty,
+         CASE WHEN context_inconsistency > 0 THEN 'Lateral Boundary Crossing' WHEN structural_violation = 1 AND duration_deviation > 0.8 THEN 'Critical Deployment/Migration Shift'
+           WHEN structural_violation = 1 THEN 'New Microservice Routine' WHEN duration_deviation > 0.8 THEN 'Latency / Retry Loop'
+           WHEN length_deviation > 0.8 THEN 'Stalled Operation' ELSE 'Unclassified Structural Anomaly' END AS category FROM a_rows
+  UNION ALL
+  SELECT 'B', caller, total_score, CASE WHEN effective_signal_count >= 2 THEN 'HIGH_CONFIDENCE' WHEN effective_signal_count = 1 AND new_op = 1 THEN 'LOW_CONFIDENCE'
+           WHEN effective_signal_count = 1 THEN 'MODERATE' ELSE 'UNCLASSIFIED' END,
+         CASE WHEN new_ip = 1 AND new_op = 1 AND round(activity_dev, 3) > 0.5 THEN 'Possible Credential/Token Compromise' WHEN new_ip = 1 AND new_op = 0 AND new_prov = 0 THEN 'VPN / Routing Shift'
+           WHEN new_op = 1 AND round(activity_dev, 3) > 0.8 AND new_ip = 0 THEN 'Automation / Batch Script Change' WHEN (new_rg = 1 OR new_prov = 1) AND new_ip = 0 THEN 'RBAC Role Expansion'
+           WHEN round(hour_dev, 3) > 0.8 AND new_op = 1 THEN 'Off-Hours Deviation' ELSE 'Unclassified Behavioral Drift' END FROM s_sig),
 verdicts AS (
   SELECT CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'B' END AS track, 'bucket-' || (doc_id % 6) AS bucket,
          CASE WHEN toxic = 1 THEN 'CONFIRMED_ANOMALY' WHEN quality = 1 AND doc_id % 5 = 0 THEN 'UNREVIEWED' ELSE 'BENIGN_FALSE_POSITIVE' END AS decision
@@ -206,6 +231,34 @@ LAST = {
         FROM ev WINDOW w AS (PARTITION BY caller ORDER BY t_us RANGE BETWEEN 1800000000 PRECEDING AND CURRENT ROW)""",
     "lifecycles_open_together": """SELECT a.grp, a.party AS party_a, b.party AS party_b, count(*) AS pairs, CAST(sum(least(a.fin, b.fin) - greatest(a.beg, b.beg)) AS BIGINT) AS shared_us
         FROM spans a JOIN spans b ON a.grp = b.grp AND a.party < b.party AND a.beg <= b.fin AND b.beg <= a.fin GROUP BY ALL""",
+    "baselines_merged_ngrams": "SELECT caller, h4, h3, h2, h1, op, count(*) AS cnt FROM kept GROUP BY ALL",
+    "baselines_merged_operations": """SELECT op, round(avg(elapsed), 3) AS dur_mean, round(stddev_pop(elapsed), 3) AS dur_std, round(avg(idx), 6) AS idx_mean,
+        round(stddev_pop(idx), 6) AS idx_std FROM kept GROUP BY op""",
+    "baselines_merged_callers": """SELECT * FROM (SELECT caller, round(avg(events), 6) AS rate_mean, round(stddev_pop(events), 6) AS rate_std, round(avg(hour), 6) AS hour_mean FROM k_sess GROUP BY caller)
+        JOIN (SELECT caller, count(DISTINCT op) AS op_values, count(DISTINCT prov) AS prov_values, count(DISTINCT sub) AS sub_values, count(DISTINCT rg) AS rg_values,
+                count(DISTINCT rtype) AS rtype_values, count(DISTINCT ip) AS ip_values FROM kept GROUP BY caller) USING (caller)""",
+    "generation_ngram_changes": "SELECT * FROM grams",
+    "generation_caller_drift": """SELECT caller, any_value(n) AS new, any_value(l) AS lost, any_value(k) AS kept, CAST(any_value(o) AS BIGINT) AS old_events, CAST(any_value(w) AS BIGINT) AS new_events,
+        CASE WHEN any_value(o) > 0 AND any_value(w) > 0 THEN round(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 6) END AS divergence
+        FROM (SELECT g.*, n, l, k, o, w, old_cnt / CAST(o AS DOUBLE) AS p, new_cnt / CAST(w AS DOUBLE) AS q FROM grams g
+              JOIN (SELECT caller, count(*) FILTER (change = 'new') AS n, count(*) FILTER (change = 'lost') AS l, count(*) FILTER (change = 'kept') AS k,
+                      sum(old_cnt) AS o, sum(new_cnt) AS w FROM grams GROUP BY caller) USING (caller)) GROUP BY caller""",
+    "generation_seen_changes": """SELECT caller, dim, count(*) FILTER (was IS NULL) AS new, count(*) FILTER ("is" IS NULL) AS lost, count(*) FILTER (was AND "is") AS kept
+        FROM (SELECT *, true AS was FROM m_seen) FULL JOIN (SELECT DISTINCT caller, dim, val, true AS "is" FROM t_vals) USING (caller, dim, val) GROUP BY caller, dim""",
+    "generation_operation_shift": """SELECT coalesce(a.op, b.op) AS op, CASE WHEN a.op IS NULL THEN 'new' WHEN b.op IS NULL THEN 'lost' ELSE 'kept' END AS change,
+        round((b.dur_mean - a.dur_mean) / nullif(a.dur_std, 0), 6) AS dur_shift, round((b.idx_mean - a.idx_mean) / nullif(a.idx_std, 0), 6) AS idx_shift
+        FROM m_op a FULL JOIN n_op b ON a.op IS NOT DISTINCT FROM b.op""",
+    "outcomes_by_cause": """SELECT track, category, caller, CAST(grouping(track, category, caller) AS BIGINT) AS level, count(*) AS outcomes, max(total_score) AS highest, round(avg(total_score), 6) AS mean_score
+        FROM outcomes GROUP BY GROUPING SETS ((track, category, caller), (track, category), (track, caller), (caller), (track), ())""",
+    "outcomes_by_confidence": """SELECT track, uncertainty, category, CAST(grouping(track, uncertainty, category) AS BIGINT) AS level, count(*) AS outcomes, max(total_score) AS highest,
+        round(avg(total_score), 6) AS mean_score FROM outcomes GROUP BY ROLLUP (track, uncertainty, category)""",
+    "verdict_cube": """SELECT track, bucket, decision, CAST(grouping(track, bucket, decision) AS BIGINT) AS level, count(*) AS verdicts
+        FROM verdicts GROUP BY CUBE (track, bucket, decision)""",
+    "sketch_distincts": "\nUNION ALL ".join(
+        f"SELECT op, '{c}' AS \"column\", count(DISTINCT {c}) AS exact, true AS within FROM hist GROUP BY op" for c in ("caller", "ip", "corr")
+    ),
+    "sketch_elapsed_quantiles": """SELECT op, share, count(*) AS "values", true AS within
+        FROM hist, (VALUES (0.5e0), (0.9e0), (0.99e0)) s(share) GROUP BY op, share""",
     "time_bucket_30m": "SELECT seq, CAST(floor(t_us / 1800000000.0) AS BIGINT) AS bucket FROM ev",
     "hour_of_day": "SELECT seq, round((t_us % 86400000000) / 3.6e9, 6) AS hour FROM ev",
     "iso_range_format": f"SELECT seq, {_ISO.format('t_us')} || ' — ' || {_ISO.format('(t_us + 90000000)')} AS window_text FROM ev",

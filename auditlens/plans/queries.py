@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, times
-from ..operators import carry, evaluate, lifecycle, model, overlap, packet, session, split
-from ..schema import DIMENSIONS, LIFECYCLE_ALERT, SESSION_ALERT
+from ..operators import carry, evaluate, generations, lifecycle, model, overlap, packet, session, sketches, split, subtotals
+from ..schema import DAY_US, DIMENSIONS, LIFECYCLE_ALERT, SESSION_ALERT
 from ..sources.activity_csv import load_events
+from ..sources.baselines import BaselineStore
 from ..sources.events_view import activity, verdicts
 from ..sources.feedback import FeedbackStore
 from ..sources.shared import shared_path
@@ -132,6 +133,56 @@ def _events_before(a: Analysis) -> DataFrame:
     return carry.within_before(rows, CALLER, TIME, TIE, carry.GAP_US, {"events": F.count("*"), "last_op": F.max("op")}, 4).select("seq", "events", "last_op")
 
 
+#: Days of a period of the stored baselines in the queries.
+DAYS = 10
+
+
+def _stored(a: Analysis) -> model.Model:
+    """Baselines of all events, added by period, compacted, and then without the second period."""
+    store = BaselineStore(a.events.sparkSession, shared_path(a.events.sparkSession, "baselines"), DAYS * DAY_US)
+    store.add_all(a.events)
+    store.compact()
+    store.take_out(store.periods()[1])
+    return store.model()
+
+
+def _stored_callers(a: Analysis) -> DataFrame:
+    """Stored baselines of each caller, with the number of values of each dimension it has used."""
+    kept = _stored(a)
+    used = kept.seen.groupBy("caller").agg(*[F.count_if(F.col("dim") == d).alias(f"{d}_values") for d in DIMENSIONS])
+    return kept.callers.select("caller", *_six("rate_mean", "rate_std", "hour_mean")).join(used, "caller")
+
+
+def _changes(a: Analysis) -> DataFrame:
+    """N-grams of the training part against those of the test part."""
+    return generations.ngram_changes(a.ngrams, model.ngrams(a.test_history))
+
+
+def _drift(a: Analysis) -> DataFrame:
+    return generations.caller_drift(_changes(a)).withColumn("divergence", F.round("divergence", 6))
+
+
+def _shift(a: Analysis) -> DataFrame:
+    moved = generations.operation_shift(a.operations, model.operations(a.test_history))
+    return moved.select("op", "change", *_six("dur_shift", "idx_shift"))
+
+
+def _outcomes(a: Analysis) -> DataFrame:
+    return subtotals.diagnosed(a.lifecycle_rows, session.with_signals(a.sessions))
+
+
+def _distincts(a: Analysis) -> DataFrame:
+    """Distinct values of each operation by sketches of days, merged, beside the exact counts."""
+    days = sketches.daily(a.rows)
+    return sketches.check_distincts(sketches.distincts(sketches.merged(days, "op"), "op"), a.rows)
+
+
+def _quantiles(a: Analysis) -> DataFrame:
+    """Quantiles of elapsed times of each operation by sketches of days, merged, and whether their ranks are right."""
+    days = sketches.daily(a.history, "elapsed")
+    return sketches.check_quantiles(sketches.quantiles(sketches.merged(days, "op"), "op"), a.history, "elapsed")
+
+
 def _on(function: Callable[[Analysis], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: function(Analysis(activity(spark, sf_dir)))
 
@@ -207,4 +258,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "range_frame_half_hour": _on(_events_before),
     "lifecycles_open_together": _on(lambda a: overlap.open_together(overlap.lifecycle_spans(a.events))),
     "feedback_append_roundtrip": feedback_append_roundtrip,
+    "baselines_merged_ngrams": _on(lambda a: _stored(a).ngrams),
+    "baselines_merged_operations": _on(lambda a: _stored(a).operations.select("op", *[F.round(c, 3).alias(c) for c in ("dur_mean", "dur_std")], *_six("idx_mean", "idx_std"))),
+    "baselines_merged_callers": _on(_stored_callers),
+    "generation_ngram_changes": _on(_changes),
+    "generation_caller_drift": _on(_drift),
+    "generation_seen_changes": _on(lambda a: generations.seen_changes(a.seen, model.seen(a.test))),
+    "generation_operation_shift": _on(_shift),
+    "outcomes_by_cause": _on(lambda a: subtotals.by_cause(_outcomes(a))),
+    "outcomes_by_confidence": _on(lambda a: subtotals.by_confidence(_outcomes(a))),
+    "verdict_cube": lambda spark, sf_dir: subtotals.verdict_cube(verdicts(spark, sf_dir)),
+    "sketch_distincts": _on(_distincts),
+    "sketch_elapsed_quantiles": _on(_quantiles),
 }
