@@ -152,7 +152,7 @@ def test_large_csv_is_split_unless_a_cell_has_a_line_break(spark, tmp_path):
     header, row = ["timestamp_epoch", "operation", "caller", "correlation_id"], ["{}", "o,\"q\"", "c", "k"]
     plain = write(tmp_path / "plain.csv", header, [[str(i), *row[1:]] for i in range(5_000)], bom=True)
     broken = write(tmp_path / "broken.csv", header, [["1", "o\np", "c", "k"]])
-    assert not activity_csv.has_breaks(spark, plain) and activity_csv.has_breaks(spark, broken)
+    assert [f.breaks for f in activity_csv.files(spark, plain) + activity_csv.files(spark, broken)] == [False, True]
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
     try:
         got = load_events(spark, plain)
@@ -163,6 +163,30 @@ def test_large_csv_is_split_unless_a_cell_has_a_line_break(spark, tmp_path):
     assert [r.t_us for r in rows] == [i * 1_000_000 for i in range(5_000)] and {r.op for r in rows} == {'O,"Q"'}
 
 
+def test_one_file_with_line_breaks_leaves_the_others_split_and_all_in_order(spark, tmp_path):
+    header, folder = ["timestamp_epoch", "operation", "caller", "correlation_id"], tmp_path / "export 1%"
+    folder.mkdir()
+    sizes = {"a.csv": 3, "b ü.csv": 4_000, "c.csv": 40, "d.csv": 2_500}  # Spark packs files by size
+    want = []
+    for name, n in sizes.items():
+        rows = [[str(len(want) + i), "x\ny" if name == "c.csv" and i % 2 else "o", name, "k"] for i in range(n)]
+        write(folder / name, header, rows)
+        want += [(int(r[0]) * 1_000_000, r[1].upper(), name) for r in rows]
+    (folder / "0.csv").write_text("\n\n")
+    assert {f.name.rsplit("/")[-1]: f.breaks for f in activity_csv.files(spark, str(folder))} == {"a.csv": False, "b%20ü.csv": False, "c.csv": True, "d.csv": False}
+    for conf in ({}, {"spark.sql.files.maxPartitionBytes": "8k"}, {"spark.sql.files.maxPartitionBytes": "8k", "spark.sql.files.openCostInBytes": "100"}):
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        try:
+            got = load_events(spark, str(folder))
+            assert not conf or got.rdd.getNumPartitions() > 8
+            rows = got.orderBy("seq").collect()
+        finally:
+            for key in conf:
+                spark.conf.unset(key)
+        assert len({r.seq for r in rows}) == len(want) and [(r.t_us, r.op, r.caller) for r in rows] == want
+
+
 def test_native_wins_and_ignores_generic_columns(spark, tmp_path):
     header = ["TimeGenerated", "OperationNameValue", "Caller", "CorrelationId", "resource_type", "timestamp_epoch", "operation", "correlation_id"]
     path = write(tmp_path / "n.csv", header, [["2024-01-01T00:00:00+00:00", "x/y", "c", "k", "IGNORED", "5", "other", "z"]])
