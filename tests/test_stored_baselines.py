@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from auditlens.cli import main
 from auditlens.operators import generations, model, sequence, sketches, subtotals
 from auditlens.schema import DAY_US, EVENT
 from auditlens.sources.baselines import BaselineStore
@@ -97,6 +98,17 @@ def test_a_day_that_broke_off_or_is_empty_changes_nothing(spark, store, events,
         BaselineStore(spark, store.path + "-none").states()
 
 
+def test_command_line(spark, tmp_path, capsys):
+    export, where, saved = tmp_path / "in.csv", str(tmp_path / "kept"), str(tmp_path / "model")
+    lines = [f"{day * 86_400 + k},op{k % 2},u,c{k % 3}" for day in (0, 1) for k in range(4)]
+    export.write_text("\n".join(["timestamp_epoch,operation,caller,correlation_id", *lines]) + "\n")
+    assert main(["baselines", "--store", where, "-i", str(export), "--take-out", "1970-01-02", "--model-dir", saved]) == 0
+    assert "1 days count" in capsys.readouterr().out
+    assert model.Model.load(spark, saved).ngrams.agg(F.sum("cnt")).first()[0] == 4
+    assert main(["baselines", "--store", where, "--take-out", "1970-01-02"]) == 1
+    assert "no period" in capsys.readouterr().err
+
+
 def gram(caller, op, cnt):
     return (caller, None, "x", "y", "z", op, cnt)
 
