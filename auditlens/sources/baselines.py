@@ -12,6 +12,8 @@ count: a folder that is not in it, such as that of a job that broke off, is not
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -85,8 +87,8 @@ class BaselineStore:
         rows = written(sequence.in_slices(events.withColumn("part", F.lit("train")), sequence.slice_length(bounds.fullest)), "period")
         slices = written(sequence.summaries(rows, self._past(known, period, rows.select("corr").distinct())), "slices")
         # a new folder for each attempt: one that broke off stays out of the log
-        folder = f"period={period}-{len(known)}-{self.spark.sparkContext.applicationId}-{id(rows):x}"
-        put = lambda df, name: df.write.mode("overwrite").parquet(f"{self.path}/{folder}/{name}")
+        folder = f"period-{period}-{uuid.uuid4().hex}"
+        put = lambda df, name: df.write.parquet(f"{self.path}/{folder}/{name}")
         put(sequence.ends(slices).withColumn("period", F.lit(period).cast("long")), "carry")
         for name, state in states.of_events(sequence.with_history(rows, slices), rows).items():
             put(state, name)
@@ -113,9 +115,9 @@ class BaselineStore:
         known = self.entries()
         if not known:
             return
-        folder = f"all-{len(known)}-{self.spark.sparkContext.applicationId}"
+        folder = f"all-{uuid.uuid4().hex}"
         for name, state in self.states().items():
-            state.write.mode("overwrite").parquet(f"{self.path}/{folder}/{name}")
+            state.write.parquet(f"{self.path}/{folder}/{name}")
         self._record(known, ("all", None, folder))
 
     def states(self, version: int | None = None) -> dict[str, DataFrame]:
