@@ -23,6 +23,7 @@ def count_true(*conditions: Column) -> Column:
     return total.cast("long")
 
 
+# fixed values: the names of signals and the texts of explanations below are those of the reports
 def joined(parts: list[tuple[Column, str]], separator: str) -> Column:
     """The texts whose condition holds, joined in order; empty if none."""
     return F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in parts])), separator)

@@ -193,6 +193,33 @@ _B = "timestamp_range, caller, total_score, effective_signal_count, dominant_sig
 _TOLD = "category, cause, uncertainty"
 _ISO = "CASE WHEN {0} % 1000000 = 0 THEN strftime(make_timestamp({0}), '%Y-%m-%dT%H:%M:%S') ELSE strftime(make_timestamp({0}), '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00'"
 
+
+
+def _cells(artefact: str, columns: str, table: str) -> str:
+    """Published cells of an alert table, scores with three digits."""
+    texts = ("timestamp_range", "caller", "correlation_id", "dominant_signal", "explanation", "sequence_context", "session_context")
+    counts = ("effective_signal_count", "pattern_count")
+    names = [c for c in columns.split(", ") if c != "csv_pos"]
+    told = [c if c in texts else f"CAST({c} AS VARCHAR) AS {c}" if c in counts else f"CAST(CAST({c} AS DECIMAL(18, 3)) AS VARCHAR) AS {c}" for c in names]
+    return f"SELECT '{artefact}' AS artefact, csv_pos AS pos, field, value FROM (SELECT csv_pos, {', '.join(told)} FROM {table}) UNPIVOT (value FOR field IN ({', '.join(names)}))"
+
+
+def _entries(queue: str, table: str, number: str, subject: str, scores: dict[str, str]) -> str:
+    """Entries of a queue as the packet shows them."""
+    told = " || ' | ' || ".join(f"'{label} `' || {column} || '`'" for label, column in scores.items())
+    lines = f"'{queue}-' || {number} || '. `' || {subject} || '`', '**Window:** ' || timestamp_range, '**Uncertainty:** ' || uncertainty, '**Category:** ' || category, '**Cause:** ' || cause, '**Scores:** ' || {told}"
+    return f"SELECT 'diagnosed_review_packet.md', {number}, '{queue}', concat_ws(chr(10), {lines}) FROM {table} WHERE {number} <= 20"
+
+
+_SCORES_A = {
+    "Total": "total_score", "Eff. Signals": "effective_signal_count", "Pattern Instances": "pattern_count", "Struct": "structural_violation",
+    "Rarity": "sequence_rarity", "Duration": "duration_deviation", "Length": "length_deviation", "Context": "context_inconsistency",
+}
+_SCORES_B = {
+    "Total": "total_score", "Eff. Signals": "effective_signal_count", "Dominant Signal": "dominant_signal", "New Ops": "new_op",
+    "New IP": "new_ip", "New RG": "new_rg", "Act Spike": "activity_dev", "Hour Dev": "hour_dev",
+}
+
 LAST = {
     "ingest_canonical": "SELECT * FROM ev",
     "ingest_derive_rtype": "SELECT op, rtype, count(*) AS events FROM ev GROUP BY op, rtype",
@@ -219,6 +246,24 @@ LAST = {
         CASE WHEN doc_id % 2 = 0 THEN 'SOC_ANALYST' ELSE 'second' END AS reviewer_ids,
         CASE WHEN toxic = 1 OR quality <> 1 OR doc_id % 5 <> 0 THEN 'CERTAIN' END AS confidence, CASE WHEN doc_id % 2 = 1 THEN 'ticket' END AS fn_source, 0 AS disagreement_flag
         FROM labels""",
+    "artefacts_roundtrip": "\nUNION ALL ".join([
+        _cells("top_lifecycle_anomalies.csv", _A, "a_alerts"), _cells("top_actor_anomalies.csv", _B, "b_alerts"),
+        "SELECT 'manifest.json', CAST(0 AS BIGINT), field, value FROM (VALUES ('generated_utc', 'a time'), ('track_a_scored', (SELECT CAST(count(*) AS VARCHAR) FROM lc)), "
+        "('track_b_scored', (SELECT CAST(count(*) AS VARCHAR) FROM ses)), ('track_a_deduplicated_patterns', (SELECT CAST(count(*) AS VARCHAR) FROM pat))) m(field, value)",
+        "SELECT 'diagnosed_review_packet.md', row_number() OVER (ORDER BY place), 'heading', value FROM (VALUES (1, '# Diagnosed Analyst Review Packet'), "
+        "(2, '## Track A — Queue 1: Top 20 by Total Score'), (3, '## Track A — Queue 2: Top 20 by Context Inconsistency'), "
+        "(4, '## Track B — Caller 30-Minute Session Drift')) h(place, value) WHERE place <> 3 OR EXISTS (SELECT 1 FROM qa2)",
+        _entries("A1", "qa1", "number", "correlation_id", _SCORES_A), _entries("A2", "qa2", "number", "correlation_id", _SCORES_A), _entries("B", "b_told", "csv_pos", "caller", _SCORES_B),
+    ]),
+    "input_guards": """SELECT "case", error, message, CASE "case" WHEN 'some unreadable times' THEN timed WHEN 'dry run' THEN timed WHEN 'both parts' THEN dealt END AS events
+        FROM (VALUES ('missing file', 'FileNotFoundError', 'There is no log export at <path>; --input takes the path of one.'),
+            ('empty file', 'ValueError', 'No header line in <path>: the file is empty.'),
+            ('unknown headers', 'ValueError', 'The headers of <path> fit neither layout. They are [''caller_ip'', ''correlation_id'', ''operation'', ''provider'', ''resource_group'', ''resource_type'', ''subscription'', ''timestamp_epoch'']; the native layout needs [''caller'', ''correlationid'', ''operationnamevalue'', ''timegenerated''], the generic one [''caller'', ''correlation_id'', ''operation'', ''timestamp_epoch''].'),
+            ('no readable time', 'ValueError', 'Not one row of <path> has a readable time.'),
+            ('some unreadable times', NULL, NULL), ('dry run', NULL, NULL),
+            ('nothing to learn from', 'ValueError', 'No event falls into the first 70 % of the time span, so there is nothing to learn from.'),
+            ('nothing to score', 'ValueError', 'No event falls into the last 15 % of the time span, so there is nothing to score.'), ('both parts', NULL, NULL)) c("case", error, message)
+        CROSS JOIN (SELECT count(*) FILTER (seq % 7 <> 0) AS timed, count(*) FILTER (part <> 'val') AS dealt FROM parts)""",
     "asof_last_other_address": """SELECT e.seq, max_by(p.seq, (p.t_us, p.seq)) AS other_seq, max_by(p.ip, (p.t_us, p.seq)) AS other_ip, e.t_us - max(p.t_us) AS since_us
         FROM ev e LEFT JOIN ev p ON p.caller = e.caller AND p.ip <> e.ip AND (p.t_us < e.t_us OR p.t_us = e.t_us AND p.seq < e.seq) GROUP BY e.seq, e.t_us""",
     "asof_error_last_purchase": """SELECT e.seq, p.seq AS last_seq, p.op AS last_op, e.t_us - p.t_us AS since_us

@@ -15,6 +15,7 @@ from ..sources.baselines import BaselineStore
 from ..sources.events_view import activity, verdicts
 from ..sources.feedback import FeedbackStore
 from ..sources.shared import shared_path
+from . import artefacts
 from .analyze import Analysis
 
 A = [*LIFECYCLE_ALERT, "csv_pos"]
@@ -258,6 +259,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "range_frame_half_hour": _on(_events_before),
     "lifecycles_open_together": _on(lambda a: overlap.open_together(overlap.lifecycle_spans(a.events))),
     "feedback_append_roundtrip": feedback_append_roundtrip,
+    "artefacts_roundtrip": lambda spark, sf_dir: artefacts.roundtrip(activity(spark, sf_dir)),
+    "input_guards": lambda spark, sf_dir: artefacts.guards(activity(spark, sf_dir)),
     "baselines_merged_ngrams": _on(lambda a: _stored(a).ngrams),
     "baselines_merged_operations": _on(lambda a: _stored(a).operations.select("op", *[F.round(c, 3).alias(c) for c in ("dur_mean", "dur_std")], *_six("idx_mean", "idx_std"))),
     "baselines_merged_callers": _on(_stored_callers),
