@@ -126,7 +126,7 @@ def word_statistics(blocks: DataFrame) -> tuple[DataFrame, dict, np.ndarray]:
         tokens[r["class"]] = r["tokens"]
     share = F.when(F.col("own").isNotNull(), 0.0).otherwise(F.log10((F.col("count") + 0.5) / (F.col("tokens") + 0.5 * (F.col("types") + 1))))
     small = common.written(sizes, "class-sizes")
-    stats = classed.join(F.broadcast(small), "class").select("word", "count", "class", share.cast("float").alias("share"))
+    stats = classed.join(F.broadcast(small), "class").select("word", "count", "class", share.alias("share"))
     return stats, {"tokens": n, "types": v}, tokens
 
 
