@@ -14,7 +14,7 @@ from ..sources.activity_csv import load_events
 from ..sources.baselines import BaselineStore
 from ..sources.events_view import activity, verdicts
 from ..sources.feedback import FeedbackStore
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, written
 from . import artefacts
 from .analyze import Analysis
 
@@ -134,6 +134,13 @@ def _events_before(a: Analysis) -> DataFrame:
     return carry.within_before(rows, CALLER, TIME, TIE, carry.GAP_US, {"events": F.count("*"), "last_op": F.max("op")}, 4).select("seq", "events", "last_op")
 
 
+def _open_together(a: Analysis) -> DataFrame:
+    """Lifecycles that are open at once; the shared time is a long, as in the SQL, unless a sum passes 64 bits, where the SQL ends in an error."""
+    met = written(overlap.open_together(overlap.lifecycle_spans(a.events)), "met")  # a row per group and two parties
+    fits = met.where(F.col("shared_us") > F.lit(2**63 - 1)).isEmpty()
+    return met.withColumn("shared_us", F.col("shared_us").cast("long")) if fits else met
+
+
 #: Days of a period of the stored baselines in the queries.
 DAYS = 10
 
@@ -257,7 +264,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "asof_error_last_purchase": _on(_errors_as_of_purchases),
     "gap_sessions": _on(_gap_sessions),
     "range_frame_half_hour": _on(_events_before),
-    "lifecycles_open_together": _on(lambda a: overlap.open_together(overlap.lifecycle_spans(a.events))),
+    "lifecycles_open_together": _on(_open_together),
     "feedback_append_roundtrip": feedback_append_roundtrip,
     "artefacts_roundtrip": lambda spark, sf_dir: artefacts.roundtrip(activity(spark, sf_dir)),
     "input_guards": lambda spark, sf_dir: artefacts.guards(activity(spark, sf_dir)),

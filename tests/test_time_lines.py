@@ -104,6 +104,27 @@ def test_open_together(spark, bin_us, most):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_open_together_does_not_list_pairs(spark):
+    """Two parties with 100,000 intervals each that are all open at once: 10^10 pairs, and their time passes 64 bits."""
+    n, long = 100_000, 10**10
+    spans = spark.range(2 * n).select(
+        F.lit("g").alias("grp"), F.when(F.col("id") % 2 == 0, "p").otherwise("q").alias("party"), F.col("id").cast("string").alias("id"), F.col("id").alias("begin"), (F.col("id") + long).alias("end")
+    )
+    (r,) = overlap.open_together(spans).collect()
+    # intervals i < j share long - (j - i); odd differences d from 1 to 2n - 1 occur 2n - d times
+    assert (r.party_a, r.party_b, r.pairs) == ("p", "q", n * n)
+    assert r.shared_us == n * n * long - sum(d * (2 * n - d) for d in range(1, 2 * n, 2)) > 2**63
+
+
+def test_open_together_of_many_parties(spark):
+    rng = random.Random(4)
+    rows = [("g", f"p{i % 40:02}", f"i{i}", t := rng.randrange(300), t + rng.randrange(60)) for i in range(160)]
+    frame = spark.createDataFrame(rows, "grp string, party string, id string, begin long, end long")
+    whole, dealt = [Counter(map(tuple, overlap.open_together(frame, 1_000, 50, parties).collect())) for parties in (1_000, 7)]
+    assert whole == dealt and len(whole) > 500
+    assert sum(r[3] for r in whole) == sum(a[1] < b[1] and max(a[3], b[3]) <= min(a[4], b[4]) for a in rows for b in rows)
+
+
 @pytest.fixture(scope="module")
 def batch(spark):
     run = Analysis(activity(spark, SF))
