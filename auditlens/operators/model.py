@@ -13,9 +13,9 @@ from ..schema import DIMENSIONS
 NGRAM = ["caller", "h4", "h3", "h2", "h1", "op"]
 
 
-def ngrams(train: DataFrame) -> DataFrame:
-    """``caller, h4..h1, op, cnt``."""
-    return train.groupBy(*NGRAM).agg(F.count("*").alias("cnt"))
+def ngrams(train: DataFrame, *by: str) -> DataFrame:
+    """``by, caller, h4..h1, op, cnt``."""
+    return train.groupBy(*by, *NGRAM).agg(F.count("*").alias("cnt"))
 
 
 def ngram_max(grams: DataFrame) -> DataFrame:
@@ -43,10 +43,10 @@ def seen(train: DataFrame) -> DataFrame:
     return melted(train, "caller").distinct()
 
 
-def train_sessions(train: DataFrame) -> DataFrame:
-    """``caller, bucket, events, hour`` of non-empty half hours; the hour is that of the first event."""
-    by = train.groupBy("caller", bucket(F.col("t_us")).alias("bucket"))
-    return by.agg(F.count("*").alias("events"), hour_of_day(F.min("t_us")).alias("hour"))
+def train_sessions(train: DataFrame, *by: str) -> DataFrame:
+    """``by, caller, bucket, events, hour`` of non-empty half hours; the hour is that of the first event."""
+    groups = train.groupBy(*by, "caller", bucket(F.col("t_us")).alias("bucket"))
+    return groups.agg(F.count("*").alias("events"), hour_of_day(F.min("t_us")).alias("hour"))
 
 
 def callers(sessions: DataFrame) -> DataFrame:

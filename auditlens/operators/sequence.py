@@ -28,9 +28,15 @@ def slice_length(fullest: int, slice_us: int = SLICE_US, most: int = MOST) -> in
     return max(1, slice_us >> halves)
 
 
-def in_slices(parts: DataFrame, length: int) -> DataFrame:
-    """Events of ``train`` and ``test`` with their place in a slice of their lifecycle and the operations before them there."""
-    rows = parts.where("part <> 'val'").withColumn("slice", F.floor(F.col("t_us") / length))
+def in_slices(parts: DataFrame, length: int, period_us: int | None = None) -> DataFrame:
+    """Events of ``train`` and ``test`` with their place in a slice of their lifecycle and the operations before them there.
+
+    With ``period_us`` no slice lies in two periods of that length.
+    """
+    at = F.floor(F.col("t_us") / length)
+    if period_us is not None:
+        at = F.floor(F.col("t_us") / period_us) * -(-period_us // length) + F.floor(F.pmod("t_us", F.lit(period_us)) / length)
+    rows = parts.where("part <> 'val'").withColumn("slice", at)
     inner, whole = Window.partitionBy(*KEY).orderBy("t_us", "seq"), Window.partitionBy(*KEY)
     rows = rows.withColumn("at", F.row_number().over(inner)).withColumn("of", F.count("*").over(whole))
     for k in range(1, HISTORY + 1):
@@ -54,12 +60,21 @@ def ends(slices: DataFrame) -> DataFrame:
     return slices.withColumn("back", F.row_number().over(back)).groupBy("part", "corr").agg(F.sum("size").alias("size"), F.min("first").alias("first"), tail.alias("tail")).drop("part")
 
 
-def carried(slices: DataFrame) -> DataFrame:
-    """Per slice what its lifecycle had before, and in all: a row per slice."""
+def ends_of_periods(slices: DataFrame) -> DataFrame:
+    """``period, corr, size, first, tail``: as ``ends``, after each period that a lifecycle touches; ``slices`` have their ``period``, what lies before all has none."""
+    upto = carried(slices, "period", "size", "tail").where("period is not null")
+    tail = F.slice(F.concat("tail", "past"), 1, HISTORY)
+    state = F.struct((F.col("before") + F.col("size")).alias("size"), F.col("start").alias("first"), tail.alias("tail"))
+    return upto.groupBy("period", "corr").agg(F.max_by(state, "slice").alias("x")).select("period", "corr", "x.*")
+
+
+def carried(slices: DataFrame, *more: str) -> DataFrame:
+    """Per slice what its lifecycle had before, and in all: a row per slice, with columns ``more`` of the slice."""
     order, every = Window.partitionBy("part", "corr").orderBy("slice"), Window.partitionBy("part", "corr")
     near = order.rowsBetween(-HISTORY, -1)  # each slice has an event, so four slices hold all that is needed
     return slices.select(
         *KEY,
+        *more,
         F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
         F.sum("size").over(every).alias("n"),
         F.min("first").over(every).alias("start"),

@@ -18,18 +18,21 @@ AVERAGED = {"operations": ("op", ["elapsed", "idx"]), "callers": ("caller", ["ev
 TABLES = (*COUNTED, *AVERAGED)
 
 
-def _moments(rows: DataFrame, key: str, names: list[str]) -> DataFrame:
+def _moments(rows: DataFrame, key: str, names: list[str], by: list[str]) -> DataFrame:
     spread = [x for c in names for x in (F.avg(c).alias(f"{c}_mean"), (F.var_pop(F.col(c).cast("double")) * F.count(c)).alias(f"{c}_m2"))]
-    return rows.groupBy(key).agg(F.count("*").alias("cnt"), *spread)
+    return rows.groupBy(*by, key).agg(F.count("*").alias("cnt"), *spread)
 
 
-def of_events(history: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
-    """States of a period: ``history`` are its ``events`` with position, elapsed time and operations before them."""
+def of_events(history: DataFrame, events: DataFrame, *by: str) -> dict[str, DataFrame]:
+    """States of a period: ``history`` are its ``events`` with position, elapsed time and operations before them.
+
+    With columns ``by``, the states of each of their values.
+    """
     return {
-        "ngrams": ngrams(history),
-        "seen": melted(events, "caller").groupBy(*COUNTED["seen"]).agg(F.count("*").alias("cnt")),
-        "operations": _moments(history, *AVERAGED["operations"]),
-        "callers": _moments(train_sessions(events), *AVERAGED["callers"]),
+        "ngrams": ngrams(history, *by),
+        "seen": melted(events, *by, "caller").groupBy(*by, *COUNTED["seen"]).agg(F.count("*").alias("cnt")),
+        "operations": _moments(history, *AVERAGED["operations"], by),
+        "callers": _moments(train_sessions(events, *by), *AVERAGED["callers"], by),
     }
 
 

@@ -4,7 +4,8 @@ A period (a day by default) has a folder with its states and with what every lif
 that the next period's history goes on from there.  Folders never change.  A log of one row per change says which
 count: a folder that is not in it, such as that of a job that broke off, is not there.  A log has one writer at a time.
 
-* ``add`` takes periods in order; the newest one may be added again and then replaces itself.
+* ``add`` takes periods in order; the newest one may be added again and then replaces itself.  ``add_all`` takes the
+  periods of a table in one pass, however many: a step writes the states of all of them, a folder each.
 * ``take_out`` removes what a period has contributed; lifecycles that began in it keep their history.
 * ``compact`` writes the merged states once, and later versions start from them.
 * ``states`` and ``model`` read any version of the log.
@@ -45,10 +46,10 @@ class BaselineStore:
             raise ValueError(f"The store at {self.path} has periods of another length.")
         return [r for r in rows if version is None or r.version <= version]
 
-    def _record(self, known: list[Row], *changes: tuple[str, int | None, str]) -> None:
+    def _record(self, known: list[Row], *versions: list[tuple[str, int | None, str]]) -> None:
         """Changes of one step are one file, so a reader sees all or none of them."""
         at = known[-1].version if known else 0
-        rows = [(at + 1, *change, self.period_us) for change in changes]
+        rows = [(at + k, *change, self.period_us) for k, changes in enumerate(versions, 1) for change in changes]
         self.spark.createDataFrame(rows, _LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
 
     @staticmethod
@@ -62,6 +63,11 @@ class BaselineStore:
                 del held[r.period]
         return held
 
+    def _paths(self, folders, name: str) -> list[str]:
+        """Where a table lies in each folder; a folder of several periods has one for each of them below the table."""
+        split_up = [f.partition("/") for f in folders]
+        return ["/".join(filter(None, [self.path, step, name, period])) for step, _, period in split_up]
+
     def periods(self, version: int | None = None) -> list[int]:
         return sorted(self._active(self.entries(version)))
 
@@ -71,45 +77,82 @@ class BaselineStore:
         last = {r.period: r.folder for r in known if r.kind == "add" and r.period < before}
         if not last:
             return None
-        held = self.spark.read.parquet(*[f"{self.path}/{f}/carry" for f in last.values()]).join(ids, "corr", "left_semi")
+        held = self.spark.read.parquet(*self._paths(last.values(), "carry")).join(ids, "corr", "left_semi")
         newest = held.groupBy("corr").agg(F.max_by(F.struct("size", "first", "tail"), "period").alias("x"))
         return newest.select(F.lit("train").alias("part"), "corr", F.lit(_FIRST).alias("slice"), "x.*")
 
-    def add(self, events: DataFrame, period: int) -> None:
-        """Canonical events of one period (their time divided by its length); none are a period without events."""
-        known = self.entries()
+    def _ready(self, known: list[Row], period: int) -> None:
         last = max((r.period for r in known if r.kind == "add"), default=None)
         if last is not None and period < last:
             raise ValueError(f"Period {period} lies before period {last}, which the store has; histories go on in order.")
-        bounds = split.bounds(events)
-        if bounds.low is not None and {bounds.low // self.period_us, bounds.high // self.period_us} != {period}:
+
+    def _put(self, known: list[Row], events: DataFrame, length: int, folder: str, first: int, by: str | None = None) -> None:
+        """Write the states of ``events``, whose periods begin with ``first``; with ``by`` a folder for each value of that column."""
+        period = F.floor(F.col("t_us") / self.period_us).cast("long")
+        rows = written(sequence.in_slices(events.withColumn("part", F.lit("train")).withColumn("period", period), length, self.period_us), "rows")
+        slices = sequence.summaries(rows).withColumn("period", F.floor(F.col("first") / self.period_us).cast("long"))
+        past = self._past(known, first, rows.select("corr").distinct())
+        if past is not None:
+            slices = slices.unionByName(past.withColumn("period", F.lit(None).cast("long")))
+        slices = written(slices, "slices")
+        history = written(sequence.with_history(rows, slices.drop("period")).select("period", *model.NGRAM, "elapsed", "idx"), "history")
+
+        def put(df: DataFrame, name: str) -> None:
+            writer = df.write.partitionBy(by) if by else df.write
+            writer.parquet(f"{self.path}/{folder}/{name}")
+
+        ends = sequence.ends_of_periods(slices)
+        put(ends.withColumn(by, F.col("period")) if by else ends, "carry")
+        if by:
+            rows, history = rows.withColumn(by, F.col("period")), history.withColumn(by, F.col("period"))
+        for name, state in states.of_events(history, rows, *([by] if by else [])).items():
+            put(state, name)
+        discard(rows, slices, history)
+
+    def _bounds(self, events: DataFrame) -> tuple[int | None, int | None, int]:
+        """Ends of the span and the length of a slice, by one job: a period, if no lifecycle has more events in one than a
+        slice is meant to have; else as in an analysis."""
+        time = F.col("t_us")
+        hours = events.groupBy("corr", F.floor(time / self.period_us).alias("period"), F.floor(time / split.SLICE_US)).agg(F.min(time).alias("low"), F.max(time).alias("high"), F.count("*").alias("n"))
+        periods = hours.groupBy("corr", "period").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("n").alias("hour"), F.sum("n").alias("n"))
+        low, high, hour, most = periods.agg(F.min("low"), F.max("high"), F.coalesce(F.max("hour"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        return low, high, self.period_us if most <= sequence.MOST else sequence.slice_length(hour)
+
+    def add(self, events: DataFrame, period: int) -> None:
+        """Canonical events of one period (their time divided by its length); none are a period without events."""
+        known = self.entries()
+        self._ready(known, period)
+        low, high, length = self._bounds(events)
+        if low is not None and {low // self.period_us, high // self.period_us} != {period}:
             raise ValueError(f"There are events outside period {period}.")
-        rows = written(sequence.in_slices(events.withColumn("part", F.lit("train")), sequence.slice_length(bounds.fullest)), "period")
-        slices = written(sequence.summaries(rows, self._past(known, period, rows.select("corr").distinct())), "slices")
         # a new folder for each attempt: one that broke off stays out of the log
         folder = f"period-{period}-{uuid.uuid4().hex}"
-        put = lambda df, name: df.write.parquet(f"{self.path}/{folder}/{name}")
-        put(sequence.ends(slices).withColumn("period", F.lit(period).cast("long")), "carry")
-        for name, state in states.of_events(sequence.with_history(rows, slices), rows).items():
-            put(state, name)
+        self._put(known, events, length, folder, period)
+        self._record(known, self._changes(known, period, folder))
+
+    def _changes(self, known: list[Row], period: int, folder: str) -> list[tuple[str, int | None, str]]:
         old = self._active(known).get(period)
-        self._record(known, *([("out", period, old)] if old else []), ("add", period, folder))
-        discard(rows, slices)
+        return [*([("out", period, old)] if old else []), ("add", period, folder)]
 
     def add_all(self, events: DataFrame) -> None:
-        """All periods of ``events`` in order; the events are read once, into a table with a folder per period."""
-        at = F.floor(F.col("t_us") / self.period_us).cast("long")
-        rows = written(events.withColumn("period", at), "periods", "period")
-        for r in rows.select("period").distinct().orderBy("period").collect():  # a row per period
-            self.add(rows.where(F.col("period") == r.period).drop("period"), r.period)
-        discard(rows)
+        """All periods of ``events`` in order, a version each: one pass, in which all periods are added or none."""
+        known = self.entries()
+        low, _, length = self._bounds(events)
+        if low is None:
+            return
+        first = low // self.period_us
+        self._ready(known, first)
+        folder = f"periods-{uuid.uuid4().hex}"
+        self._put(known, events, length, folder, first, "of")
+        found = self.spark.read.parquet(f"{self.path}/{folder}/carry").select("period").distinct().orderBy("period").collect()  # a row per period
+        self._record(known, *[self._changes(known, r.period, f"{folder}/of={r.period}") for r in found])
 
     def take_out(self, period: int) -> None:
         known = self.entries()
         folder = self._active(known).get(period)
         if folder is None:
             raise ValueError(f"The store at {self.path} has no period {period}.")
-        self._record(known, ("out", period, folder))
+        self._record(known, [("out", period, folder)])
 
     def compact(self) -> None:
         known = self.entries()
@@ -118,7 +161,7 @@ class BaselineStore:
         folder = f"all-{uuid.uuid4().hex}"
         for name, state in self.states().items():
             state.write.parquet(f"{self.path}/{folder}/{name}")
-        self._record(known, ("all", None, folder))
+        self._record(known, [("all", None, folder)])
 
     def states(self, version: int | None = None) -> dict[str, DataFrame]:
         """Merged states of a version: the last compact one before it and what has come or gone since."""
@@ -132,7 +175,7 @@ class BaselineStore:
             raise ValueError(f"The store at {self.path} holds no period.")
 
         def read(name: str) -> DataFrame:
-            parts = [self.spark.read.parquet(*[f"{self.path}/{f}/{name}" for f in folders]).withColumn("sign", F.lit(sign)) for sign, folders in groups.items() if folders]
+            parts = [self.spark.read.parquet(*self._paths(folders, name)).withColumn("sign", F.lit(sign)) for sign, folders in groups.items() if folders]
             return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
         return {name: states.merged(name, read(name)) for name in states.TABLES}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from auditlens.cli import main
 from auditlens.operators import generations, model, sequence, sketches, subtotals
 from auditlens.schema import DAY_US, EVENT
+from auditlens.sources import baselines
 from auditlens.sources.baselines import BaselineStore
 
 NAMES = EVENT.names
@@ -79,6 +80,23 @@ def test_versions_take_out_and_compact(spark, store, events):
         BaselineStore(spark, store.path, 2 * DAY_US).periods()
 
 
+@pytest.mark.parametrize("most", [1_000_000, 5])  # a slice is a period, or an hour
+def test_all_periods_are_added_in_one_pass(spark, events, tmp_path, monkeypatch, most):
+    tables, written = [], baselines.written
+    monkeypatch.setattr(baselines, "written", lambda df, name, *by: tables.append(name) or written(df, name, *by))
+    monkeypatch.setattr(sequence, "MOST", most)
+    store, day = BaselineStore(spark, str(tmp_path)), F.floor(F.col("t_us") / DAY_US)
+    store.add(events.where(day == 0), 0)
+    tables.clear()
+    store.add_all(events.where(day > 0))
+    assert len(tables) == 3  # none for each period
+    assert store.periods() == [0, 1, 2] and [r.version for r in store.entries()] == [1, 2, 3]
+    same(store.model(), whole(events))
+    # the next period goes on from what the pass has written
+    store.add(events.where(day == 2), 2)
+    same(store.model(), whole(events))
+
+
 def test_a_day_that_broke_off_or_is_empty_changes_nothing(spark, store, events, monkeypatch):
     before = store.entries()
 
