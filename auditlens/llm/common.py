@@ -123,8 +123,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             size += int(n) + 16
             if size >= limit:
                 held.append(batch.slice(start, i + 1 - start))
-                yield pa.Table.from_batches(held)
-                held, size, start = [], 0, i + 1
+                full, held, size, start = [pa.Table.from_batches(held)], [], 0, i + 1
+                yield full.pop()  # whoever takes it is the only one to hold it
         if start < batch.num_rows:
             held.append(batch.slice(start))
     if held:

@@ -87,19 +87,26 @@ def token_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 24
         for tab in common.chunks(batches, "text"):
-            words, number, starts = words_of(tab.column("text").combine_chunks())
-            out = tab.column("held_out").to_numpy()
-            n, m = len(out), len(words)
-            seen = np.bincount(number[np.repeat(~out.astype(bool), np.diff(starts))], minlength=m)
-            lines = [number[a:b].tobytes() for a, b in zip(starts.tolist(), starts[1:].tolist())]
-            nulls = lambda k, f: pa.nulls(k, arrow.field(f).type)
-            yield from _rows(arrow, [np.full(n, block), np.zeros(n, bool), tab.column("doc_id"), tab.column("held_out"), lines, nulls(n, "number"), nulls(n, "word"), nulls(n, "count")])
-            yield from _rows(arrow, [np.full(m, block), np.ones(m, bool), nulls(m, "doc_id"), nulls(m, "held_out"), nulls(m, "tokens"), np.arange(m, dtype=np.int32), words, seen])
+            yield from _block(tab, block, arrow)
+            del tab  # a task holds one chunk, not two
             block += 1
 
     return common.written(rows.mapInArrow(run, schema), "token-blocks")
 
 
+def _block(tab: pa.Table, block: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Document rows and word rows of a chunk; all that is made for it ends with it."""
+    words, number, starts = words_of(tab.column("text").combine_chunks())
+    out = tab.column("held_out").to_numpy()
+    n, m = len(out), len(words)
+    seen = np.bincount(number[np.repeat(~out.astype(bool), np.diff(starts))], minlength=m)
+    lines = [number[a:b].tobytes() for a, b in zip(starts.tolist(), starts[1:].tolist())]
+    nulls = lambda k, f: pa.nulls(k, schema.field(f).type)
+    yield from _rows(schema, [np.full(n, block), np.zeros(n, bool), tab.column("doc_id"), tab.column("held_out"), lines, nulls(n, "number"), nulls(n, "word"), nulls(n, "count")])
+    del lines, number, tab
+    yield from _rows(schema, [np.full(m, block), np.ones(m, bool), nulls(m, "doc_id"), nulls(m, "held_out"), nulls(m, "tokens"), np.arange(m, dtype=np.int32), words, seen])
+
+
 def _rows(schema: pa.Schema, columns: list) -> Iterator[pa.RecordBatch]:
     arrays = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type) for f, x in zip(schema, columns)]
     yield from pa.Table.from_arrays(arrays, schema=schema).to_batches(max_chunksize=10_000)

@@ -106,3 +106,19 @@ def test_shares_of_a_class_and_one_unknown_word_sum_to_one(spark, small_classes)
         assert tokens == class_tokens[k]
         unknown = 0.5 / (tokens + 0.5 * (types + 1)) if k >= own else 0
         assert sum(10**s for _, s in words) + unknown == pytest.approx(1, rel=1e-12)
+
+
+def test_a_chunk_is_gone_before_the_next_one_is_made():
+    import weakref
+
+    import pyarrow as pa
+
+    from auditlens.llm import common
+
+    batches = [pa.RecordBatch.from_pydict({"text": ["x" * 100]}) for _ in range(3)]
+    alive = []
+    for tab in common.chunks(iter(batches), "text", 50):
+        alive.append(weakref.ref(tab))
+        del tab
+        assert alive[-1]() is None
+    assert len(alive) == 3
