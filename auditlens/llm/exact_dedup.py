@@ -57,8 +57,8 @@ def _better(a: tuple, b: tuple) -> bool:
     return rank(a) < rank(b)
 
 
-def index_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict]:
-    """Write the index files; returns the table and its internal column names."""
+def entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict]:
+    """The rows of the index files, not written yet, and the internal column names."""
     names = dict(zip(("kind", "key", "sha", "points", "count", "rid"), common.fresh(docs, "kind", "key", "sha", "points", "count", "rid")))
     source = docs.withColumn(names["rid"], F.monotonically_increasing_id())
     schema = T.StructType(
@@ -105,7 +105,13 @@ def index_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield from _batches(rows, arrow)
 
     loose = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
-    return common.written(source.mapInArrow(run, loose), "exact-index"), names
+    return source.mapInArrow(run, loose), names
+
+
+def index_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict]:
+    """Write the index files; returns the table and its internal column names."""
+    rows, names = entries(docs, id_col, text_col)
+    return common.written(rows, "exact-index"), names
 
 
 def _batches(columns: dict, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -147,12 +153,19 @@ def directory(content: DataFrame, key: str, size: str, start: int, bucket_bytes:
     return found
 
 
-def groups(index: DataFrame, names: dict, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES, start: int | None = None) -> DataFrame:
-    """One row per distinct normalised text: the columns of its kept row, and ``key, sha, points, count, rid`` of the group."""
+def text_bytes(content: DataFrame, key: str, text_col: str, name: str) -> DataFrame:
+    return content.select(key, F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).alias(name))
+
+
+def groups(index: DataFrame, names: dict, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES, start: int | None = None, light: DataFrame | None = None) -> DataFrame:
+    """One row per distinct normalised text: the columns of its kept row, and ``key, sha, points, count, rid`` of the group.
+
+    The directory is made of ``light``, if given: the key and text bytes of the content rows as a table without texts.
+    """
     kind, key, rid, points, count, sha = (names[k] for k in ("kind", "key", "rid", "points", "count", "sha"))
     content = index.where(f"{kind} = 1").drop(kind)
     size, slot, depth, bucket, task = common.fresh(content, "bytes", "slot", "depth", "bucket", "owner")
-    sized = content.withColumn(size, F.octet_length(F.coalesce(F.col(text_col), F.lit(""))))
+    sized = text_bytes(content, key, text_col, size) if light is None else light.toDF(key, size)
     total = sized.agg(F.count("*").alias("n"), F.sum(size).alias("b")).first()
     start = start or math.ceil(math.log2(max(2 * total["n"] / bucket_rows, 2 * (total["b"] or 0) / bucket_bytes, 2)))
     owners = max(1, math.ceil((total["b"] or 0) / OWNER_BYTES))
@@ -225,9 +238,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows without exact copies, with the input's columns."""
-    index, names = index_files(docs, id_col, text_col)
-    return groups(index, names, id_col, text_col).select(*docs.columns)
+    """The input's rows without exact copies, with the input's columns.
+
+    No later result reads the light rows or a row's number, so the index files have keys and sizes only: texts go to
+    their owners straight from ``docs`` and no second copy of them stays on disk.
+    """
+    rows, names = entries(docs, id_col, text_col)
+    light = text_bytes(rows.where(f"{names['kind']} = 1"), names["key"], text_col, "bytes")
+    light = common.written(light, "exact-index")
+    found = groups(rows, names, id_col, text_col, light=light)
+    return found.select(*docs.columns)
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

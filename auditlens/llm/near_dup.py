@@ -16,7 +16,11 @@ the sets in shingles), so hardly a pair is handed on that is not linked.  A buck
 size, since similar sets are of similar size, and a class as pairs of blocks to many tasks.
 First every node is tried with one partner of each of its buckets, the most likely one before it, which connects large
 groups of near copies by few checks of whole sets; after ``ROUNDS`` of this, all pairs that
-bounds allow and whose nodes are not connected yet.
+bounds allow and whose nodes are not connected yet.  The bounds do not change, so rows that they pair with no other row
+of their bucket are met in the first round only.
+
+Disk: prefixes are deleted once buckets are written, and buckets once their first round is over; pairs are checked on
+their texts, which are smaller than the sets of their shingles.
 
 Defined results: a text of fewer than five words is one shingle; texts without
 words are one group; repeated rows and rows without an id are rows like others.
@@ -54,6 +58,8 @@ BLOCK = 1_000
 ROUNDS = 2
 #: Bits of a set's parity bitmap: enough to tell sets of up to twice as many shingles apart.
 PARITY_BITS = 256
+#: Hashes of words that a task remembers while it checks pairs.
+KNOWN = 1 << 18
 #: Pairs that are compared at a time.
 AT_ONCE = 1 << 18
 #: Base of size classes: a little above the largest ratio of the sizes of similar sets, so these are in one class or neighbours.
@@ -132,12 +138,12 @@ def frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     return gram[order], rows.column("n").to_numpy()[order]
 
 
-def with_sets(docs: DataFrame, text_col: str, names: list[str]) -> DataFrame:
-    """The columns of ``docs``, and under ``names`` the hash, size and fingerprint of the text's set, its prefix, how
+def with_sets(docs: DataFrame, text_col: str, keep: list[str], names: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs``, and under ``names`` the hash, size and fingerprint of the text's set, its prefix, how
     many shingles of that are not frequent, and its parity bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, text_col))
     types = [T.LongType(), T.IntegerType(), T.LongType(), T.BinaryType(), T.IntegerType(), T.BinaryType()]
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema] + [T.StructField(n, t) for n, t in zip(names, types)])
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema if f.name in keep] + [T.StructField(n, t) for n, t in zip(names, types)])
     arrow = to_arrow_schema(schema)
     node, size, print_, first, light, bits = names
 
@@ -158,7 +164,7 @@ def with_sets(docs: DataFrame, text_col: str, names: list[str]) -> DataFrame:
             arrays = [pa.array(cols[f.name], f.type) if f.name in cols else tab.column(f.name).cast(f.type) for f in arrow]
             yield from pa.Table.from_arrays(arrays, schema=arrow).to_batches(max_chunksize=5_000)
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
 
 
 def buckets(leads: DataFrame) -> DataFrame:
@@ -229,34 +235,34 @@ def joined(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
 
 def linked(pairs: DataFrame, table: DataFrame, text_col: str, row: str) -> DataFrame:
     """The ``pairs`` of rows (``a, b``) of ``table`` whose sets are similar."""
-    arrow = pa.schema([("node", pa.int64()), ("grams", pa.binary())])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tab in common.chunks(batches, "text", 4 << 20):
-            known = _Words()
-            grams = [shingles(t, known).tobytes() for t in common.texts_of(tab, "text")]
-            yield from common.emit({"node": tab.column("node").combine_chunks(), "grams": grams}, arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, node, grams = _Words(), None, np.empty(0, np.uint64)
         for batch in batches:
-            a, b = (batch.column(c) for c in ("a_grams", "b_grams"))
-            near = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(a, b)]
+            near = []
+            for a, b, y in zip(*(batch.column(c) for c in ("a_text", "b_text", "b"))):
+                if y.as_py() != node:  # pairs come in order of ``b``
+                    node, grams = y.as_py(), shingles(b.as_py(), known)
+                near.append(similar(shingles(a.as_py(), known), grams))
+            if len(known) > KNOWN:
+                known = _Words()
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = table.select(F.col(row).alias("node"), F.col(text_col).alias("text")).join(nodes, "node", "left_semi")
-    held = common.written(texts.mapInArrow(sets, "node long, grams binary"), "near-sets")
-    few = common.with_batches_of(table.sparkSession, 100)  # two whole sets a row
-    out = common.written(joined(common.read_in(few, pairs), common.read_in(few, held), ["grams"]).mapInArrow(run, "a long, b long"), "near-links")
-    common.discard(held)
-    return common.read_in(table.sparkSession, out)
+    nodes = common.written(nodes, "near-nodes")
+    few = common.with_batches_of(table.sparkSession, 100)  # two whole texts a row
+    pairs, table, held = (common.read_in(few, x) for x in (pairs, table, nodes))
+    texts = table.select(F.col(row).alias("node"), F.col(text_col).alias("text")).join(held, "node", "left_semi")
+    out = common.written(joined(pairs, texts, ["text"]).mapInArrow(run, "a long, b long"), "near-links")
+    common.discard(nodes)
+    return common.read_in(nodes.sparkSession, out)
 
 
 class Rows:
     """Columns of bucket rows; ``own`` and ``home`` tell the block and whether the row's size class is the group's."""
 
     KEY = ("gram", "cell", "low", "high")
-    NAMES = (*KEY, "node", "size", "pos", "part", "own", "home")
+    NAMES = (*KEY, "node", "size", "pos", "part", "own", "home", "n")
 
     def __init__(self, columns: dict[str, np.ndarray]):
         self.columns = columns
@@ -324,8 +330,11 @@ class Rows:
 
 def candidates(rows: DataFrame, every: bool) -> DataFrame:
     """``a, b``: pairs of nodes of a bucket in different parts that can be similar, ``every`` one or for each node the
-    likeliest before it.  ``rows``: ``gram, node, size, pos, part, bits, n``."""
-    own = ["gram", "node", "size", "pos", "part", "bits"]
+    likeliest before it.  ``rows``: ``gram, node, size, pos, part, bits, n``.
+
+    Unless ``every`` one is wanted, rows that have such a pair follow with their own columns but ``part``, in place of ``a, b``.
+    """
+    own = ["gram", "node", "size", "pos", "part", "bits", "n"]
     zero = F.lit(0)
     small = rows.where(F.col("n") <= BLOCK).select(*own, zero.alias("cell"), zero.alias("low"), zero.alias("high"), zero.alias("own"), F.lit(1).alias("home"))
     level = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(CLASS))).cast("int")
@@ -346,23 +355,30 @@ def candidates(rows: DataFrame, every: bool) -> DataFrame:
                 last = held.edges()[-2]
                 rest = held.part(slice(last, None))
                 if last:
-                    yield chosen(held.part(slice(0, last)))
+                    yield from chosen(held.part(slice(0, last)))
         if rest is not None:
-            yield chosen(rest)
+            yield from chosen(rest)
 
-    def chosen(held: Rows) -> pa.RecordBatch:
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("gram", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("bits", pa.binary()), ("n", pa.int32())])
+
+    def told(columns: dict[str, np.ndarray | list], n: int) -> Iterator[pa.RecordBatch]:
+        yield from common.emit({f.name: columns.get(f.name, pa.nulls(n, f.type)) for f in arrow}, arrow)
+
+    def chosen(held: Rows) -> Iterator[pa.RecordBatch]:
         found = [held.likely(i, j) for i, j in held.pairs()]
         i, j, apart = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in range(3))
         node = held.columns["node"]
         if not every:
+            some = held.part(np.unique(np.concatenate([i, j]))).columns
+            yield from told({k: some[k] for k in ("gram", "node", "size", "pos", "n")} | {"bits": [x.tobytes() for x in some["bits"]]}, len(some["node"]))
             order = np.lexsort((node[i], apart, j))
             first = np.unique(j[order], return_index=True)[1]
             i, j = i[order][first], j[order][first]
-        return pa.RecordBatch.from_pydict({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+        yield from told({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])}, len(i))
 
     key = list(Rows.KEY)
     both = small.select(*key, *own[1:], "own", "home").unionByName(large.select(*key, *own[1:], "own", "home"))
-    return both.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(find, "a long, b long").distinct()
+    return both.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(find, "a long, b long, gram long, node long, size int, pos int, bits binary, n int")
 
 
 def ordered(x: str, y: str) -> list[Column]:
@@ -379,27 +395,32 @@ def fingerprint_pairs(classes: DataFrame) -> DataFrame:
     return close.unionByName(equal).select(*ordered("x", "y"))
 
 
-def components(table: DataFrame, classes: DataFrame, leads: DataFrame, text_col: str, row: str) -> DataFrame:
+def components(met: DataFrame, table: DataFrame, classes: DataFrame, text_col: str, row: str) -> DataFrame:
     """``node, component`` of all nodes that are linked to another.
 
-    ``table`` has the texts of ``row``; ``classes`` ``node, fp`` and ``leads`` ``node, size, first, light, bits``, whose nodes are rows.
+    ``met`` has the buckets, which the first round deletes, ``table`` the texts of ``row``; the nodes of ``classes`` (``node, fp``) are rows.
     """
-    met = buckets(leads)
-    common.release(table.sparkSession)
+    spark = table.sparkSession
     found: DataFrame | None = None
     tried: DataFrame | None = None
     graph: DataFrame | None = None
     for turn in range(ROUNDS + 1):
         if graph is None:
-            pairs = candidates(met.withColumn("part", F.col("node")), False).unionByName(fingerprint_pairs(classes)).distinct()
+            both = common.written(candidates(met.withColumn("part", F.col("node")), False), "near-met")
+            common.discard(met)
+            close = common.written(fingerprint_pairs(classes), "near-close")
+            pairs = common.written(both.where("a IS NOT NULL").select("a", "b").unionByName(close).distinct(), "near-pairs")
+            met = common.written(both.where("a IS NULL").drop("a", "b").distinct(), "near-open")  # a row may be in several blocks
+            common.discard(both, close)
         else:
-            still = common.written(_apart(met, graph), "near-open")
-            pairs = candidates(still, turn == ROUNDS).join(tried, ["a", "b"], "left_anti")
-        pairs = common.written(pairs, "near-pairs")
-        if graph is not None:
-            common.discard(still)
+            before, met = met, common.written(_apart(met.drop("part"), graph), "near-open")
+            common.discard(before)
+            pairs = candidates(met, turn == ROUNDS).where("a IS NOT NULL").select("a", "b").distinct()
+            pairs = common.written(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        common.release(spark)
         links = linked(pairs, table, text_col, row)
-        log.info("near duplicates: round %s tried %s pairs, %s are linked", turn, pairs.count(), links.count())
+        common.release(spark)
+        log.info("near duplicates: round %s tried %s pairs, %s are linked; %s rows are open", turn, pairs.count(), links.count(), met.count())
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = links if found is None else found.unionByName(links)
         before, graph = graph, common.written(common.connected_components(found), "near-components")
@@ -420,23 +441,26 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The input's columns, one row of each component: that with the least id, null last, and of repeated rows the first."""
     common.release(docs.sparkSession)
     (row,) = common.fresh(docs, "row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    names = common.fresh(numbered, "set", "size", "fp", "first", "light", "bits")
-    table = common.written(with_sets(numbered, text_col, names), "shingle-sets")  # freezes the row numbers
-    own = table.select(F.col(row).alias("node"), *[F.col(n).alias(k) for n, k in zip(names, ("set", "size", "fp", "first", "light", "bits"))])
+    table = common.written(docs.withColumn(row, F.monotonically_increasing_id()), "near-texts")  # freezes the row numbers
+    names = common.fresh(table, "set", "size", "fp", "first", "light", "bits")
+    sets = common.written(with_sets(table, text_col, [id_col, row], names), "shingle-sets")
+    own = sets.select(F.col(row).alias("node"), *[F.col(n).alias(k) for n, k in zip(names, ("set", "size", "fp", "first", "light", "bits"))])
     order = F.struct(F.col(id_col).isNull().alias("without"), F.col(id_col).alias("id"), F.col(row).alias("row"))
-    classes = table.groupBy(F.col(names[0]).alias("set")).agg(F.min(order).alias("least"), F.min(row).alias("node"), F.first(names[2]).alias("fp"), F.count("*").alias("n"))
+    classes = sets.groupBy(F.col(names[0]).alias("set")).agg(F.min(order).alias("least"), F.min(row).alias("node"), F.first(names[2]).alias("fp"), F.count("*").alias("n"))
     classes = common.written(classes, "shingle-classes")
     copies = own.select("set", "node").join(classes.where("n > 1").select("set", F.col("node").alias("lead")), "set").where("node <> lead")
-    copies = common.written(copies.select("node"), "shingle-copies")
-    leads = own.select("node", "size", "first", "light", "bits").join(copies, "node", "left_anti")
-    graph = components(table, classes.select("node", "fp"), leads, text_col, row)
+    copies = common.written(copies.select("set", "node"), "shingle-copies")
+    met = buckets(own.select("node", "size", "first", "light", "bits").join(copies, "node", "left_anti"))
+    common.discard(sets)
+    common.release(docs.sparkSession)
+    graph = components(met, table, classes.select("node", "fp"), text_col, row)
     placed = classes.select("set", "node", "least").join(graph, "node", "left").select("set", "least", F.coalesce("component", "node").alias("component"))
     placed = common.written(placed, "near-placed")
     least = placed.groupBy("component").agg(F.min("least").alias("kept"))
     best = placed.select("set", "component").join(least, "component").select("set", F.col("kept.row").alias("kept"))
     (mark,) = common.fresh(table, "gone")
-    gone = own.select("set", "node").join(best, "set").where("node <> kept").select(F.col("node").alias(mark))
+    rows = classes.select("set", "node").unionByName(copies)
+    gone = rows.join(best, "set").where("node <> kept").select(F.col("node").alias(mark))
     gone = common.written(gone, "near-gone")
-    common.discard(classes, placed, copies)
+    common.discard(classes, placed, copies, graph)
     return table.join(gone, F.col(row) == F.col(mark), "left_anti").select(*docs.columns)

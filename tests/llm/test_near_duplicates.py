@@ -67,3 +67,19 @@ def test_pairs_that_simhash_misses_go(spark):
     assert {r.doc_id for r in simhash.keep_representatives(docs).collect()} == {2, 56, 709, 944}
     stage = dict(corpus_pipeline.STAGES)["simhash_dedup"]
     assert {r.doc_id for r in stage(spark, docs, sf).collect()} == {2, 709}
+
+
+def test_stages_hold_texts_once_and_no_sets(spark, monkeypatch):
+    """Of the tables in the shared folder none but one has texts; prefixes and buckets are gone when the stage has ended."""
+    held = []
+    written = common.written
+    monkeypatch.setattr(common, "written", lambda df, *a: held.append(written(df, *a)) or held[-1])
+    docs = spark.createDataFrame(edited(), DOCS)
+    distinct = written(corpus_pipeline.exact_duplicates(spark, docs, ""), "distinct")
+    assert held and not any("text" in t.columns for t in held)
+    held.clear()
+    assert corpus_pipeline.near_duplicates(spark, distinct, "").count()
+    assert [t.columns for t in held if "text" in t.columns] == [[*DOCS.fieldNames(), "__row"]]
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    there = [f for t in held for f in t.inputFiles() if (p := folder(f)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)]
+    assert not [f for f in there if any(x in f for x in ("shingle-sets", "near-sets", "near-buckets", "near-met", "near-open"))]
