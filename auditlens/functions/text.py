@@ -12,7 +12,9 @@ _ENDS = r"(?U)^\s+|\s+$"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _ENDS, "")
+    """Without white space at the ends; the pattern tries every character, so texts that begin and end with visible ASCII pass it by."""
+    visible = lambda at: F.substring(c, at, 1).between("!", "~")
+    return F.when(visible(1) & visible(-1), c).otherwise(F.regexp_replace(c, _ENDS, ""))
 
 
 def first_filled(*columns: Column) -> Column:

@@ -135,7 +135,7 @@ def analyze(spark: SparkSession, path: str, output_dir: str, dry_run: bool = Fal
     ``model_dir`` the baselines are saved there as Parquet.  With ``use_model`` all events are scored against
     baselines saved so, and nothing is learnt.  ``output_dir`` may be on any file system that Spark reaches.
     """
-    events = load_events(spark, path, fmt)
+    events = load_events(spark, path, fmt, hold=not dry_run)
     if dry_run:
         log.info("%s events can be read; nothing is written in a dry run", f"{events.count():,}")
         return None
@@ -143,7 +143,9 @@ def analyze(spark: SparkSession, path: str, output_dir: str, dry_run: bool = Fal
     if run.baselines:
         log.info("scoring all events against the baselines of %s", use_model)
     else:
-        train, test = split.require_both(run.sliced)
+        sliced = run.sliced
+        discard(events)  # the slices have all that is read from here on
+        train, test = split.require_both(sliced)
         log.info("learning from %s events, scoring %s", f"{train:,}", f"{test:,}")
     if model_dir:
         run.model.save(model_dir)
@@ -157,4 +159,5 @@ def analyze(spark: SparkSession, path: str, output_dir: str, dry_run: bool = Fal
     sinks.write_json(spark, {"generated_utc": now} | counts, f"{out}/manifest.json")
     sinks.publish(spark, f"{out}/diagnosed_review_packet.md", packet.render(run.lifecycle_alerts, run.session_alerts))
     run.release()
+    discard(events)
     return run

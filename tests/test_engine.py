@@ -441,3 +441,22 @@ def test_publish_replaces_whole_files(spark, tmp_path):
 def test_normalise_needs_a_known_layout(spark):
     with pytest.raises(ValueError):
         normalise(spark.createDataFrame([("x",)], "a string"))
+
+
+def test_analyze_parses_an_export_once(spark, smoke, tmp_path, monkeypatch):
+    """Bounds and slices come from a table of the parsed events, which is gone afterwards."""
+    read, made, bounds, table = [], [], split.bounds, activity_csv.written
+    monkeypatch.setattr(split, "bounds", lambda e: read.extend(e.inputFiles()) or bounds(e))
+    monkeypatch.setattr(activity_csv, "written", lambda *a: made.append(table(*a)) or made[-1])
+    analyze(spark, smoke, str(tmp_path / "out"))
+    assert read and not [f for f in read if f.endswith(".csv")] and len(made) == 1
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    assert not [f for f in made[0].inputFiles() if (p := folder(f)).getFileSystem(conf).exists(p)]
+
+
+def test_strip_is_the_pattern_for_any_text(spark):
+    ends = ["", "a", "~", "!", " ", "\t", "\n", "\x1f", "\x7f", "\x85", " ", " ", "é", "\U0001f642"]
+    rows = [(a + m + b,) for a in ends for m in ("", "x y", " ") for b in ends] + [(None,)]
+    df = spark.createDataFrame(rows, "t string")
+    assert df.select(text.strip(F.col("t")).alias("got"), F.regexp_replace("t", text._ENDS, "").alias("want")).where("NOT got <=> want").collect() == []
